@@ -77,13 +77,15 @@ def bootstrap_sharpe(
         cut = lambda s: F.element_at(s, start + size + 1) - F.element_at(s, start + 1)
         return F.struct((acc["a"] + cut(F.col("s1"))).alias("a"), (acc["q"] + cut(F.col("s2"))).alias("q"))
 
+    def sharpe(m):
+        mean = m["a"] / n
+        return guarded_ratio(mean, F.sqrt(F.greatest(F.lit(0.0), m["q"] / n - mean * mean)), periods)
+
+    # the finish function sees the finished moments once, not once per use
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("q"))
-    moments = reps.select(*keys, "n", F.aggregate(blocks, zero, add).alias("m"))
-    mean = F.col("m.a") / n
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("m.q") / n - mean * mean))
-    value = guarded_ratio(mean, spread, periods)
-    bounds = F.percentile(value, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    return moments.groupBy(*keys).agg(bounds.alias("ci")).select(
+    values = reps.select(*keys, F.aggregate(blocks, zero, add, sharpe).alias("v"))
+    bounds = F.percentile("v", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    return values.groupBy(*keys).agg(bounds.alias("ci")).select(
         *keys, F.col("ci")[0].alias("sharpe_ratio_ci_low"), F.col("ci")[1].alias("sharpe_ratio_ci_high")
     )
 
