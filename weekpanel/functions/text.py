@@ -160,15 +160,24 @@ def title_tokens(c: Column | str, n: int = 6, shortest: int = 4) -> Column:
     return F.slice(words, 1, n)
 
 
+def url_part(url: Column, part: str) -> Column:
+    """scheme, host, path or query of a URL ('' where absent)."""
+    patterns = {
+        "scheme": "^([A-Za-z][A-Za-z0-9+.-]*)://",
+        "host": "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)",
+        "path": "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)",
+        "query": "^[^?#]*\\?([^#]*)",
+    }
+    return F.regexp_extract(url, patterns[part], 1)
+
+
 def is_article_url(url: Column, host: Column) -> Column:
     """An absolute URL of the host that is not a listing, legal or search page."""
-    path = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("/")))
-    query = F.lower(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")))
+    path, query = F.lower(url_part(url, "path")), F.lower(url_part(url, "query"))
     has = lambda c, parts: reduce(lambda a, b: a | b, [c.contains(p) for p in parts])
     search = has(query, ARTICLE_SEARCH_PARAMS) & ~(query.contains("post_type=news") & query.contains("p="))
     bad = path.isin("", "/") | has(path, ARTICLE_PATH_EXCLUSIONS) | has(query, ARTICLE_QUERY_EXCLUSIONS) | search
-    same_host = F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")) == host, F.lit(False))
-    return F.try_parse_url(url, F.lit("PROTOCOL")).isNotNull() & same_host & ~bad
+    return (url_part(url, "scheme") != "") & (url_part(url, "host") == host) & ~bad
 
 
 def similarity(a: Column, b: Column) -> Column:
