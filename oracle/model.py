@@ -52,7 +52,23 @@ _N = "((2 + entity % 3) - 1) + (2 + entity % 3) * ((2 + entity % 3) - 1) + (2 +
 _COV = "CASE WHEN entity % 2 = 0 THEN (seed_order + 2) ELSE (seed_order + 2) * (seed_order + 3) / 2 END"
 _K = f"({_N} + (2 + entity % 3) * {_COV})"
 
+# eigenvalues of the 3 x 3 covariance in closed form
+_M = ("avg_quantity", "avg_discount", "avg_price")
+_Z = lambda c: f"greatest(-10, least(10, ({c} - (SELECT avg({c}) FROM fit)) / (SELECT stddev_pop({c}) FROM fit)))"
+PCA = PANEL + f""",
+fit AS (SELECT * FROM panel WHERE week_end <= DATE '1998-12-31'),
+z AS (SELECT {', '.join(f'{_Z(c)} AS {v}' for c, v in zip(_M, 'xyz'))} FROM fit),
+cv AS (SELECT var_samp(x) AS a, var_samp(y) AS b, var_samp(z) AS c, covar_samp(x, y) AS d, covar_samp(x, z) AS e, covar_samp(y, z) AS f FROM z),
+q AS (SELECT *, (a + b + c) / 3 AS q, sqrt((pow(a - (a + b + c) / 3, 2) + pow(b - (a + b + c) / 3, 2) + pow(c - (a + b + c) / 3, 2) + 2 * (d*d + e*e + f*f)) / 6) AS p FROM cv),
+ph AS (SELECT *, acos(greatest(-1, least(1, ((a-q)*((b-q)*(c-q) - f*f) - d*(d*(c-q) - f*e) + e*(d*f - (b-q)*e)) / (p*p*p) / 2))) / 3 AS phi FROM q),
+ev AS (SELECT q, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2.0943951023931953) AS l3 FROM ph),
+ex AS (SELECT l1 / (3 * q) AS r1, (3 * q - l1 - l3) / (3 * q) AS r2, l3 / (3 * q) AS r3 FROM ev)"""
+
 SQL = {
+    "pca_variance": chain(PCA)
+    + f"""SELECT 1 AS component, {r6('r1', 'explained')}, {r6('r1', 'cumulative')}, true AS retained FROM ex
+       UNION ALL SELECT 2, {r6('r2')}, {r6('r1 + r2')}, true FROM ex
+       UNION ALL SELECT 3, {r6('r3')}, {r6('r1 + r2 + r3')}, r1 + r2 < 0.90 FROM ex""",
     "hmm_filter": BASE + f"SELECT f.entity, week_end, {_FILTERED}, {r6('greatest(a0, a1)', 'regime_confidence')} FROM fw f JOIN em e ON e.entity = f.entity AND e.t = f.t",
     "hmm_filter_native": BASE + f"SELECT f.entity, week_end, {_FILTERED} FROM fw f JOIN em e ON e.entity = f.entity AND e.t = f.t",
     "hmm_smooth": BASE
