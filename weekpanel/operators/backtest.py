@@ -56,14 +56,15 @@ def action_name(action_id: Column) -> Column:
 
 def coerce_weights(weights: Column) -> Column:
     """Append zero cash to three weights, reject invalid ones, normalise."""
-    full = F.when(F.size(weights) == 3, F.concat(weights, F.array(F.lit(0.0)))).otherwise(weights)
-    total = F.aggregate(full, F.lit(0.0), lambda a, x: a + x)
+    n = F.size(weights)
+    parts = [F.get(weights, F.lit(i)) for i in range(3)] + [F.when(n == 3, 0.0).otherwise(F.get(weights, F.lit(3)))]
+    total = parts[0] + parts[1] + parts[2] + parts[3]
     fail = lambda m: F.raise_error(F.lit(m)).cast("array<double>")
     return (
-        F.when(F.size(full) != 4, fail("weights must have three or four entries"))
-        .when(F.exists(full, lambda x: x < -NEAR_ZERO), fail("weights must be non-negative"))
+        F.when(~n.isin(3, 4), fail("weights must have three or four entries"))
+        .when(F.least(*parts) < -NEAR_ZERO, fail("weights must be non-negative"))
         .when(total <= 0, fail("weights must sum to a positive number"))
-        .otherwise(F.transform(full, lambda x: x / total))
+        .otherwise(F.array(*[p / total for p in parts]))
     )
 
 

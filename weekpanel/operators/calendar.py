@@ -27,7 +27,7 @@ def week_spine(df: DataFrame, keys: Sequence[str], date_col: str = "date") -> Da
 
 def last_valid(c: str, date_col: str = "date") -> Column:
     """Aggregate: the value at the latest date at which ``c`` is non-null."""
-    return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(date_col))).alias(c)
+    return F.expr(f"max_by(`{c}`, if(`{c}` is not null, `{date_col}`, null))").alias(c)
 
 
 def resample_weekly(

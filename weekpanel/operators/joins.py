@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weekpanel.session import broadcast_checked
+
 STATE_KEYS = ("panel", "week_end", "week_last_trade_date")
 
 
@@ -117,7 +119,7 @@ def first_source(frames: Sequence[DataFrame], entity: str) -> DataFrame:
     tagged = reduce(
         DataFrame.unionByName, [f.withColumn("_priority", F.lit(i)) for i, f in enumerate(frames)]
     )
-    best = tagged.groupBy(entity).agg(F.min("_priority").alias("_best"))
+    best = broadcast_checked(tagged.groupBy(entity).agg(F.min("_priority").alias("_best")))
     return tagged.join(best, entity).filter(F.col("_priority") == F.col("_best")).drop("_priority", "_best")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weekpanel.constants import CLIP_SIGMA
 from weekpanel.functions.semantics import clip, ordered, ratio, so_far, whole
-from weekpanel.session import cut_lineage
+from weekpanel.session import broadcast_checked, cut_lineage
 
 
 def long_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -48,7 +48,7 @@ def exact_percentiles(
         F.collect_set(F.struct("p", "rank")).alias("asked"),
     )
     inner = ordered([*group, "slice"], "value")
-    located = placed.join(asked, [*group, "slice"]).withColumn("upto", F.col("before") + F.sum("n").over(so_far(inner)))
+    located = placed.join(broadcast_checked(asked), [*group, "slice"]).withColumn("upto", F.col("before") + F.sum("n").over(so_far(inner)))
     hit = located.select(*group, "value", "n", "upto", "total", F.inline("asked")).filter(
         (F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto"))
     )
@@ -86,7 +86,7 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
     q = percentile_columns(exact_percentiles(df, columns, (0.25, 0.75), keys), {"q1": 0.25, "q3": 0.75}, keys)
     spread = 1.5 * (F.col("q3") - F.col("q1"))
     bounds = q.select(*keys, "feature", (F.col("q1") - spread).alias("lower_bound"), (F.col("q3") + spread).alias("upper_bound"))
-    marked = long_values(df, columns, keys).join(bounds, [*keys, "feature"])
+    marked = long_values(df, columns, keys).join(broadcast_checked(bounds), [*keys, "feature"])
     outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
     return marked.groupBy(*keys, "feature", "lower_bound", "upper_bound").agg(
         F.count_if(outside).alias("n_outliers"), (F.count_if(outside) / F.count("*") * 100).alias("outlier_pct")
@@ -97,7 +97,7 @@ def box_stats(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> Dat
     """Quartiles and whiskers (most extreme values within 1.5 IQR), no fliers."""
     q = percentile_columns(exact_percentiles(df, columns, (0.25, 0.5, 0.75), keys), {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
     spread = 1.5 * (F.col("q3") - F.col("q1"))
-    joined = long_values(df, columns, keys).join(q, [*keys, "feature"])
+    joined = long_values(df, columns, keys).join(broadcast_checked(q), [*keys, "feature"])
     v = F.col("value")
     low = F.min(F.when(v >= F.col("q1") - spread, v))
     high = F.max(F.when(v <= F.col("q3") + spread, v))
@@ -159,7 +159,7 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = 50, keys: Seque
     span = F.col("_hi") - F.col("_lo")
     position = F.coalesce(F.try_divide(F.col("value") - F.col("_lo"), span), F.lit(0.0))
     bin_id = F.least(F.floor(position * bins), F.lit(bins - 1)).cast("int")
-    counts = long.join(ends, group).groupBy(*group, "_lo", "_hi", "_n", bin_id.alias("bin")).agg(F.count("*").alias("n"))
+    counts = long.join(broadcast_checked(ends), group).groupBy(*group, "_lo", "_hi", "_n", bin_id.alias("bin")).agg(F.count("*").alias("n"))
     width = span / bins
     return counts.select(
         *group, "bin", "n", (F.col("_lo") + F.col("bin") * width).alias("bin_start"),
@@ -223,7 +223,7 @@ def min_max(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     """(x - min) / (max - min + 1e-12) per group; the bounds are a small aggregate."""
     ends = df.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     scaled = (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-12)
-    return df.join(ends, list(keys)).withColumn("scaled", scaled).drop("_lo", "_hi")
+    return df.join(broadcast_checked(ends), list(keys)).withColumn("scaled", scaled).drop("_lo", "_hi")
 
 
 def cumulative(df: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from weekpanel.functions.semantics import ordered
 from weekpanel.operators import backtest as bt
+from weekpanel.operators import features as feat
 from weekpanel.operators import splits as sp
 from weekpanel.operators.bootstrap import bootstrap_sharpe as bootstrap
 from weekpanel.operators.calendar import week_end
 from weekpanel.operators.windows import observation_windows as windows
 from weekpanel.plans.market import bars, rounded, state
-from weekpanel.operators import features as feat
+from weekpanel.session import broadcast_checked
 from weekpanel.sources import given
 
 SPLIT_NAMES = ("warmup", "train", "validation", "locked_test")
@@ -45,13 +46,13 @@ def split_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feature_blocks(spark: SparkSession, d: str) -> DataFrame:
-    market = feat.market_features_weekly(given.price_daily(spark, d)).drop("panel")
+    market = feat.market_features_weekly(bars(spark, d)).drop("panel")
     return sp.feature_blocks(market, sp.infer_feature_groups(market.columns))
 
 
 def policy_actions(spark: SparkSession, d: str) -> DataFrame:
     """Momentum and heuristic decisions on weekly features, missing values included."""
-    market = feat.market_features_weekly(given.price_daily(spark, d))
+    market = feat.market_features_weekly(bars(spark, d))
     momentum = bt.momentum_action("spy_ret_20d", "tlt_ret_20d", "gld_ret_20d")
     heuristic = bt.heuristic_action(
         F.col("vix_level"), F.col("tnx_change_5d"), F.col("spy_ret_20d"), F.col("tlt_ret_20d"),
@@ -98,7 +99,12 @@ def scenario_weights(weeks_df: DataFrame, n: int = SCENARIOS) -> DataFrame:
     wk = F.datediff("week_end", F.lit("1995-01-06").cast("date")) / 7
     s = F.col("scenario")
     raw = [((s * m + wk.cast("int") * k) % 11 + o).cast("double") for m, k, o in ((3, 1, 1), (5, 2, 0), (7, 3, 0), (2, 5, 0))]
-    return weeks_df.withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(
+    # a few weeks become very many rows: spread chunks of scenarios before expanding them
+    size = max(1, n // 64)
+    chunks = weeks_df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // size)))).repartition("chunk")
+    first = F.col("chunk") * size
+    expanded = chunks.withColumn("scenario", F.explode(F.sequence(first, F.least(first + size, F.lit(n)) - 1)))
+    return expanded.select(
         "panel", "split", "week_end", *bt.RETURNS,
         F.concat(F.lit("scenario_"), F.lpad(s.cast("string"), 4, "0")).alias("strategy"),
         F.lit(None).cast("int").alias("action_id"), F.lit("precomputed_weights").alias("action_name"),
@@ -118,10 +124,10 @@ def supplier_mix_metrics(spark: SparkSession, d: str) -> DataFrame:
         F.col("entity").alias("strategy"), "week_end",
         F.array(*[F.col(f"qty_{a}").cast("double") for a in bt.ASSET_KEYS[:3]]).alias("mix"),
     )
-    targets = feat.weekly_targets(given.price_daily(spark, d)).dropna(
+    targets = feat.weekly_targets(bars(spark, d)).dropna(
         "any", subset=["next_return_spy", "next_return_tlt", "next_return_gld"]
     ).select("week_end", *[F.col(f"next_return_{a}").alias(f"return_{a}") for a in bt.ASSET_KEYS[:3]])
-    decided = mix.join(targets, "week_end").select(
+    decided = mix.join(broadcast_checked(targets), "week_end").select(
         F.lit(given.PANEL_NAME).alias("panel"), "strategy", split_of().alias("split"), "week_end",
         *bt.RETURNS[:3], F.lit(0.001).alias("cash_return"),
         F.lit(None).cast("int").alias("action_id"), F.lit("precomputed_weights").alias("action_name"),
@@ -160,7 +166,7 @@ def equity_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 def equity_rebuilt(spark: SparkSession, d: str) -> DataFrame:
     """Equity of next-week returns per asset with missing returns as zero."""
-    t = feat.weekly_targets(given.price_daily(spark, d))
+    t = feat.weekly_targets(bars(spark, d))
     long = t.unpivot(["panel", "week_end"], [f"next_return_{a}" for a in ("spy", "tlt", "gld")], "asset", "net_return")
     return rounded(bt.equity_from_returns(long, ("panel", "asset")))
 

@@ -20,6 +20,12 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[r6(c).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
+def bars(spark: SparkSession, d: str) -> DataFrame:
+    """Daily bars, materialised: calendar-sized, so the line items are scanned
+    and aggregated once however many feature tables are built on them."""
+    return cut_lineage(given.price_daily(spark, d))
+
+
 def price_daily(spark: SparkSession, d: str) -> DataFrame:
     return rounded(given.price_daily(spark, d))
 
@@ -29,19 +35,19 @@ def macro_panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def market_features_daily(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(feat.market_features_daily(given.price_daily(spark, d)))
+    return rounded(feat.market_features_daily(bars(spark, d)))
 
 
 def market_features_weekly(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(feat.market_features_weekly(given.price_daily(spark, d)))
+    return rounded(feat.market_features_weekly(bars(spark, d)))
 
 
 def weekly_targets(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(feat.weekly_targets(given.price_daily(spark, d)))
+    return rounded(feat.weekly_targets(bars(spark, d)))
 
 
 def rebased_prices(spark: SparkSession, d: str) -> DataFrame:
-    prices = given.price_daily(spark, d).filter(F.col("symbol").isin("SPY", "TLT", "GLD"))
+    prices = bars(spark, d).filter(F.col("symbol").isin("SPY", "TLT", "GLD"))
     dense = densify(
         prices.select("panel", "date", "symbol", "adj_close"), ["panel"], "symbol", ("SPY", "TLT", "GLD")
     )
@@ -61,19 +67,13 @@ def weekly_calendar(prices: DataFrame) -> DataFrame:
 
 
 def macro_features_weekly(spark: SparkSession, d: str) -> DataFrame:
-    calendar = weekly_calendar(given.price_daily(spark, d))
-    return rounded(macro_weekly(given.macro_panel(spark, d), calendar, given.SERIES))
-
-
-def bars(spark: SparkSession, d: str) -> DataFrame:
-    """Daily bars, materialised: calendar-sized, so the line items are scanned
-    and aggregated once however many feature tables are built on them."""
-    return cut_lineage(given.price_daily(spark, d))
+    calendar = weekly_calendar(bars(spark, d))
+    return rounded(macro_weekly(cut_lineage(given.macro_panel(spark, d)), calendar, given.SERIES))
 
 
 def state(spark: SparkSession, d: str) -> DataFrame:
     prices = bars(spark, d)
-    macro = macro_weekly(given.macro_panel(spark, d), weekly_calendar(prices), given.SERIES)
+    macro = macro_weekly(cut_lineage(given.macro_panel(spark, d)), weekly_calendar(prices), given.SERIES)
     return joins.model_state(feat.market_features_weekly(prices), macro, feat.weekly_targets(prices))
 
 
@@ -108,7 +108,7 @@ def series_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def source_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Coverage timeline: prices, macro by frequency, news."""
-    prices = given.price_daily(spark, d).select(F.lit("Price Data").alias("label"), "date")
+    prices = bars(spark, d).select(F.lit("Price Data").alias("label"), "date")
     macro = given.macro_panel(spark, d).select(
         F.concat(F.initcap("frequency"), F.lit(" Macro")).alias("label"), "date"
     )
@@ -130,7 +130,7 @@ def week_calendar(spark: SparkSession, d: str) -> DataFrame:
 def forward_filled(spark: SparkSession, d: str) -> DataFrame:
     """Dense symbol calendar: forward fill, presence counts, running sum of nulls."""
     dense = densify(
-        given.price_daily(spark, d).select("panel", "date", "symbol", "adj_close"),
+        bars(spark, d).select("panel", "date", "symbol", "adj_close"),
         ["panel"], "symbol", tuple(given.PRICE_SCALE),
     )
     w = ordered(["panel", "symbol"], "date")
@@ -143,7 +143,7 @@ def forward_filled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trade_calendar_intersection(spark: SparkSession, d: str) -> DataFrame:
-    prices = given.price_daily(spark, d)
+    prices = bars(spark, d)
     per_symbol = [prices.filter(F.col("symbol") == s).select("date") for s in ("SPY", "TLT", "GLD")]
     return joins.common_keys(per_symbol, "date")
 
@@ -151,7 +151,7 @@ def trade_calendar_intersection(spark: SparkSession, d: str) -> DataFrame:
 def missing_tickers(spark: SparkSession, d: str) -> DataFrame:
     """Required tickers without a single bar; the list adds one that never trades."""
     required = spark.createDataFrame([(s,) for s in (*given.PRICE_SCALE, "DIA")], "symbol string")
-    return joins.missing_members(given.price_daily(spark, d), "symbol", required)
+    return joins.missing_members(bars(spark, d), "symbol", required)
 
 
 QUERIES = {

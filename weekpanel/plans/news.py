@@ -11,13 +11,14 @@ from weekpanel.operators import joins
 from weekpanel.operators import news as nw
 from weekpanel.operators.calendar import week_end
 from weekpanel.plans.market import rounded, state
+from weekpanel.session import spread
 from weekpanel.sources import given
 
 ARTICLE_ASSETS = ("SPY", "TLT", "GLD", "VIX", "TNX")
 
 
 def news_enriched(spark: SparkSession, d: str) -> DataFrame:
-    out = nw.enrich(given.news_events(spark, d))
+    out = nw.enrich(spread(given.news_events(spark, d)))
     return rounded(out.select(
         "news_id", "requested_symbol", "title", "published_at", "related_tickers", "sentiment_label", "sentiment_score",
         "topic_label", "impact_score", "relevance_score", "is_relevant", "week_end", "source",
@@ -25,11 +26,11 @@ def news_enriched(spark: SparkSession, d: str) -> DataFrame:
 
 
 def news_weekly(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(nw.weekly_features(nw.enrich(given.news_events(spark, d))))
+    return rounded(nw.weekly_features(nw.enrich(spread(given.news_events(spark, d)))))
 
 
 def model_state_news(spark: SparkSession, d: str) -> DataFrame:
-    full = joins.with_news(state(spark, d), nw.weekly_features(nw.enrich(given.news_events(spark, d))))
+    full = joins.with_news(state(spark, d), nw.weekly_features(nw.enrich(spread(given.news_events(spark, d)))))
     return rounded(full.select(
         "week_end", "spy_ret_5d", "dff_level", "next_return_spy", "headline_count", "mean_sentiment_score",
         "max_impact_score", "topic_other_ratio", "has_news_features", "source",
@@ -62,15 +63,15 @@ def article_calendar(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_article(spark: SparkSession, d: str) -> DataFrame:
-    return nw.best_articles(articles(spark, d), article_calendar(spark, d))
+    return nw.best_articles(spread(articles(spark, d)), article_calendar(spark, d))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return nw.score_texts(nw.choose_texts(articles(spark, d)))
+    return nw.score_texts(nw.choose_texts(spread(articles(spark, d))))
 
 
 def choose_text(spark: SparkSession, d: str) -> DataFrame:
-    return nw.choose_texts(articles(spark, d)).select("url", "asset", "week_end", "finbert_text")
+    return nw.choose_texts(spread(articles(spark, d))).select("url", "asset", "week_end", "finbert_text")
 
 
 def class_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -92,14 +93,14 @@ def coverage_check(spark: SparkSession, d: str) -> DataFrame:
 
 def text_normalize(spark: SparkSession, d: str) -> DataFrame:
     """Cleaning and normalising of whole page sources."""
-    return given.table(spark, d, "pages").select(
+    return spread(given.table(spark, d, "pages")).select(
         "page_id", tx.clean_text("html").alias("cleaned"), tx.normalize("html").alias("normalized"),
         F.array_join(tx.title_tokens("html"), "|").alias("tokens"),
     )
 
 
 def sentence_summary(spark: SparkSession, d: str) -> DataFrame:
-    return given.table(spark, d, "documents").select(
+    return spread(given.table(spark, d, "documents")).select(
         "doc_id", F.size(tx.sentences("text")).alias("n_sentences"), tx.first_sentences("text").alias("summary"),
         tx.boilerplate(F.col("text")).alias("is_boilerplate"), tx.snippet("text").alias("snippet"),
     )

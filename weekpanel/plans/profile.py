@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weekpanel.operators import features as feat
 from weekpanel.operators import stats as st
-from weekpanel.plans.market import rounded
+from weekpanel.plans.market import bars, rounded
 from weekpanel.plans.sequences import MEASURES, TRAIN_END, panel
 from weekpanel.sources import given
 
@@ -39,7 +39,7 @@ def box_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missingness(spark: SparkSession, d: str) -> DataFrame:
-    market = feat.market_features_weekly(given.price_daily(spark, d))
+    market = feat.market_features_weekly(bars(spark, d))
     return rounded(st.missingness(market, feat.market_feature_names()))
 
 
@@ -52,7 +52,7 @@ def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corr_pairs(spark: SparkSession, d: str) -> DataFrame:
-    market = feat.market_features_weekly(given.price_daily(spark, d))
+    market = feat.market_features_weekly(bars(spark, d))
     return rounded(st.high_correlations(market, feat.market_feature_names(), threshold=0.5))
 
 
@@ -85,7 +85,7 @@ def min_max_scaled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cumulative_returns(spark: SparkSession, d: str) -> DataFrame:
-    market = feat.market_features_weekly(given.price_daily(spark, d))
+    market = feat.market_features_weekly(bars(spark, d))
     long = market.unpivot(["panel", "week_end"], ["spy_ret_20d", "tlt_ret_20d", "gld_ret_20d"], "feature", "value")
     return rounded(st.cumulative(long, ["panel", "feature"], "value", "week_end"))
 

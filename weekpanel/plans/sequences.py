@@ -12,8 +12,8 @@ from weekpanel.operators import selection as sel
 from weekpanel.operators import sequences as seq
 from weekpanel.operators.calendar import week_spine
 from weekpanel.plans.backtest import week_index
-from weekpanel.plans.market import rounded
-from weekpanel.session import cut_lineage
+from weekpanel.plans.market import bars, rounded
+from weekpanel.session import broadcast_checked, cut_lineage
 from weekpanel.sources import given
 
 ENTITY = ("entity",)
@@ -110,7 +110,7 @@ def candidate_state() -> Column:
 
 
 def candidate_labels(spark: SparkSession, d: str) -> DataFrame:
-    targets = feat.weekly_targets(given.price_daily(spark, d)).select(
+    targets = feat.weekly_targets(bars(spark, d)).select(
         "week_end", "next_return_spy", "next_return_tlt", "next_return_gld"
     )
     labelled = (
@@ -120,7 +120,7 @@ def candidate_labels(spark: SparkSession, d: str) -> DataFrame:
         .withColumn("state", candidate_state())
         .withColumn("is_val", F.col("week_end") > F.lit(TRAIN_END).cast("date"))
     )
-    return labelled.join(targets, "week_end", "left").select(
+    return labelled.join(broadcast_checked(targets), "week_end", "left").select(
         "entity", "K", "week_end", "state", "is_val", "avg_price",
         F.col("avg_quantity").alias("vix_level"),
         (F.col("avg_price") / 10000).alias("spy_vol_20d"),

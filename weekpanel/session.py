@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -19,6 +20,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra) -> Spark
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # no Python stack capture per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
     )
     for key, value in extra.items():
@@ -46,6 +49,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a CPU-heavy step on an input with few splits.
+
+    Inputs with at least one split per core (any large table) pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Broadcast a small aggregate once its size is known.
+
+    The table is materialised and counted; beyond ``max_rows`` it is returned
+    without a hint and joins by shuffle (with skew handling by AQE).
+    """
+    table = cut_lineage(df)
+    return F.broadcast(table) if table.count() <= max_rows else table
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably; the files survive the loss of executors."""
     checkpoint_dir(df.sparkSession)
