@@ -152,8 +152,8 @@ def maximize(stats: dict, full: bool, min_covar: float, sticky: float = 0.0) ->
     means = stats["first"] / weight[:, None]
     if full:
         outer = np.einsum("ki,kj->kij", means, means)
-        covars = stats["second"] / weight[:, None, None] - outer + min_covar * np.eye(means.shape[1])
-        covars = (covars + covars.transpose(0, 2, 1)) / 2
+        values, axes = np.linalg.eigh(stats["second"] / weight[:, None, None] - outer)
+        covars = np.einsum("kia,ka,kja->kij", axes, np.maximum(values, min_covar), axes)
     else:
-        covars = np.maximum(stats["second"] / weight[:, None] - means**2, 0.0) + min_covar
+        covars = np.maximum(stats["second"] / weight[:, None] - means**2, min_covar)
     return {"start": start, "trans": trans, "means": means, "covars": covars}

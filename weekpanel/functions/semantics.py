@@ -66,12 +66,29 @@ def rolling(agg, c: Column | str, n: int, w: WindowSpec) -> Column:
     return F.when(F.count(c).over(frame) == n, agg(c).over(frame))
 
 
+def correlation(a: Column, b: Column, over: WindowSpec | None = None) -> Column:
+    """Pairwise-complete correlation; NULL where a side does not vary.
+
+    Spark's own ``corr`` raises on zero variance in ANSI mode.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    parts = [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)]
+    cov, sx, sy = [p.over(over) for p in parts] if over is not None else parts
+    return F.try_divide(cov, sx * sy)
+
+
+def widest(agg, cols: Sequence[Column]) -> Column:
+    """``greatest``/``least`` that also takes a single column."""
+    return agg(*cols) if len(cols) > 1 else cols[0]
+
+
 def rolling_corr(a: Column | str, b: Column | str, n: int, w: WindowSpec) -> Column:
     """Pairwise-complete correlation needing ``n`` complete pairs."""
     a, b = col(a), col(b)
     both = a.isNotNull() & b.isNotNull()
-    x, y, frame = F.when(both, a), F.when(both, b), trailing(w, n)
-    return F.when(F.count(x).over(frame) == n, F.corr(x, y).over(frame))
+    frame = trailing(w, n)
+    return F.when(F.count(F.when(both, a)).over(frame) == n, correlation(a, b, frame))
 
 
 def forward_fill(c: Column | str, w: WindowSpec) -> Column:

@@ -138,9 +138,14 @@ def heuristic_action(
     )
 
 
-def baseline_policies() -> dict[str, Column]:
+def baseline_policies_without_features() -> dict[str, Column]:
     policies = {name: fixed_action(name) for _, name, _ in ACTION_TEMPLATES}
     policies["equal_weight_spy_tlt_gld"] = equal_weight()
+    return policies
+
+
+def baseline_policies() -> dict[str, Column]:
+    policies = baseline_policies_without_features()
     policies["momentum_rotation_20d"] = decide_action(momentum_action("spy_ret_20d", "tlt_ret_20d", "gld_ret_20d"))
     policies["heuristic_regime_proxy"] = decide_action(
         heuristic_action(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekpanel.constants import CLIP_SIGMA
-from weekpanel.functions.semantics import clip, ordered, ratio, so_far, whole
+from weekpanel.functions.semantics import clip, correlation, ordered, ratio, so_far, whole, widest
 from weekpanel.session import broadcast_checked, cut_lineage
 
 
@@ -142,7 +142,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str
     ))
     complete = values.select(*keys, F.inline(pairs)).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     names = F.array(*[F.lit(c) for c in columns])
-    return complete.groupBy(*keys, "i", "j").agg(F.corr("a", "b").alias("r")).select(
+    return complete.groupBy(*keys, "i", "j").agg(correlation(F.col("a"), F.col("b")).alias("r")).select(
         *keys, F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"), "r"
     )
 
@@ -186,8 +186,7 @@ def lag_one(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: s
     rows = []
     for c in columns:
         both = F.col(c).isNotNull() & F.col(f"_{c}").isNotNull()
-        r = F.corr(F.when(both, F.col(c)), F.when(both, F.col(f"_{c}")))
-        r = F.when(F.count_if(both) >= 2, r)
+        r = F.when(F.count_if(both) >= 2, correlation(F.col(c), F.col(f"_{c}")))
         rows.append(F.struct(F.lit(c).alias("feature"), r.alias("acf_1")))
     out = lagged.groupBy(*keys).agg(F.array(*rows).alias("_r")).select(*keys, F.inline("_r"))
     return out.withColumn("persistent", F.coalesce(F.abs("acf_1") >= threshold, F.lit(False)))
@@ -213,9 +212,9 @@ def standardize(df: DataFrame, columns: Sequence[str], fit: Column, clip_sigma:
 
 def scaling_checks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(
-        F.greatest(*[F.abs(F.avg(c)) for c in columns]).alias("mean_abs_max"),
-        F.least(*[F.stddev_pop(c) for c in columns]).alias("std_min"),
-        F.greatest(*[F.stddev_pop(c) for c in columns]).alias("std_max"),
+        widest(F.greatest, [F.abs(F.avg(c)) for c in columns]).alias("mean_abs_max"),
+        widest(F.least, [F.stddev_pop(c) for c in columns]).alias("std_min"),
+        widest(F.greatest, [F.stddev_pop(c) for c in columns]).alias("std_max"),
     )
 
 

@@ -63,7 +63,9 @@ def parse_labels(lines: DataFrame, value: str = "value", level: Column | None =
 
 def read_label_files(spark, folder: str) -> DataFrame:
     """Label files of a folder; the agreement level comes from the file name."""
-    lines = spark.read.option("encoding", "ISO-8859-1").text(folder)
+    # the text reader is UTF-8 only: one unquoted column, split by a control character
+    layout = {"encoding": "ISO-8859-1", "sep": "\u0001", "quote": "\u0000"}
+    lines = spark.read.schema("value string").options(**layout).csv(folder)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     level = F.element_at(F.create_map(*[F.lit(x) for kv in AGREEMENT_FILES.items() for x in kv]), F.col("_file"))
     tagged = lines.select("value", name.alias("_file")).filter(F.col("_file").isin(*AGREEMENT_FILES))
