@@ -25,6 +25,7 @@ from weekpanel.constants import (
 )
 from weekpanel.functions.semantics import col, finite, ordered, ratio, so_far, trailing, whole
 from weekpanel.operators.joins import require
+from weekpanel.session import broadcast_checked
 
 ASSET_KEYS = ("spy", "tlt", "gld", "cash")
 WEIGHTS = tuple(f"w_{a}" for a in ASSET_KEYS)
@@ -433,8 +434,10 @@ def policy_score(metrics: DataFrame, policy: str = "strategy") -> DataFrame:
         0.45 * F.col("sharpe_ratio") + 0.35 * F.col("cumulative_return")
         + 0.10 * F.col("reward") + 0.10 * F.col("max_drawdown"),
     )
-    rank = F.row_number().over(ordered(["split"], F.desc_nulls_last("score"), F.col(policy)))
-    return scored.withColumn("is_best", (rank == 1).cast("int"))
+    order = F.when(F.col("score").isNotNull(), F.struct(-F.col("score"), F.col(policy)))
+    best = scored.groupBy("split").agg(F.min_by(policy, order).alias("_best"))
+    joined = scored.join(broadcast_checked(best), "split")
+    return joined.withColumn("is_best", F.coalesce((F.col(policy) == F.col("_best")).cast("int"), F.lit(0))).drop("_best")
 
 
 def composite_score(metrics: DataFrame) -> DataFrame:

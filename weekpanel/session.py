@@ -23,6 +23,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra) -> Spark
         # no Python stack capture per column expression
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
