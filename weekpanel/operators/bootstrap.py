@@ -7,10 +7,12 @@ the calendar); replicates are exploded next to it and no samples are shuffled.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from weekpanel.constants import NEAR_ZERO, PERIODS_PER_YEAR
 from weekpanel.functions.semantics import finite
 from weekpanel.operators.backtest import RUN, guarded_ratio
 
+# metric functions of this module travel to the workers by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of the draw: h = (A*rep + B*block + C*seed + D) mod M.
 A, B, C, D, M = 1103515245, 40692, 69621, 12345, 2147483647
 

@@ -86,15 +86,23 @@ def article_matches(candidates: DataFrame, assets: Sequence[str] = tuple(ARTICLE
     fields = {c: tx.clean_text(c) for c in ("title", "description", "publisher", "url")}
     cleaned = candidates.withColumns(fields)
     inside = F.col("article_date").between(F.date_sub("week_end", 6), F.col("week_end"))
-    matched = cleaned.filter(inside).withColumn("_match", tx.normalize("title", "description", "publisher"))
-    hits = blocked = None
-    for a in assets:
-        here = F.col("asset") == a
-        h = tx.term_hits(F.col("_match"), ARTICLE_TERMS[a])
-        b = tx.any_term(F.col("_match"), (*COMMON_BLOCKED, *ARTICLE_BLOCKED[a]))
-        hits = F.when(here, h) if hits is None else hits.when(here, h)
-        blocked = F.when(here, b) if blocked is None else blocked.when(here, b)
-    return matched.withColumn("hits", hits).filter(~blocked).drop("_match")
+    own = phrase_table({a: ARTICLE_TERMS[a] for a in assets})[F.col("asset")]
+    barred = phrase_table({a: (*COMMON_BLOCKED, *ARTICLE_BLOCKED[a]) for a in assets})[F.col("asset")]
+
+    def counts(padded: Column) -> Column:
+        found = lambda terms: F.size(F.filter(terms, lambda t: F.contains(padded, t)))
+        return F.struct(found(barred).alias("barred"), found(own).alias("hits"))
+
+    # the normalised text is bound once per row, not once per phrase
+    padded = F.concat(F.lit(" "), tx.normalize("title", "description", "publisher"), F.lit(" "))
+    matched = cleaned.filter(inside).withColumn("_m", F.transform(F.array(padded), counts)[0])
+    return matched.filter(F.col("_m.barred") == 0).withColumn("hits", F.col("_m.hits")).drop("_m")
+
+
+def phrase_table(terms: dict[str, Sequence[str]]) -> Column:
+    """Literal map asset -> padded phrases; each row tests only its own asset's."""
+    entries = [(F.lit(a), F.array(*[F.lit(f" {t} ") for t in ts])) for a, ts in terms.items()]
+    return F.create_map(*[x for kv in entries for x in kv])
 
 
 def best_articles(candidates: DataFrame, calendar: DataFrame) -> DataFrame:
