@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.common import ASSETS, DAILY, FEATURES, PRICES, SPINE, STATE, TARGETS, WEEKLY, chain, r6, week
+from oracle.common import ASSETS, FEATURES, PRICES, SPINE, STATE, TARGETS, WEEKLY, chain, r6, week
 
 DISPLAY = """CASE strategy WHEN 'cash_only' THEN 'Cash' WHEN 'spy_only' THEN 'SPY' WHEN 'tlt_only' THEN 'TLT'
   WHEN 'gld_only' THEN 'GLD' WHEN 'spy_80_tlt_20' THEN 'SPY 80 / TLT 20'

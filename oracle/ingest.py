@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracle.common import SERIES_META, chain, r6
-from oracle.news import ARTICLES, clean, normalize, squash
+from oracle.news import ARTICLES, clean, normalize
 from weekpanel.constants import ARTICLE_PATH_EXCLUSIONS
 
 SERIES = """CASE o_orderpriority WHEN '1-URGENT' THEN 'DFF' WHEN '2-HIGH' THEN 'T10Y3M' WHEN '3-MEDIUM' THEN 'NFCI'

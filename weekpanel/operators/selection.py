@@ -23,7 +23,7 @@ from weekpanel.constants import (
     TIER_HIGH,
     TIER_MEDIUM,
 )
-from weekpanel.functions.semantics import ratio, whole
+from weekpanel.functions.semantics import whole
 from weekpanel.operators.sequences import state_diagnostics
 
 STRESS = ("vix_level", "spy_vol_20d", "spy_drawdown_60d")

@@ -12,7 +12,6 @@ from weekpanel.operators import stats as st
 from weekpanel.plans.market import rounded, state
 from weekpanel.plans.news import scored
 from weekpanel.plans.sequences import MEASURES, TRAIN_END, panel, seed_runs
-from weekpanel.sources import given
 
 KEYS = ["entity"]
 # given parameters of the inference queries
