@@ -6,8 +6,10 @@ executors once per Spark context, so that kernels are imported there and caches
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -18,7 +20,6 @@ from pyspark.sql import functions as F
 
 from weekpanel.session import cut_lineage
 
-ARROW_BYTES = 8 << 20
 #: ASCII white space: the separators of words in every contract here.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -42,25 +43,20 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "weekpanel_kernels.zip")
-        with zipfile.ZipFile(path, "w") as archive:
-            for place, _, files in os.walk(root):
-                for name in files:
-                    if name.endswith(".py"):
-                        full = os.path.join(place, name)
-                        archive.write(full, os.path.join("weekpanel", os.path.relpath(full, root)))
-        context.addPyFile(path)
-        # executors fetch the file from the driver's file server; have it copied before the folder goes
-        context.parallelize(range(context.defaultParallelism * 2), context.defaultParallelism * 2).foreachPartition(_nothing)
+    # the driver's file server hands the file to executors, late ones too: it stays until the driver ends
+    folder = tempfile.mkdtemp(prefix="weekpanel-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "weekpanel_kernels.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for place, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(place, name)
+                    archive.write(full, os.path.join("weekpanel", os.path.relpath(full, root)))
+    context.addPyFile(path)
     _shipped.add(context.applicationId)
 
 
-def _nothing(rows) -> None:
-    for _ in rows:
-        pass
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder; survives lost executors."""
     return cut_lineage(df)

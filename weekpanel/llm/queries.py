@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekpanel.llm import chat, sharding
+from weekpanel.llm import chat, rans, sharding, spm_scan
 from weekpanel.llm.base import table
 
 
@@ -23,7 +23,22 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return spm_scan.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return rans.read_tokens(spark, rans.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_piece_codec": op2_piece_codec,
+    "op5_token_files": op5_token_files,
     "op9_chat_format": op9_chat_format,
     "op10_shards": op10_shards,
 }

@@ -21,7 +21,7 @@ from weekpanel.llm.base import keep, numbered
 
 N_SHARDS = 16
 ROUNDS = 6
-SALT_ROWS = 1000
+SALT_ROWS = 250
 MOST_SALTS = 64
 BUCKETS = 1024
 
