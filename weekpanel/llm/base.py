@@ -12,7 +12,8 @@ import re
 import shutil
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,6 +24,8 @@ from weekpanel.session import cut_lineage
 #: ASCII white space: the separators of words in every contract here.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Everything in ASCII but letters and digits.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 _rng = np.random.default_rng(20240607)
 #: Odd multipliers for windows of words, and a random odd value per byte.
@@ -95,9 +98,9 @@ def _pieces(data: bytes, limit: int) -> Iterator[bytes]:
     yield data[start:]
 
 
-def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of the words of a buffer."""
-    edge = np.diff(np.concatenate(([True], SPACE[buf], [True])).astype(np.int8))
+    edge = np.diff(np.concatenate(([True], separators[buf], [True])).astype(np.int8))
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
@@ -111,40 +114,176 @@ def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((total[ends] - total[starts]) * _power("down", n)[starts] + (ends - starts).astype(np.uint64))
 
 
-def words_of(texts: list, lower: bool, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text index, word hashes, offsets of each text's words) for runs of texts of about ``limit`` bytes.
+@dataclass
+class Run:
+    """Texts of a batch side by side: bytes, word spans and hashes, and where each text's bytes and words begin.
 
-    Null and empty texts have no words. A text beyond the limit is hashed in pieces cut at white space, so memory
-    follows the limit, but for its eight bytes per word.
+    ``text`` is the index of the first text. A text beyond the limit comes in several runs of one text each; ``last`` is
+    false for all but its last one.
     """
-    run: list[bytes] = []
+
+    text: int
+    buf: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    words: np.ndarray
+    bytes: np.ndarray
+    last: bool = True
+
+    @property
+    def n(self) -> int:
+        return len(self.bytes) - 1
+
+    def hashes(self) -> np.ndarray:
+        return hash_words(self.buf, self.starts, self.ends)
+
+
+def runs_of(texts: list, lower: bool = False, separators: np.ndarray = SPACE, limit: int = 1 << 20) -> Iterator[Run]:
+    """Runs of about ``limit`` bytes; null and empty texts have no words. Every text is followed by one line feed."""
+    held: list[bytes] = []
     first = size = 0
     for i, text in enumerate(texts):
         data = (text or "").encode("utf-8", "surrogatepass")
         if lower:
             data = data.lower()
         if len(data) > limit:
-            if run:
-                yield (first, *_hash_run(run))
-            parts = [_hash_run([piece])[0] for piece in _pieces(data, limit)]
-            hashes = np.concatenate(parts)
-            yield i, hashes, np.array([0, len(hashes)])
-            run, first, size = [], i + 1, 0
+            if held:
+                yield _run(first, held, separators)
+            parts = list(_pieces(data, limit))
+            for k, piece in enumerate(parts):
+                run = _run(i, [piece], separators)
+                run.last = k == len(parts) - 1
+                yield run
+            held, first, size = [], i + 1, 0
             continue
-        run.append(data)
+        held.append(data)
         size += len(data) + 1
         if size > limit:
-            yield (first, *_hash_run(run))
-            run, first, size = [], i + 1, 0
-    if run:
-        yield (first, *_hash_run(run))
+            yield _run(first, held, separators)
+            held, first, size = [], i + 1, 0
+    if held:
+        yield _run(first, held, separators)
+
+
+def _run(first: int, held: list[bytes], separators: np.ndarray) -> Run:
+    buf = np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
+    starts, ends = word_spans(buf, separators)
+    edges = np.concatenate(([0], np.cumsum([len(x) + 1 for x in held])))
+    return Run(first, buf, starts, ends, np.searchsorted(starts, edges), edges)
+
+
+def words_of(texts: list, lower: bool, separators: np.ndarray = SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text index, word hashes, offsets of each text's words) in runs; a very long text is put together again."""
+    held: list[np.ndarray] = []
+    for run in runs_of(texts, lower, separators):
+        hashes = run.hashes()
+        if not run.last or held:
+            held.append(hashes)
+            if run.last:
+                whole = np.concatenate(held)
+                yield run.text, whole, np.array([0, len(whole)])
+                held = []
+            continue
+        yield run.text, hashes, run.words
+
 
+class SpanTable:
+    """Token ids of byte spans seen before, as an open-addressing table in arrays.
+
+    ``learn`` gives the ids of new spans. About 40 bytes a span; beyond ``most`` spans the table starts anew.
+    """
 
-def _hash_run(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    buf = np.frombuffer(b"\n".join(run), np.uint8)
-    starts, ends = word_spans(buf)
-    edges = np.concatenate(([0], np.cumsum([len(x) + 1 for x in run])))
-    return hash_words(buf, starts, ends), np.searchsorted(starts, edges)
+    def __init__(self, kind: np.dtype, learn: Callable[[list[bytes]], list[np.ndarray]], most: int = 1 << 21):
+        self.kind, self.learn, self.most = kind, learn, most
+        self._clear(1 << 16)
+
+    def _clear(self, slots: int) -> None:
+        self.shift = np.uint64(64 - slots.bit_length() + 1)
+        self.key, self.start, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, np.int32)
+        self.pool, self.used, self.n = np.zeros(1 << 16, self.kind), 0, 0
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each hash, or -1."""
+        at = (hashes >> self.shift).astype(np.int64)
+        out = np.full(len(hashes), -1)
+        left = np.arange(len(hashes))
+        while len(left):
+            key = self.key[at]
+            hit = key == hashes[left]
+            out[left[hit]] = at[hit]
+            on = ~hit & (key != 0)
+            left, at = left[on], (at[on] + 1) & (len(self.key) - 1)
+        return out
+
+    def _place(self, hashes: np.ndarray) -> np.ndarray:
+        """Slots for new distinct hashes."""
+        out = np.full(len(hashes), -1)
+        left, at = np.arange(len(hashes)), (hashes >> self.shift).astype(np.int64)
+        while len(left):
+            free = self.key[at] == 0
+            self.key[at[free]] = hashes[left[free]]
+            won = self.key[at] == hashes[left]
+            out[left[won]] = at[won]
+            left, at = left[~won], (at[~won] + 1) & (len(self.key) - 1)
+        return out
+
+    def _grow(self, room: int) -> None:
+        slots = len(self.key)
+        if 2 * (self.n + room) <= slots:
+            return
+        while 2 * (self.n + room) > slots:
+            slots *= 2
+        old = self.key, self.start, self.size
+        used = np.flatnonzero(old[0])
+        self.shift = np.uint64(64 - slots.bit_length() + 1)
+        self.key, self.start, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.zeros(slots, np.int32)
+        at = self._place(old[0][used])
+        self.start[at], self.size[at] = old[1][used], old[2][used]
+
+    def ids(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all spans in a row, and the number of ids of each span."""
+        hashes = np.maximum(hash_words(buf, starts, ends), np.uint64(1))
+        slots = self._find(hashes)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            new, first = np.unique(hashes[missing], return_index=True)
+            if self.n and self.n + len(new) > self.most:
+                self._clear(1 << 16)
+                return self.ids(buf, starts, ends)
+            data = buf.tobytes()
+            found = self.learn([data[starts[i] : ends[i]] for i in missing[first].tolist()])
+            sizes = np.array([len(x) for x in found], np.int64)
+            self._grow(len(new))
+            while self.used + sizes.sum() > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.used : self.used + sizes.sum()] = np.concatenate([*found, np.zeros(0, self.kind)])
+            at = self._place(new)
+            self.start[at], self.size[at] = self.used + np.cumsum(sizes) - sizes, sizes
+            self.used, self.n = self.used + int(sizes.sum()), self.n + len(new)
+            slots = self._find(hashes)
+        size = self.size[slots].astype(np.int64)
+        ends_ = np.cumsum(size)
+        place = np.repeat(self.start[slots] - (ends_ - size), size) + np.arange(ends_[-1] if len(size) else 0)
+        return self.pool[place], size
+
+
+def gap_spans(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last text, bytes, span starts, ends, offsets of each text's spans) in runs of about ``limit`` bytes.
+
+    Spans begin at every space and line feed (which they hold) and at every text's begin."""
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size < limit):
+            size += len(texts[last])
+            last += 1
+        buf = np.frombuffer(b"".join(texts[first:last]), np.uint8)
+        edges = np.concatenate(([0], np.cumsum([len(t) for t in texts[first:last]])))
+        begin = (buf == 0x20) | (buf == 0x0A)
+        begin[edges[:-1][edges[:-1] < len(buf)]] = True
+        starts = np.flatnonzero(begin)
+        yield first, last, buf, starts, np.append(starts[1:], len(buf)), np.searchsorted(starts, edges)
+        first = last
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:

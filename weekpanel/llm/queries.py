@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekpanel.llm import chat, rans, sharding, spm_scan
+from weekpanel.llm import chat, rans, sharding, spm_scan, toxicity
 from weekpanel.llm.base import table
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the planted one, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -39,6 +43,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_piece_codec": op2_piece_codec,
     "op5_token_files": op5_token_files,
+    "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_shards": op10_shards,
 }

@@ -1,8 +1,8 @@
 """Operator 5: token ids in an entropy-coded file format (static range asymmetric numeral system).
 
 * Texts are encoded by the ``tokenizers`` library. White space decides where its pre-tokenizer must cut, so the ids of
-  a word with its leading space are looked up in a bounded cache per worker and only unseen words are encoded; texts
-  with runs of white space go to the library whole.
+  a word with its leading space come from a bounded table per worker and only unseen words go through the library's
+  model; texts with runs of white space go through the library whole.
 * Documents are packed by ranges of 2^10 ids (one compressed row per range and batch), shuffled by range, and their
   token counts summed over all documents into one shared frequency table (at most one row per token of the vocabulary).
 * Each range is written in ascending id order as independent blocks. The tokens of a block are dealt over interleaved
@@ -16,7 +16,6 @@ an empty table gives no rows. Blocks hold whole documents, so memory follows the
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,60 +27,86 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weekpanel.llm.base import keep, ship
+from weekpanel.llm.base import SpanTable, gap_spans, keep, ship
 from weekpanel.session import checkpoint_dir
 
 BITS = 20
 LOW = np.uint64(1 << 31)
-LANES = 1024
-STRIDE = 128
-BLOCK_TOKENS = 1 << 18
+LANES = 2048
+STRIDE = 64
+BLOCK_TOKENS = 1 << 19
 RANGE_BITS = 10
-CACHE_WORDS = 1_000_000
-#: White space other than a single space or line feed: such texts are encoded whole.
-_RUNS = re.compile(r"[^\S \n]|[ \n][ \n]")
+CACHE_PIECES = 200_000
+#: Runs of white space, and white space other than a space or line feed: such texts are encoded whole.
+_RUNS = ("  ", " \n", "\n ", "\n\n")
+_OTHER = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+BATCH = 1024
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Ids of texts as little-endian bytes, with a cache per word."""
+    """Ids of texts, with a table of words seen before."""
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split, whole = [], []
-        for i, text in enumerate(texts):
-            if _RUNS.search(text):
-                whole.append(i)
-                continue
-            parts = text.replace("\n", " \n").split(" ")
-            # a first word has no leading space; "\0" keeps it apart from the same word inside a text
-            parts[0] = "\0" + parts[0]
-            split.append((i, parts))
-        new = list(set().union(*(p for _, p in split)) - self.words.keys())
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = list(set().union(*(p for _, p in split)))
-        said = [w[1:] if w[:1] == "\0" else w if w[:1] == "\n" else " " + w for w in new]
-        self.words.update(zip(new, self._encode(said), strict=True))
-        look = self.words.__getitem__
-        for i, parts in split:
-            out[i] = b"".join(map(look, parts))
-        for i in whole:
-            out[i] = self._encode([texts[i]])[0]
+        self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        # the model's letter for each byte: its own pre-tokenizer tells
+        letters = {b: self._letter(b) for b in range(128)}
+        free = iter(range(0x100, 0x200))
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.letters = {b: chr(b) if b in plain else chr(next(free)) for b in range(256)}
+        if any(self.letters[b] != x for b, x in letters.items() if x):
+            raise ValueError("only byte-level models are read")
+        self.pieces: dict[str, np.ndarray] = {}
+        self.table = SpanTable(self.kind, self._learn)
+
+    def _letter(self, byte: int) -> str:
+        said = self.model.pre_tokenizer.pre_tokenize_str(chr(byte))
+        return said[0][0] if said else ""
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _learn(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of unseen words: cut by the tokenizer's pattern, each piece through its model."""
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        known, tokenize, out = self.pieces, self.model.model.tokenize, []
+        for word in words:
+            ids = []
+            for piece in self.cut(word.decode("utf-8", "surrogatepass")):
+                got = known.get(piece)
+                if got is None:
+                    letters = piece.encode("utf-8", "surrogatepass").decode("latin1").translate(self.letters)
+                    got = known[piece] = [t.id for t in tokenize(letters)]
+                ids += got
+            out.append(np.array(ids, self.kind))
         return out
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and their number per text."""
+        odd = [any(x in t for x in _RUNS) or any(x in t for x in _OTHER) for t in texts]
+        plain = [b"" if o else t.encode("utf-8", "surrogatepass") for t, o in zip(texts, odd, strict=True)]
+        parts, sizes = [], np.zeros(len(texts), np.int64)
+        for first, last, buf, starts, ends, offsets in gap_spans(plain):
+            ids, count = self.table.ids(buf, starts, ends)
+            at = np.concatenate(([0], np.cumsum(count)))[offsets]
+            sizes[first:last] = np.diff(at)
+            done = 0
+            for i in range(first, last):
+                if odd[i]:
+                    parts += [ids[done : at[i - first]], self.whole(texts[i])]
+                    sizes[i], done = len(parts[-1]), at[i - first]
+            parts.append(ids[done : at[-1]])
+        return np.concatenate([*parts, np.zeros(0, self.kind)]), sizes
+
 
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
@@ -175,19 +200,23 @@ def decode_block(n: int, states: bytes, words: bytes, model: Model, lanes: int,
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     coder = encoder(path)
-    squeeze = zstandard.ZstdCompressor(3)
-    end = np.array([end_id], coder.kind).tobytes()
-    for batch in batches:
-        keys = batch.column(0).to_pylist()
-        ids = [x + end for x in coder.encode([t or "" for t in batch.column(1).to_pylist()])]
-        groups: dict[int, list[int]] = {}
-        for i, key in enumerate(keys):
-            groups.setdefault(-(1 << 62) if key is None else key >> RANGE_BITS, []).append(i)
-        for part, rows in groups.items():
-            yield pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int64()), pa.array([[keys[i] for i in rows]], pa.list_(pa.int64())),
-                pa.array([[len(ids[i]) // coder.width for i in rows]], pa.list_(pa.int32())),
-                pa.array([squeeze.compress(b"".join(ids[i] for i in rows))], pa.binary())], ["part", "ids", "lens", "data"])
+    squeeze = zstandard.ZstdCompressor(1)
+    for whole in batches:
+        for first in range(0, whole.num_rows, BATCH):
+            batch = whole.slice(first, BATCH)
+            keys = batch.column(0).to_pylist()
+            ids, sizes = coder.encode([t or "" for t in batch.column(1).to_pylist()])
+            ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+            ends = np.cumsum(sizes)
+            groups: dict[int, list[int]] = {}
+            for i, key in enumerate(keys):
+                groups.setdefault(-(1 << 62) if key is None else key >> RANGE_BITS, []).append(i)
+            for part, rows in groups.items():
+                body = ids if len(groups) == 1 else np.concatenate([ids[ends[i] - sizes[i] : ends[i]] for i in rows])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([part], pa.int64()), pa.array([[keys[i] for i in rows]], pa.list_(pa.int64())),
+                    pa.array([sizes[rows].tolist()], pa.list_(pa.int32())),
+                    pa.array([squeeze.compress(body.tobytes())], pa.binary())], ["part", "ids", "lens", "data"])
 
 
 PACK = "part long, ids array<long>, lens array<int>, data binary"

@@ -28,10 +28,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekpanel.llm.base import keep, ship
+from weekpanel.llm.base import SpanTable, gap_spans, keep, ship
 
 CHUNK = 1 << 15
-CACHE_WORDS = 600_000
+BATCH = 512
+CACHE_SEGMENTS = 150_000
 BAR = "▁"
 _CUTS = re.compile(f"(?<=[^{BAR}])(?={BAR})")
 LOWEST = float("-inf")
@@ -67,7 +68,7 @@ class Pieces:
         self.unknown = min(self.score.values()) - 10
         self.starts = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
         self.kind = np.dtype("<u2" if model.vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {}
+        self.table = SpanTable(self.kind, self._learn)
         self.segments: dict[str, tuple[bytes, float]] = {}
 
     def edges(self, text: str, i: int) -> Iterator[tuple[int, float]]:
@@ -124,41 +125,49 @@ class Pieces:
             best, back = self.forward(text)
             ids = self.ids_between(text, back, len(text), 0)[0]
             got = np.array(ids, self.kind).tobytes(), best[-1]
-            if len(self.segments) > CACHE_WORDS // 4:
+            if len(self.segments) > CACHE_SEGMENTS:
                 self.segments.clear()
             if len(text) < 64:
                 self.segments[text] = got
         return got
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0] == " " or "  " in text or BAR in text:
-            return b"".join(self.segment(s)[0] for s in _CUTS.split(normal(text)))
-        # no piece holds a line feed, so that words behind one have no mark and are cut there
-        parts = text.replace("\n", " \n").split(" ")
-        words = self.words
-        try:
-            return b"".join(map(words.__getitem__, parts))
-        except KeyError:
-            if len(words) > CACHE_WORDS:
-                words.clear()
-            out = []
-            for part in parts:
-                got = words.get(part)
-                if got is None:
-                    whole = part if part[:1] == "\n" else BAR + part
-                    ids = self.ids_between(whole, self.forward(whole)[1], len(whole), 0)[0]
-                    got = np.array(ids, self.kind).tobytes()
-                    if len(part) < 64:
-                        words[part] = got
-                out.append(got)
-            return b"".join(out)
+    def _learn(self, words: list[bytes]) -> list[np.ndarray]:
+        out = []
+        for word in words:
+            text = word.decode("utf-8", "surrogatepass")
+            # no piece holds a line feed, so that a word behind one has no mark and is cut there
+            text = text if text[:1] == "\n" else BAR + text.removeprefix(" ")
+            out.append(np.array(self.ids_between(text, self.forward(text)[1], len(text), 0)[0], self.kind))
+        return out
 
-    def decode(self, ids) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "surrogatepass")
+    def whole(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(self.segment(s)[0] for s in _CUTS.split(normal(text)) if s), self.kind)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and their number per text."""
+        odd = [t[:1] in " \n" or "  " in t or BAR in t for t in texts]
+        plain = [b"" if o else t.encode("utf-8", "surrogatepass") for t, o in zip(texts, odd, strict=True)]
+        parts, sizes = [], np.zeros(len(texts), np.int64)
+        for first, last, buf, starts, ends, offsets in gap_spans(plain):
+            ids, count = self.table.ids(buf, starts, ends)
+            at = np.concatenate(([0], np.cumsum(count)))[offsets]
+            sizes[first:last] = np.diff(at)
+            done = 0
+            for i in range(first, last):
+                if odd[i]:
+                    parts += [ids[done : at[i - first]], self.whole(texts[i])]
+                    sizes[i], done = len(parts[-1]), at[i - first]
+            parts.append(ids[done : at[-1]])
+        return np.concatenate([*parts, np.zeros(0, self.kind)]), sizes
+
+    def join(self, surfaces: list[bytes]) -> str:
+        text = b"".join(surfaces).decode("utf-8", "surrogatepass")
         return text[1:] if text[:1] == " " else text
 
+    def decode(self, ids) -> str:
+        """The text of ids: byte pieces joined, marks read as spaces, the leading one dropped."""
+        return self.join([self.surface[i] for i in ids])
+
     def transfer(self, text: str, context: int) -> np.ndarray:
         """Max-plus matrix of a chunk: entry state (cut ``s`` before its begin) to exit state (cut ``t`` before its end)."""
         size = self.longest
@@ -261,23 +270,22 @@ _OUT = ["doc_id", "n_chars", "n_tokens", "n_chunks", "ids", "round_trip"]
 SCHEMA = "doc_id long, n_chars long, n_tokens long, n_chunks int, ids array<int>, round_trip boolean"
 
 
-def _rows(keys, texts, ids: list[bytes], n_chunks: list[int], model: Pieces) -> pa.RecordBatch:
-    arrays = [np.frombuffer(x, model.kind) for x in ids]
-    offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-    values = np.concatenate([*arrays, np.zeros(0, model.kind)]).astype(np.int32)
-    same = [model.decode(a.tolist()) == t.replace(BAR, " ") for a, t in zip(arrays, texts, strict=True)]
+def _rows(keys, texts, ids: np.ndarray, sizes: np.ndarray, n_chunks: list[int], model: Pieces) -> pa.RecordBatch:
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    surfaces = list(map(model.surface.__getitem__, ids.tolist()))
+    same = [model.join(surfaces[a:b]) == t.replace(BAR, " ") for a, b, t in zip(offsets, offsets[1:], texts, strict=False)]
     return pa.RecordBatch.from_arrays([
-        pa.array(keys, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(np.diff(offsets).astype(np.int64)),
-        pa.array(n_chunks, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(same, pa.bool_())], _OUT)
+        pa.array(keys, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes), pa.array(n_chunks, pa.int32()),
+        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))), pa.array(same, pa.bool_())], _OUT)
 
 
 def _short(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     model = pieces(path)
     for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
+        for at in range(0, whole.num_rows, BATCH):
+            batch = whole.slice(at, BATCH)
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield _rows(batch.column(0).to_pylist(), texts, [model.encode(t) for t in texts], [min(1, len(t)) for t in texts], model)
+            yield _rows(batch.column(0).to_pylist(), texts, *model.encode(texts), [min(1, len(t)) for t in texts], model)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa.RecordBatch]:
@@ -334,7 +342,8 @@ def _joined(path: str):
         model, rows = pieces(path), sorted(table.to_pylist(), key=lambda r: r["chunk"])
         ids = b"".join(r["common"] + r["tails"][t] for r, t in zip(rows, follow([r["to"] for r in rows]), strict=True))
         text = "".join(_text(r["data"])[r["context"] :] for r in rows)[1:].replace(BAR, " ")
-        return pa.Table.from_batches([_rows([rows[0]["doc_id"]], [text], [ids], [len(rows)], model)])
+        found = np.frombuffer(ids, model.kind)
+        return pa.Table.from_batches([_rows([rows[0]["doc_id"]], [text], found, np.array([len(found)]), [len(rows)], model)])
 
     return join
 
