@@ -66,26 +66,16 @@ class Pieces:
             raise ValueError("a piece holds the mark behind another character, or a line feed")
         self.longest = max(map(len, self.score))
         self.unknown = min(self.score.values()) - 10
-        self.starts = {p[:k] for p in self.score for k in range(1, len(p) + 1)}
+        # every begin of a piece; those that are no piece score lowest
+        self.tree = {p[:k]: LOWEST for p in self.score for k in range(1, len(p) + 1)} | self.score
         self.kind = np.dtype("<u2" if model.vocab_size() <= 1 << 16 else "<u4")
         self.table = SpanTable(self.kind, self._learn)
         self.segments: dict[str, tuple[bytes, float]] = {}
 
-    def edges(self, text: str, i: int) -> Iterator[tuple[int, float]]:
-        """(end, score) of what can begin at ``i``, shortest first."""
-        score, starts = self.score, self.starts
-        if text[i] not in score:
-            yield i + 1, self.unknown
-        for end in range(i + 1, min(len(text), i + self.longest) + 1):
-            piece = text[i:end]
-            if piece not in starts:
-                return
-            value = score.get(piece)
-            if value is not None:
-                yield end, value
-
     def forward(self, text: str, first: np.ndarray | None = None) -> tuple[list[float], list[int]]:
-        """Best score and last cut per position; ``first``: scores of the first positions that are known already."""
+        """Best score and last cut per position; ``first``: scores of the first positions that are known already.
+
+        Begins are taken in ascending order and only a higher score replaces one, so equals keep the longest piece."""
         n = len(text)
         best, back = [LOWEST] * (n + 1), [-1] * (n + 1)
         known = 1
@@ -93,31 +83,39 @@ class Pieces:
             best[0] = 0.0
         else:
             known = len(first)
-            best[:known] = [float(x) for x in first]
+            best[:known] = first.tolist()
+        look, unknown, longest = self.tree.get, self.unknown, self.longest
         for i in range(n):
             at = best[i]
             if at == LOWEST:
                 continue
-            for end, value in self.edges(text, i):
-                if end >= known and at + value > best[end]:
+            value = look(text[i])
+            if (value is None or value == LOWEST) and i + 1 >= known and at + unknown > best[i + 1]:
+                best[i + 1], back[i + 1] = at + unknown, i
+            end = i
+            while value is not None:
+                end += 1
+                if at + value > best[end] and end >= known:
                     best[end], back[end] = at + value, i
+                if end == n or end - i == longest:
+                    break
+                value = look(text[i : end + 1])
         return best, back
 
     def ids_between(self, text: str, back: list[int], end: int, stop: int) -> tuple[list[int], int]:
         """Ids of the path that ends at ``end``, back to the first cut at or before ``stop``."""
-        cuts = [end]
-        while cuts[-1] > stop:
-            cuts.append(back[cuts[-1]])
-        cuts.reverse()
         out: list[int] = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            piece = text[a:b]
-            known = self.id.get(piece)
+        look = self.id.get
+        while end > stop:
+            piece = text[back[end] : end]
+            known = look(piece)
             if known is None:
-                out.extend(self.bytes[x] for x in piece.encode("utf-8", "surrogatepass"))
+                out.extend(self.bytes[x] for x in reversed(piece.encode("utf-8", "surrogatepass")))
             else:
                 out.append(known)
-        return out, cuts[0]
+            end = back[end]
+        out.reverse()
+        return out, end
 
     def segment(self, text: str) -> tuple[bytes, float]:
         """Ids and score of a normalised string that segmentations cannot cross."""
