@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekpanel.llm import chat, rans, sharding, spm_scan, toxicity
+from weekpanel.llm import chat, decontam, minmax, rans, sharding, spm_scan, toxicity
 from weekpanel.llm.base import table
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +37,10 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_scan.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,7 +50,9 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_piece_codec": op2_piece_codec,
+    "op3_benchmark_leaks": op3_benchmark_leaks,
     "op5_token_files": op5_token_files,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_shards": op10_shards,
