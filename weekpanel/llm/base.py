@@ -138,8 +138,10 @@ class Run:
         return hash_words(self.buf, self.starts, self.ends)
 
 
-def runs_of(texts: list, lower: bool = False, separators: np.ndarray = SPACE, limit: int = 1 << 20) -> Iterator[Run]:
-    """Runs of about ``limit`` bytes; null and empty texts have no words. Every text is followed by one line feed."""
+def runs_of(texts: list, lower: bool = False, separators: np.ndarray = SPACE, limit: int = 1 << 20, cut: bool = True) -> Iterator[Run]:
+    """Runs of about ``limit`` bytes; null and empty texts have no words. Every text is followed by one line feed.
+
+    Without ``cut`` a longer text is one run, at about 60 bytes of memory a byte."""
     held: list[bytes] = []
     first = size = 0
     for i, text in enumerate(texts):
@@ -149,7 +151,7 @@ def runs_of(texts: list, lower: bool = False, separators: np.ndarray = SPACE, li
         if len(data) > limit:
             if held:
                 yield _run(first, held, separators)
-            parts = list(_pieces(data, limit))
+            parts = list(_pieces(data, limit)) if cut else [data]
             for k, piece in enumerate(parts):
                 run = _run(i, [piece], separators)
                 run.last = k == len(parts) - 1

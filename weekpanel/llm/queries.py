@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekpanel.llm import chat, decontam, minmax, rans, sharding, spm_scan, toxicity
+from weekpanel.llm import chat, decontam, minmax, quality, rans, sharding, spm_scan, toxicity
 from weekpanel.llm.base import table
 
 
@@ -31,6 +31,10 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,6 +53,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_piece_codec": op2_piece_codec,
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op5_token_files": op5_token_files,
