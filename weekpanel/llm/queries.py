@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekpanel.llm import chat, decontam, minmax, quality, rans, sharding, spm_scan, toxicity
+from weekpanel.llm import chat, crf, decontam, minmax, quality, rans, sharding, spm_scan, toxicity
 from weekpanel.llm.base import table
 
 
@@ -45,6 +45,10 @@ def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_piece_codec": op2_piece_codec,
     "op3_benchmark_leaks": op3_benchmark_leaks,
+    "op4_line_rules": op4_line_rules,
     "op5_token_files": op5_token_files,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_toxicity": op8_toxicity,
