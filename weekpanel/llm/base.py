@@ -341,3 +341,9 @@ def numbered(df: DataFrame, group: str, bucket, order: list, name: str) -> DataF
     inside = Window.partitionBy(group, "_bucket").orderBy(*order)
     out = df.withColumn("_row", F.row_number().over(inside)).join(F.broadcast(starts), [group, "_bucket"])
     return out.withColumn(name, F.col("_start") + F.col("_row") - 1).drop("_bucket", "_start", "_row")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Materialised ``df``: to be broadcast up to ``rows`` rows, joined by a shuffle (with skew handling) beyond them."""
+    table = keep(df)
+    return F.broadcast(table) if table.count() <= rows else table

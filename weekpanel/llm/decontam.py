@@ -153,11 +153,25 @@ def blocks(prints: np.ndarray) -> np.ndarray:
 _built: dict[str, Index] = {}
 
 
-def _scan(batches: Iterator[pa.RecordBatch], items, name: str) -> Iterator[pa.RecordBatch]:
+def _index(items, name: str) -> Index:
     if name not in _built:
         _built.clear()
         _built[name] = Index(items.value)
-    index = _built[name]
+    return _built[name]
+
+
+def _clean(batches: Iterator[pa.RecordBatch], items, name: str) -> Iterator[pa.RecordBatch]:
+    index = _index(items, name)
+    for batch in batches:
+        clean = np.ones(batch.num_rows, bool)
+        for first, hashes, offsets in words_of(batch.column("text").to_pylist(), True):
+            for k, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
+                clean[first + k] = not index.matches(hashes[a:b])
+        yield batch.filter(pa.array(clean))
+
+
+def _scan(batches: Iterator[pa.RecordBatch], items, name: str) -> Iterator[pa.RecordBatch]:
+    index = _index(items, name)
     for batch in batches:
         keys = batch.column(0).to_pylist()
         out: list[tuple] = []
@@ -169,19 +183,30 @@ def _scan(batches: Iterator[pa.RecordBatch], items, name: str) -> Iterator[pa.Re
             pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64()), ("distance", pa.int32())]))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """One row per document and benchmark item that the document holds."""
-    spark = docs.sparkSession
+def _passes(spark, benchmark: DataFrame, item_bytes: int) -> Iterator[tuple]:
+    """(broadcast items, name) of bounded size."""
     ship(spark)
     items = benchmark.where("text is not null").select("item_id", "text", F.octet_length("text").alias("size"))
     total = items.agg(F.sum("size")).first()[0] or 0
     # several times as many parts as needed keep each below the bound
     parts = 1 if total <= item_bytes else int(4 * total // item_bytes) + 1
-    out = None
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).select("item_id", "text").collect()
-        held = spark.sparkContext.broadcast(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r)))
-        name = f"{spark.sparkContext.applicationId}-{held._jbroadcast.id()}"
+        held = spark.sparkContext.broadcast(sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1])))
+        yield held, f"{spark.sparkContext.applicationId}-{held._jbroadcast.id()}"
+
+
+def find(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """One row per document and benchmark item that the document holds."""
+    out = None
+    for held, name in _passes(docs.sparkSession, benchmark, item_bytes):
         found = docs.select("doc_id", "text").mapInArrow(lambda b, h=held, n=name: _scan(b, h, n), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def filter_leaks(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
+    for held, name in _passes(docs.sparkSession, benchmark, item_bytes):
+        docs = docs.mapInArrow(lambda b, h=held, n=name: _clean(b, h, n), docs.schema)
+    return docs

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekpanel.llm.base import WINDOW_MULT, components, keep, mix, ship, windows, words_of
+from weekpanel.llm.base import WINDOW_MULT, components, keep, mix, ship, small, windows, words_of
 
 SHINGLE = 5
 PERCENT = 85
@@ -173,8 +173,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     clusters = components(ties).withColumnRenamed("root", "cluster")
     weight = classes.join(clusters, "node").groupBy("cluster").agg(F.sum("n_shingles").alias("weight"))
     parts = F.ceil(F.col("weight") / BLOCK).cast("int").alias("parts")
-    members = keep(clusters.join(weight.select("cluster", parts), "cluster").withColumnRenamed("node", "doc_id"))
-    members = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
+    members = small(clusters.join(weight.select("cluster", parts), "cluster").withColumnRenamed("node", "doc_id"), BROADCAST_ROWS)
     sets = docs.join(members, "doc_id").select("doc_id", "cluster", "parts", "text").mapInArrow(
         _sets, "doc_id long, cluster long, parts int, data binary")
     # a member of block p meets every other block q once, in the task of the pair
@@ -190,3 +189,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = signed.select("doc_id", *digest).join(roots, digest, "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def filter_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component: the rows whose id is not among those that go."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(small(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)

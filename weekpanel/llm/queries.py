@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekpanel.llm import chat, crf, decontam, minmax, quality, rans, sharding, spm_scan, toxicity
+from weekpanel.llm import chat, crf, decontam, line_dedup, minmax, quality, rans, sharding, spm_scan, toxicity
 from weekpanel.llm.base import table
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_leaks": op3_benchmark_leaks,
     "op4_line_rules": op4_line_rules,
     "op5_token_files": op5_token_files,
+    "op6_line_dedup": op6_line_dedup,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
