@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from weekpanel.llm.base import keep, numbered
 
 N_SHARDS = 16
-ROUNDS = 6
+ROUNDS = 16
 SALT_ROWS = 250
 MOST_SALTS = 64
 BUCKETS = 1024
