@@ -199,8 +199,9 @@ def test_shards_keep_copies_together(spark):
     for r in got:
         places[r.text_crc32].add(r.shard)
     assert np.mean([len(places[zlib.crc32(f"copy {k}".encode())]) == 1 for k in range(30)]) > 0.9
-    # a third of all rows cannot fit one shard, but should not lie in all of them
-    assert len(places[zlib.crc32(b"hot")]) < 16
+    # a third of all rows cannot fit one shard, but fills few
+    hot = Counter(r.shard for r in got if r.doc_id >= 2000)
+    assert sum(n for _, n in hot.most_common(8)) > 0.8 * 260
 
 
 def test_shards_of_odd_input(spark, odd_texts):

@@ -45,7 +45,8 @@ def propagate(linked: DataFrame, quota: list[int], n_shards: int, rounds: int) -
     keys = ["crc", "hash", "size"]
     for turn in range(rounds):
         loads = _loads(linked, n_shards)
-        room = [max(0, q - x) for q, x in zip(quota, loads, strict=True)]
+        # a shard with next to no room is closed, so that large groups turn to the next one
+        room = [max(0, q - x) if q - x > q // 20 else 0 for q, x in zip(quota, loads, strict=True)]
         cells = keep(linked.groupBy(*keys, "shard").agg(F.count("*").alias("n"), F.max("salts").alias("salts")))
         # the fullest shard of the group that still has room
         open_ = F.element_at(_pick(room), F.col("shard") + 1) > 0
