@@ -8,10 +8,10 @@ from weekpanel.constants import ARTICLE_PATH_EXCLUSIONS
 
 SERIES = """CASE o_orderpriority WHEN '1-URGENT' THEN 'DFF' WHEN '2-HIGH' THEN 'T10Y3M' WHEN '3-MEDIUM' THEN 'NFCI'
   WHEN '4-NOT SPECIFIED' THEN 'CPIAUCSL' WHEN '5-LOW' THEN 'UNRATE' END"""
-ANCHORS = """
-anc AS (SELECT page_id, url, html, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href,
-  unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS raw,
-  unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 1)))) AS pos FROM pages)"""
+_TAG = """'(?is)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*"([^"]*)"[^>]*>(.*?)</a>'"""
+ANCHORS = f"""
+anc AS (SELECT page_id, url, html, unnest(regexp_extract_all(html, {_TAG}, 1)) AS href, unnest(regexp_extract_all(html, {_TAG}, 2)) AS raw,
+  unnest(range(len(regexp_extract_all(html, {_TAG}, 1)))) AS pos FROM pages)"""
 _PATH = " OR ".join(f"contains(path, '{p}')" for p in ARTICLE_PATH_EXCLUSIONS)
 
 SQL = {
@@ -43,9 +43,11 @@ SQL = {
        UNION ALL SELECT o_orderkey, 1, CAST(o_orderdate AS DATE) + 1, -1.5 FROM orders""",
     "article_links": chain(ANCHORS)
     + f""", b AS (SELECT page_id, pos, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)', 1) AS scheme,
-         regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)', 2) AS host, href, {clean('raw')} AS label,
-         regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM anc),
-       c AS (SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href ELSE scheme || '://' || host || href END AS link FROM b WHERE label <> ''),
+         regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)', 2) AS host, regexp_replace(url, '#.*$', '') AS page, href, {clean('raw')} AS label,
+         regexp_extract(html, {_TAG}, 2) AS title FROM anc),
+       c AS (SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN scheme || ':' || href
+         WHEN starts_with(href, '/') THEN scheme || '://' || host || href WHEN starts_with(href, '#') THEN page || href
+         ELSE scheme || '://' || host || '/' || href END AS link FROM b WHERE label <> ''),
        d AS (SELECT *, lower(regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS path,
          lower(regexp_extract(link, '^[^?#]*\\?([^#]*)', 1)) AS qs, regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS lhost FROM c),
        e AS (SELECT *, {normalize('title')} AS t, {normalize('label')} AS l, {normalize('label', 'link')} AS a FROM d
@@ -53,7 +55,7 @@ SQL = {
            AND NOT ((contains(qs, 's=') OR contains(qs, 'search=') OR contains(qs, 'query=')) AND NOT (contains(qs, 'post_type=news') AND contains(qs, 'p=')))),
        f AS (SELECT *, CASE WHEN greatest(length(t), length(l)) = 0 THEN 1 ELSE 1 - levenshtein(t, l) / greatest(length(t), length(l)) END * 10
          + len(list_filter(list_filter(string_split(t, ' '), lambda w: length(w) >= 4)[1:6], lambda w: contains(' ' || a || ' ', ' ' || w || ' '))) AS score FROM e)
-       SELECT page_id, arg_max(link, row(score, -pos)) AS link, {r6('max(score)', 'score')} FROM f WHERE score > 0 GROUP BY page_id""",
+       SELECT page_id, arg_max(link, row(score, -pos)) AS link, {r6('max(score)', 'score')} FROM f WHERE score >= 8 GROUP BY page_id""",
     "flatten_news": """SELECT CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'TLT' END AS requested_symbol, CAST(event_id AS VARCHAR) AS news_id,
        'STORY' AS content_type, 'Report on ' || event_type AS title, CASE WHEN event_id % 3 <> 0 THEN 'user ' || CAST(user_id AS VARCHAR) ELSE '' END AS summary,
        strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS published_at, 'desk' AS publisher, 'https://x.example/a' AS canonical_url, CAST(NULL AS VARCHAR) AS click_url,

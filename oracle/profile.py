@@ -73,7 +73,7 @@ SQL = {
     + ", one AS (SELECT " + ", ".join(f"{corr(a, b)} AS c{i}" for i, (a, b) in enumerate(combinations(FEATURES, 2))) + " FROM market)"
     + " SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r6(f'c{i}', 'r')} FROM one" for i, (a, b) in enumerate(combinations(FEATURES, 2))
-    ) + ") WHERE abs(r) > 0.5",
+    ) + ") WHERE abs(r) > 0.8",
     "histogram": union(
         lambda c: f"""SELECT '{c}' AS feature, CAST(least(floor(({c} - lo) / (hi - lo) * 50), 49) AS INTEGER) AS bin, count(*) AS n,
         {r6(f'max(lo) + CAST(least(floor(({c} - lo) / (hi - lo) * 50), 49) AS INTEGER) * (max(hi) - max(lo)) / 50', 'bin_start')},

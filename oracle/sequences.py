@@ -77,8 +77,8 @@ ll AS (SELECT entity, K, -avg(avg_price) FILTER (WHERE is_val) / 1000 AS val_ll_
 flags AS (SELECT d.*, v.* EXCLUDE (entity, K), min_profile_dist, val_ll_per_step, val_ll_per_step IS NULL AS failed,
   [8, 10, 12, 14][d.entity % 4 + 1] AS n_pca, ['diag', 'full'][d.entity % 2 + 1] AS cov_type
   FROM dw d LEFT JOIN vw v ON v.entity = d.entity AND v.K = d.K JOIN dist x ON x.entity = d.entity AND x.K = d.K JOIN ll ON ll.entity = d.entity AND ll.K = d.K),
-flagged AS (SELECT *, failed OR coalesce(val_min_state_pct < 0.05, true) AS filter_collapse,
-  failed OR coalesce(val_min_avg_dur_wks < 2, true) AS filter_flip_flop, failed OR coalesce(val_max_state_pct > 0.85, true) AS filter_imbalanced,
+flagged AS (SELECT *, failed OR coalesce(val_min_state_pct < 0.05, false) AS filter_collapse,
+  failed OR coalesce(val_min_avg_dur_wks < 2, false) AS filter_flip_flop, failed OR coalesce(val_max_state_pct > 0.85, false) AS filter_imbalanced,
   failed OR {_ONE_SHOT} AS filter_one_shot,
   failed OR (K = 4 AND (least({', '.join(f'coalesce(s{s}_dev_pct, 0)' for s in range(4))}) < 0.08 OR coalesce(min_profile_dist < 0.25, false))) AS filter_k4_redundant,
   CASE WHEN K = 4 AND NOT failed THEN min_profile_dist END AS k4_min_profile_dist FROM flags),

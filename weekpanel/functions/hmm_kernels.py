@@ -9,12 +9,22 @@ from __future__ import annotations
 import numpy as np
 
 TINY = 1e-300
-# sequences handled at once: bounds the padded arrays of a task
+# sequences and padded steps handled at once: bound the arrays of a task
 CHUNK = 512
+STEPS = 500_000
 
 
 def chunks(sequences: list) -> list[list]:
-    return [sequences[i : i + CHUNK] for i in range(0, len(sequences), CHUNK)]
+    """Runs of sequences whose padded steps (number x longest) stay bounded; order is kept."""
+    out: list[list] = []
+    longest = 0
+    for s in sequences:
+        longest = max(longest, len(s))
+        if not out or len(out[-1]) == CHUNK or (len(out[-1]) + 1) * longest > STEPS:
+            out.append([])
+            longest = len(s)
+        out[-1].append(s)
+    return out
 
 
 def pad(sequences: list) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +140,12 @@ def pack(stats: dict) -> np.ndarray:
     ])
 
 
+def packed_size(params: dict, dim: int) -> int:
+    """Length of ``pack`` for a model of these parameters."""
+    k = len(params["means"])
+    return k + k * k + k + k * dim + int(np.size(params["covars"])) + 3
+
+
 def unpack(flat: np.ndarray, k: int, dim: int, full: bool) -> dict:
     shapes = {"start": (k,), "trans": (k, k), "weight": (k,), "first": (k, dim), "second": (k, dim, dim) if full else (k, dim)}
     out, pos = {}, 0

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,11 +21,12 @@ from weekpanel.constants import (
 )
 from weekpanel.functions.semantics import col
 
-# The entities resolved by clean_text (the ampersand comes last).
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&amp;", "&"),
-)
+# A character reference of HTML: decimal, hexadecimal or named.
+REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{1,32};?)"
+# Names that count without a semicolon, the longest first, from the standard table.
+BARE_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+# What the numbers 128-159 stand for: they are read as Windows-1252.
+WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 SPACE = "[\\s\\u00A0]+"
 
 
@@ -35,12 +38,48 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
+def literal_map(values: dict[str, str]) -> Column:
+    """A constant map; the optimizer folds it once per plan."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point, by the rules for numeric references."""
+    point = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    wrong = number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    none = (
+        number.between(0x1, 0x8) | (number == 0xB) | number.between(0xE, 0x1F) | number.between(0x7F, 0x9F)
+        | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    )
+    kept = number.isin(0x81, 0x8D, 0x8F, 0x90, 0x9D)
+    windows = F.try_element_at(literal_map({str(n): ch for n, ch in WINDOWS.items()}), number.cast("string"))
+    return F.when(wrong, "\ufffd").otherwise(F.coalesce(windows, F.when(none & ~kept, "").otherwise(point)))
+
+
+def _resolved(reference: Column) -> Column:
+    """What one character reference stands for; unknown names stay as they are."""
+    name = F.substr(reference, F.lit(2))
+    decimal = F.regexp_extract(reference, "^&#([0-9]+)", 1)
+    hexadecimal = F.regexp_extract(reference, "^&#[xX]([0-9a-fA-F]+)", 1)
+    number = F.when(hexadecimal != "", F.conv(F.right(hexadecimal, F.lit(12)), 16, 10)).otherwise(F.right(decimal, F.lit(12)))
+    names = literal_map(html5)
+    bare = F.regexp_extract(name, "^(" + "|".join(BARE_NAMES) + ")", 1)
+    longest = F.when(bare != "", F.concat(F.try_element_at(names, bare), F.substr(name, F.length(bare) + 1)))
+    return F.when(F.substr(name, F.lit(1), F.lit(1)) == "#", _character(number.try_cast("long"))).otherwise(
+        F.coalesce(F.try_element_at(names, name), longest, reference))
+
+
+def unescape(c: Column) -> Column:
+    """All character references of HTML resolved in one pass."""
+    between, references = F.split(c, REFERENCE), F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))
+    resolved = F.concat(F.transform(references, _resolved), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(between, resolved, lambda a, b: F.concat(a, b)), "")
+    return F.when(F.contains(c, F.lit("&")), joined).otherwise(c)
+
+
 def clean_text(c: Column | str) -> Column:
-    """Entities resolved, tags removed, white space collapsed."""
-    out = text(c)
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return collapse(F.regexp_replace(out, "<[^>]+>", " "))
+    """Character references resolved, tags removed, white space collapsed."""
+    return collapse(F.regexp_replace(unescape(text(c)), "<[^>]+>", " "))
 
 
 def plain_clean(c: Column | str) -> Column:
@@ -171,6 +210,27 @@ def url_part(url: Column, part: str) -> Column:
     return F.regexp_extract(url, patterns[part], 1)
 
 
+def join_url(page: Column, href: Column) -> Column:
+    """A link resolved against its page: absolute, scheme-relative, rooted, query, fragment or relative."""
+    scheme, host, path = (url_part(page, p) for p in ("scheme", "host", "path"))
+    root = F.concat(scheme, F.lit("://"), host)
+    whole = F.regexp_replace(page, "#.*$", "")
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    rest = F.regexp_replace(F.concat(folder, href), "/(\\./)+", "/")
+    for _ in range(4):  # a step up takes the folder before it
+        rest = F.regexp_replace(rest, "^((?:/[^/]+)*?)/(?!\\.\\./)[^/]+/\\.\\./", "$1/")
+    rest = F.regexp_replace(rest, "^(/\\.\\.)+/", "/")
+    return (
+        F.when(url_part(href, "scheme") != "", href)
+        .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
+        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
+        .when(href == "", page)
+        .when(F.startswith(href, F.lit("?")), F.concat(root, path, href))
+        .when(F.startswith(href, F.lit("#")), F.concat(whole, href))
+        .otherwise(F.concat(root, rest))
+    )
+
+
 def is_article_url(url: Column, host: Column) -> Column:
     """An absolute URL of the host that is not a listing, legal or search page."""
     path, query = F.lower(url_part(url, "path")), F.lower(url_part(url, "query"))

@@ -151,14 +151,19 @@ def baseline_policies() -> dict[str, Column]:
     policies["heuristic_regime_proxy"] = decide_action(
         heuristic_action(
             F.col("vix_level"), F.col("t10y3m_level"), F.col("spy_ret_20d"), F.col("tlt_ret_20d"),
-            F.col("gld_ret_20d"), F.col("spy_drawdown_60d"), F.col("qqq_spy_ratio_chg_5d"),
+            F.col("gld_ret_20d"), F.col("spy_drawdown_60d"), F.col(RATIO_CHANGE),
         )
     )
     return policies
 
 
+RATIO_CHANGE = "qqq_spy_ratio_chg_5d"
+
+
 def decide(weeks: DataFrame, policies: dict[str, Column]) -> DataFrame:
-    """One row per week and policy."""
+    """One row per week and policy; an absent ratio change counts as 0."""
+    if RATIO_CHANGE not in weeks.columns:
+        weeks = weeks.withColumn(RATIO_CHANGE, F.lit(0.0))
     decisions = F.array(
         *[F.struct(F.lit(name).alias("strategy"), d.alias("decision")) for name, d in policies.items()]
     )

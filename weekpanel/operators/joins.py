@@ -84,13 +84,28 @@ def missing_members(df: DataFrame, column: str, required: DataFrame) -> DataFram
     return required.join(df.select(column).distinct(), column, "left_anti")
 
 
+def require_coverage(base: DataFrame, features: DataFrame, columns: Sequence[str], key: str = "week_end") -> DataFrame:
+    """``base`` with the feature columns; a row of the base calendar without all of them fails the job."""
+    merged = base.join(unique_keys(features.select(key, *columns), key), key, "left")
+    return require(merged, reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]), "missing feature values")
+
+
+def unique_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` of one row per key; a repeated key fails the job (one combinable aggregate)."""
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_row"))
+    return require(one, F.col("_n") == 1, "repeated key").select(*keys, "_row.*")
+
+
 def assemble_regime_state(
     state: DataFrame, regimes: DataFrame, news: DataFrame, key: str = "week_end"
 ) -> DataFrame:
     """State + regime labels + news sentiment; a week without either fails the job."""
     regime_cols = [c for c in regimes.columns if c.startswith(("regime_", "filtered_prob_"))]
     news_cols = [c for c in news.columns if c != key]
-    merged = state.drop("source").join(regimes.select(key, *regime_cols), key, "left").join(news, key, "left")
+    # one row per week on the right sides, so the row count of the state is kept
+    right = [unique_keys(regimes.select(key, *regime_cols), key), unique_keys(news, key)]
+    merged = state.drop("source").join(right[0], key, "left").join(right[1], key, "left")
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*regime_cols, *news_cols]])
     return require(merged, complete, "missing regime or news values").withColumn(
         "source", F.lit("joined_market_macro_targets_regimes_news")

@@ -115,7 +115,7 @@ def best_articles(candidates: DataFrame, calendar: DataFrame) -> DataFrame:
     tier = (F.col("hits") == 0).cast("int")
     order = [
         tier, F.col("query_rank"), F.when(tier == 0, -F.col("hits")).otherwise(0), F.col("gnews_rank"),
-        F.when(tier == 0, F.col("publisher_url")), F.col("url"),
+        F.col("publisher_url"), F.col("url"),
     ]
     w = ordered(["asset", "week_end"], *order)
     top = article_matches(candidates).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= 2)

@@ -24,6 +24,7 @@ from weekpanel.constants import (
     TIER_MEDIUM,
 )
 from weekpanel.functions.semantics import whole
+from weekpanel.operators.joins import require
 from weekpanel.operators.sequences import state_diagnostics
 
 STRESS = ("vix_level", "spy_vol_20d", "spy_drawdown_60d")
@@ -71,7 +72,7 @@ def hard_filters(candidates: DataFrame) -> DataFrame:
     }
     # a failed candidate keeps a full row: every flag set
     failed = F.coalesce(F.col("failed"), F.lit(False))
-    out = candidates.withColumns({n: failed | F.coalesce(c, F.lit(True)) for n, c in flags.items()})
+    out = candidates.withColumns({n: failed | F.coalesce(c, F.lit(False)) for n, c in flags.items()})
     passes = ~F.col(FLAGS[0])
     for n in FLAGS[1:]:
         passes = passes & ~F.col(n)
@@ -239,4 +240,7 @@ def choose_pipeline(selected: DataFrame, fallback: DataFrame | None, grid_order:
     frames = own if fallback is None else own.unionByName(
         fallback.select("chosen", F.lit("fallback").alias("role"), F.lit(1).alias("_priority"))
     )
-    return frames.orderBy("_priority").limit(1).select("role", "chosen.*")
+    first = frames.orderBy("_priority").limit(1)
+    # the grid must yield a configuration: no survivor and no fallback fails the job
+    any_row = first.agg(F.first("role").alias("role"), F.first("chosen").alias("chosen"))
+    return require(any_row, F.col("role").isNotNull(), "no surviving candidate and no fallback").select("role", "chosen.*")

@@ -83,8 +83,8 @@ def table_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def article_links(spark: SparkSession, d: str) -> DataFrame:
-    """Closest article link of each page, by its own title."""
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    """Closest article link of each page to its headline, the text of its first link."""
+    title = F.regexp_extract("html", parsing.ANCHOR, 2)
     pages = given.table(spark, d, "pages").select("page_id", "url", title.alias("title"), "html")
     return rounded(parsing.best_links(parsing.anchors(pages, "page_id", "html"), "page_id"))
 

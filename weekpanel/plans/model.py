@@ -12,6 +12,7 @@ from weekpanel.operators import stats as st
 from weekpanel.plans.market import rounded, state
 from weekpanel.plans.news import scored
 from weekpanel.plans.sequences import MEASURES, TRAIN_END, panel, seed_runs
+from weekpanel.session import cut_lineage
 
 KEYS = ["entity"]
 # given parameters of the inference queries
@@ -127,7 +128,7 @@ def bic_table(spark: SparkSession, d: str) -> DataFrame:
 
 def model_state_regimes(spark: SparkSession, d: str) -> DataFrame:
     """Model state with market regimes and weekly sentiment attached."""
-    base = state(spark, d)
+    base = cut_lineage(state(spark, d))  # calendar-sized, used by the labels, the weeks and the join
     rows = base.select("panel", "week_end", (F.col("spy_ret_5d") * 100).alias("x1"), (F.col("vix_level") / 10).alias("x2"))
     seq = hmm.to_sequences(rows, ["panel"], "week_end", ["x1", "x2"])
     regimes = hmm.explode_inference(hmm.infer(seq, ["panel"], MARKET_MODEL), ["panel"], 2)

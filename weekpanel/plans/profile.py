@@ -53,7 +53,7 @@ def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 def corr_pairs(spark: SparkSession, d: str) -> DataFrame:
     market = feat.market_features_weekly(bars(spark, d))
-    return rounded(st.high_correlations(market, feat.market_feature_names(), threshold=0.5))
+    return rounded(st.high_correlations(market, feat.market_feature_names(), threshold=0.8))
 
 
 def histogram(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +34,9 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra) -> Spark
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    Only a local master (tests) may fall back to a temporary folder: on a
-    cluster a machine-local folder is lost together with its executor.
+    Only a master of one process, ``local`` or ``local[n]`` (tests), may fall
+    back to a temporary folder: on a cluster, also a ``local-cluster``, a
+    machine-local folder is not shared and is lost with its executor.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     context = spark.sparkContext
@@ -42,7 +44,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = context.getCheckpointDir()
         if current:
             return current
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
             raise ValueError(f"set {CHECKPOINT_KEY} to a shared folder")
         configured = tempfile.mkdtemp(prefix="weekpanel-checkpoint-")
     if not context.getCheckpointDir():

@@ -16,7 +16,9 @@ from weekpanel.operators.joins import keep_last
 # The layouts the date/value extraction understands.
 TABLE_PAIR = r'<th scope="row"[^>]*>\s*(\d{4}-\d{2}-\d{2})\s*</th>\s*<td[^>]*>\s*([\-0-9.,]+)\s*</td>'
 EMBEDDED_PAIR = r'\\"date\\":\\"(\d{4}-\d{2}-\d{2})\\",\\"value\\":(-?[0-9.]+)'
-ANCHOR = r'<a href="([^"]*)"[^>]*>([^<]*)</a>'
+ANCHOR = r'(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'
+# Fixed value: the least score of an article link.
+LINK_SCORE = 8.0
 
 
 def flatten_news(records: DataFrame, symbol: str = "requested_symbol", json: str = "record") -> DataFrame:
@@ -93,15 +95,13 @@ def anchors(pages: DataFrame, key: str, body: str) -> DataFrame:
     )
 
 
-def best_links(links: DataFrame, key: str, url: str = "url", title: str = "title", threshold: float = 0.0) -> DataFrame:
+def best_links(links: DataFrame, key: str, url: str = "url", title: str = "title", threshold: float = LINK_SCORE) -> DataFrame:
     """The article link whose label is closest to the title.
 
     Score: ten times the label similarity plus the title tokens found in label
     or link.  One combinable max_by per page.
     """
-    base = F.concat(tx.url_part(F.col(url), "scheme"), F.lit("://"), tx.url_part(F.col(url), "host"))
-    absolute = F.when(tx.url_part(F.col("href"), "scheme") != "", F.col("href")).otherwise(F.concat(base, F.col("href")))
-    shown = links.withColumn("link", absolute).filter(
+    shown = links.withColumn("link", tx.join_url(F.col(url), F.col("href"))).filter(
         (F.col("label") != "") & tx.is_article_url(F.col("link"), tx.url_part(F.col(url), "host"))
     )
     norm = shown.withColumns(
@@ -111,7 +111,7 @@ def best_links(links: DataFrame, key: str, url: str = "url", title: str = "title
     hits = F.size(F.filter("_tok", lambda t: F.contains(padded, F.concat(F.lit(" "), t, F.lit(" ")))))
     scored = norm.withColumn("score", tx.similarity(F.col("_t"), F.col("_l")) * 10 + hits)
     order = F.struct("score", -F.col("pos"))
-    return scored.filter(F.col("score") > threshold).groupBy(key).agg(
+    return scored.filter(F.col("score") >= threshold).groupBy(key).agg(
         F.max_by("link", order).alias("link"), F.max("score").alias("score")
     )
 
