@@ -104,14 +104,22 @@ def word_spans(buf: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndar
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every byte span: polynomial prefix sums, moved to a common origin, then mixed."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = len(buf) + 1
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Polynomial prefix sums of values (uint64), one more than values."""
+    n = len(values) + 1
     total = np.zeros(n, np.uint64)
-    np.cumsum(_BYTE[buf] * _power("up", n)[: n - 1], out=total[1:])
-    return mix((total[ends] - total[starts]) * _power("down", n)[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(values * _power("up", n)[: n - 1], out=total[1:])
+    return total
+
+
+def hash_spans(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every span, from prefix sums: moved to a common origin, then mixed."""
+    return mix((total[ends] - total[starts]) * _power("down", len(total))[starts] + (ends - starts).astype(np.uint64))
+
+
+def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every byte span."""
+    return hash_spans(prefix_sums(_BYTE[buf]), starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 @dataclass

@@ -28,10 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekpanel.llm.base import SpanTable, gap_spans, keep, ship
+from weekpanel.llm.base import SpanTable, gap_spans, hash_spans, keep, mix, prefix_sums, ship
 
 CHUNK = 1 << 15
 BATCH = 512
+SHORT = 40
+TABLE_BITS = 18
 CACHE_SEGMENTS = 150_000
 BAR = "▁"
 _CUTS = re.compile(f"(?<=[^{BAR}])(?={BAR})")
@@ -70,6 +72,18 @@ class Pieces:
         self.tree = {p[:k]: LOWEST for p in self.score for k in range(1, len(p) + 1)} | self.score
         self.kind = np.dtype("<u2" if model.vocab_size() <= 1 << 16 else "<u4")
         self.table = SpanTable(self.kind, self._learn)
+        # the begins as a table of hashes, for many words at once
+        names = list(self.tree)
+        self.row_score, self.row_id = np.array([self.tree[p] for p in names]), np.array([self.id.get(p, -1) for p in names], np.int32)
+        code = np.frombuffer("".join(names).encode("utf-32-le"), "<u4")
+        ends = np.cumsum([len(p) for p in names])
+        hashes = np.maximum(hash_spans(prefix_sums(_values(code)), ends - [len(p) for p in names], ends), np.uint64(1))
+        self.keys, self.rows = np.zeros(1 << TABLE_BITS, np.uint64), np.zeros(1 << TABLE_BITS, np.int32)
+        for row, value in enumerate(hashes.tolist()):
+            at = value >> (64 - TABLE_BITS)
+            while self.keys[at]:
+                at = (at + 1) & ((1 << TABLE_BITS) - 1)
+            self.keys[at], self.rows[at] = value, row
         self.segments: dict[str, tuple[bytes, float]] = {}
 
     def forward(self, text: str, first: np.ndarray | None = None) -> tuple[list[float], list[int]]:
@@ -130,12 +144,83 @@ class Pieces:
         return got
 
     def _learn(self, words: list[bytes]) -> list[np.ndarray]:
-        out = []
-        for word in words:
-            text = word.decode("utf-8", "surrogatepass")
-            # no piece holds a line feed, so that a word behind one has no mark and is cut there
-            text = text if text[:1] == "\n" else BAR + text.removeprefix(" ")
-            out.append(np.array(self.ids_between(text, self.forward(text)[1], len(text), 0)[0], self.kind))
+        texts = [w.decode("utf-8", "surrogatepass") for w in words]
+        # no piece holds a line feed, so that a word behind one has no mark and is cut there
+        texts = [t if t[:1] == "\n" else BAR + t.removeprefix(" ") for t in texts]
+        short = [i for i, t in enumerate(texts) if 0 < len(t) <= SHORT]
+        out: list = [None] * len(texts)
+        for at in range(0, len(short), 20_000):
+            part = short[at : at + 20_000]
+            for i, ids in zip(part, self.side_by_side([texts[i] for i in part]), strict=True):
+                out[i] = ids
+        for i, text in enumerate(texts):
+            if out[i] is None:
+                out[i] = np.array(self.ids_between(text, self.forward(text)[1], len(text), 0)[0], self.kind)
+        return out
+
+    def _look(self, hashes: np.ndarray) -> np.ndarray:
+        """Row of each hashed begin of a piece, or -1."""
+        at = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        out = np.full(len(hashes), -1, np.int32)
+        left = np.arange(len(hashes))
+        while len(left):
+            key = self.keys[at]
+            hit = key == hashes[left]
+            out[left[hit]] = self.rows[at[hit]]
+            on = ~hit & (key != 0)
+            left, at = left[on], (at[on] + 1) & ((1 << TABLE_BITS) - 1)
+        return out
+
+    def side_by_side(self, texts: list[str]) -> list[np.ndarray | None]:
+        """``forward`` and ``ids_between`` for many short strings at once; None where a character needs several bytes."""
+        order = np.argsort([-len(t) for t in texts], kind="stable")
+        size = np.array([len(texts[i]) for i in order])
+        code = np.frombuffer("".join(texts[i] for i in order).encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.cumsum(size)
+        first, end_of = ends - size, np.repeat(ends, size)
+        total = prefix_sums(_values(code))
+        # score and id of the piece of each length at each position
+        score = np.full((self.longest, len(code)), LOWEST)
+        piece = np.full((self.longest, len(code)), -1, np.int32)
+        at = np.arange(len(code))
+        for k in range(self.longest):
+            row = self._look(np.maximum(hash_spans(total, at, at + k + 1), np.uint64(1)))
+            at, row = at[row >= 0], row[row >= 0]
+            score[k, at], piece[k, at] = self.row_score[row], self.row_id[row]
+            at = at[at + k + 1 < end_of[at]]
+        alone = score[0] == LOWEST
+        score[0, alone] = self.unknown
+        hard = np.zeros(len(texts), bool)
+        np.logical_or.at(hard, np.repeat(np.arange(len(texts)), size)[alone & (code >= 128)], True)
+        piece[0, alone] = np.array(self.bytes)[np.minimum(code[alone], 255)]
+        # one place more than characters for every string
+        base = first + np.arange(len(texts))
+        best, back = np.full(len(code) + len(texts), LOWEST), np.zeros(len(code) + len(texts), np.int64)
+        best[base] = 0.0
+        live = np.searchsorted(-size, -np.arange(size[0] + 1), "left")
+        for t in range(size[0]):
+            n = live[t]
+            for k in range(self.longest):
+                m = min(n, live[t + k]) if t + k < size[0] else 0
+                if not m:
+                    break
+                value = best[base[:m] + t] + score[k, first[:m] + t]
+                to = base[:m] + t + k + 1
+                better = value > best[to]
+                best[to[better]], back[to[better]] = value[better], t
+        found: list[np.ndarray] = []
+        string, cut = np.arange(len(texts)), size.copy()
+        while len(string):
+            start = back[base[string] + cut]
+            found.append(np.stack([string, start, piece[cut - start - 1, first[string] + start]]))
+            on = start > 0
+            string, cut = string[on], start[on]
+        string, start, ids = np.concatenate(found, axis=1)
+        put = np.lexsort((start, string))
+        parts = np.split(ids[put].astype(self.kind), np.cumsum(np.bincount(string, minlength=len(texts)))[:-1])
+        out: list = [None] * len(texts)
+        for k, i in enumerate(order):
+            out[i] = None if hard[k] else parts[k]
         return out
 
     def whole(self, text: str) -> np.ndarray:
@@ -215,6 +300,10 @@ class Pieces:
         return to, pack(ids) + middle, tails
 
 
+def _values(code: np.ndarray) -> np.ndarray:
+    return mix(code.astype(np.uint64) + np.uint64(0x51ED2701))
+
+
 def normal(text: str) -> str:
     return BAR + text.replace(" ", BAR) if text else ""
 
