@@ -92,3 +92,26 @@ def test_chunks_bound_the_padded_steps(monkeypatch):
     monkeypatch.setattr(kernels, "STEPS", 100)
     parts = kernels.chunks([[0]] * 30 + [[0] * 90] + [[0] * 3] * 40)
     assert sum(map(len, parts)) == 71 and all(len(p) == 1 or len(p) * max(map(len, p)) <= 100 for p in parts)
+
+
+def test_fits_side_by_side_equal_distributed_fits(spark):
+    data = sequences(spark)
+    models = [hmm.Candidate(f"m{k}{d}{c}{s}", k, d, c, s) for k in (2, 3) for d in (1, 2) for c in ("diag", "full") for s in (7, 21)]
+    one = {f.candidate.name: f for f in hmm.fit(data, models, iterations=12)}
+    for f in hmm.fit_panel(data, models, iterations=12):
+        other = one[f.candidate.name]
+        assert not f.error and f.history == pytest.approx(other.history, rel=1e-9) and f.params["means"] == pytest.approx(other.params["means"], rel=1e-6, abs=1e-8)
+    labels = hmm.infer_many(data, ["entity"], hmm.fit_panel(data, models[:2], iterations=5), "int")
+    assert labels.count() == 2 * 6 * 40 and labels.where("regime_viterbi is null or abs(aggregate(filtered, 0D, (a, b) -> a + b) - 1) > 1e-9").count() == 0
+
+
+def test_regime_chain_end_to_end(spark):
+    """Fits, filters, choice and labels agree with one another on the smallest given tables."""
+    from weekpanel.plans import regimes
+
+    d = "/root/testdata/sf0.01"
+    table = {r.candidate: r for r in regimes.regime_pipeline_candidates(spark, d).collect()}
+    assert len(table) == 24 and {r.K for r in table.values()} == {2, 3, 4}
+    assert all(r.passes_hard_filters != (r.failed or any(r[f] for f in sel.FLAGS)) for r in table.values())
+    choice = regimes.regime_pipeline_choice(spark, d).first()
+    assert choice.role in ("project", "statistical", "fallback") and (choice.role == "fallback" or table[choice.candidate].passes_hard_filters)

@@ -173,3 +173,83 @@ def maximize(stats: dict, full: bool, min_covar: float, sticky: float = 0.0) ->
     else:
         covars = np.maximum(stats["second"] / weight[:, None] - means**2, min_covar)
     return {"start": start, "trans": trans, "means": means, "covars": covars}
+
+
+# ---------------------------------------------------------------------------
+# many models of one number of states on the same batch: arrays (models x sequences x time x states)
+
+
+def _statistics_many(values: np.ndarray, lengths: np.ndarray, at: list, params: list[dict]) -> list[dict]:
+    """``statistics`` of every model, by scaled recursions; ``at`` holds each model's feature positions."""
+    log_b = np.stack([log_emissions(values[..., a], np.asarray(p["means"]), np.asarray(p["covars"])) for a, p in zip(at, params)])
+    log_b = np.ascontiguousarray(log_b.transpose(2, 0, 1, 3))  # time first
+    trans = np.clip(np.stack([p["trans"] for p in params]), TINY, None)
+    steps, k = log_b.shape[0], log_b.shape[3]
+    valid = (np.arange(steps)[:, None] < lengths[None])[:, None, :, None]
+    top = log_b.max(-1, keepdims=True)
+    b = np.where(valid, np.exp(log_b - top), 1.0)
+    alpha, beta, scale = np.empty_like(b), np.ones_like(b), np.ones((*b.shape[:3], 1))
+    alpha[0] = np.clip(np.stack([p["start"] for p in params]), TINY, None)[:, None] * b[0]
+    for t in range(steps):
+        if t:
+            alpha[t] = np.where(valid[t], np.matmul(alpha[t - 1], trans) * b[t] + TINY, alpha[t - 1])
+        scale[t] = np.where(valid[t], alpha[t].sum(-1, keepdims=True), 1.0)
+        alpha[t] /= scale[t]
+    back = trans.transpose(0, 2, 1)
+    for t in range(steps - 2, -1, -1):
+        beta[t] = np.where(valid[t + 1], np.matmul(b[t + 1] * beta[t + 1] / scale[t + 1], back), 1.0)
+    total = np.where(valid, np.log(scale) + top, 0.0).sum((0, 2, 3))
+    gamma = alpha * beta
+    gamma = np.where(valid, gamma / gamma.sum(-1, keepdims=True), 0.0)
+    ahead = np.where(valid[1:], b[1:] * beta[1:] / scale[1:], 0.0)
+    by_model = lambda a: a.transpose(1, 2, 0, 3).reshape(a.shape[1], -1, k)
+    xi = trans * np.matmul(by_model(alpha[:-1]).transpose(0, 2, 1), by_model(ahead))
+    out, flat = [], by_model(gamma)
+    for m, (a, p) in enumerate(zip(at, params)):
+        g, x = flat[m], values[..., a].reshape(-1, len(a))
+        second = g.T @ x**2 if np.asarray(p["covars"]).ndim == 2 else np.einsum("nk,ni,nj->kij", g, x, x, optimize=True)
+        out.append({"start": gamma[0, m].sum(0), "trans": xi[m], "weight": g.sum(0), "first": g.T @ x, "second": second,
+                    "ll": float(total[m]), "n": int(lengths.sum()), "sequences": len(lengths)})
+    return out
+
+
+def statistics_many(values: np.ndarray, lengths: np.ndarray, at: list, params: list[dict]) -> list[dict | None]:
+    """One entry per model; None where a model's covariances cannot be used."""
+    usable = []
+    for p in params:
+        covars = np.asarray(p["covars"])
+        try:
+            usable.append(bool(np.isfinite(covars).all() and (np.linalg.cholesky(covars) is not None if covars.ndim == 3 else (covars > 0).all())))
+        except np.linalg.LinAlgError:
+            usable.append(False)
+    live = [i for i, u in enumerate(usable) if u]
+    found = iter(_statistics_many(values, lengths, [at[i] for i in live], [params[i] for i in live]) if live else [])
+    return [next(found) if u else None for u in usable]
+
+
+def fit_many(values: np.ndarray, lengths: np.ndarray, models: list[dict], iterations: int, tolerance: float, min_covar: float) -> None:
+    """EM of all models at once, in place: each gets params, history, converged and error.
+
+    A model holds positions, full, sticky and params. The last entry of its history is the likelihood of its params.
+    """
+    for m in models:
+        m.update(history=[], converged=False, error="")
+    active = list(range(len(models)))
+    for step in range(iterations + 1):
+        if not active:
+            break
+        stats = statistics_many(values, lengths, [models[i]["positions"] for i in active], [models[i]["params"] for i in active])
+        going = []
+        for i, s in zip(active, stats):
+            m = models[i]
+            if s is None or not np.isfinite(s["ll"]):
+                m["error"] = "log-likelihood is not finite"
+                continue
+            gain = s["ll"] - m["history"][-1] if m["history"] else np.inf
+            m["history"].append(s["ll"])
+            m["converged"] = bool(gain < tolerance)
+            if m["converged"] or step == iterations:  # the last pass only scores
+                continue
+            m["params"] = maximize(s, m["full"], min_covar, m["sticky"])
+            going.append(i)
+        active = going

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekpanel.constants import NEWS_ASSETS
+from weekpanel.constants import GRID_COVARIANCES, GRID_SEEDS, GRID_STATES, NEWS_ASSETS
 from weekpanel.operators import hmm, joins, reduction
 from weekpanel.operators import news as nw
 from weekpanel.operators import stats as st
@@ -100,19 +100,19 @@ def train_validation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]
 def hmm_fit(spark: SparkSession, d: str) -> DataFrame:
     train, _ = train_validation(spark, d)
     models = [hmm.Candidate("k2_diag", 2, 2), hmm.Candidate("k3_full", 3, 2, "full", 21, sticky=12.0)]
-    return hmm.results_table(spark, hmm.fit(train, models, iterations=8)).drop("error")
+    return hmm.results_table(spark, hmm.fit_panel(train, models)).drop("error")
 
 
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
     train, val = train_validation(spark, d)
-    found = hmm.grid_search(train, val, hmm.grid((2, 3), (1, 2), ("diag", "full"), (7, 21)), iterations=4)
+    found = hmm.grid_search(train, val, hmm.grid(GRID_STATES, (1, 2), GRID_COVARIANCES, GRID_SEEDS))
     return found.drop("startprob", "transmat", "means", "covars", "error")
 
 
 def greedy_features(spark: SparkSession, d: str) -> DataFrame:
     """Forward selection trace over the standardised measures."""
     z = standardized(spark, d)
-    _, trace = hmm.greedy_bic(z, KEYS, "week_end", list(MEASURES), [["avg_quantity"]], 2, 2, 3, iterations=3)
+    _, trace = hmm.greedy_bic(z, KEYS, "week_end", list(MEASURES), [["avg_quantity"]])
     return spark.createDataFrame([(i, f, b) for i, (f, b) in enumerate(trace)], "step int, feature string, bic double")
 
 
