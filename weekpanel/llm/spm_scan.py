@@ -33,6 +33,7 @@ from weekpanel.llm.base import SpanTable, gap_spans, hash_spans, keep, mix, pref
 CHUNK = 1 << 15
 BATCH = 512
 SHORT = 40
+MOST_WORDS = 1 << 20
 TABLE_BITS = 18
 CACHE_SEGMENTS = 150_000
 BAR = "▁"
@@ -71,7 +72,7 @@ class Pieces:
         # every begin of a piece; those that are no piece score lowest
         self.tree = {p[:k]: LOWEST for p in self.score for k in range(1, len(p) + 1)} | self.score
         self.kind = np.dtype("<u2" if model.vocab_size() <= 1 << 16 else "<u4")
-        self.table = SpanTable(self.kind, self._learn)
+        self.table = SpanTable(self.kind, self._learn, MOST_WORDS)
         # the begins as a table of hashes, for many words at once
         names = list(self.tree)
         self.row_score, self.row_id = np.array([self.tree[p] for p in names]), np.array([self.id.get(p, -1) for p in names], np.int32)
@@ -149,8 +150,8 @@ class Pieces:
         texts = [t if t[:1] == "\n" else BAR + t.removeprefix(" ") for t in texts]
         short = [i for i, t in enumerate(texts) if 0 < len(t) <= SHORT]
         out: list = [None] * len(texts)
-        for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
+        for at in range(0, len(short), 8_000):
+            part = short[at : at + 8_000]
             for i, ids in zip(part, self.side_by_side([texts[i] for i in part]), strict=True):
                 out[i] = ids
         for i, text in enumerate(texts):
