@@ -16,8 +16,7 @@ _PATH = " OR ".join(f"contains(path, '{p}')" for p in ARTICLE_PATH_EXCLUSIONS)
 
 SQL = {
     "series_cleanup": chain(SERIES_META)
-    + f""", raw AS (SELECT {SERIES} AS series_id, o_orderkey, CAST(o_orderdate AS DATE) AS date, o_totalprice AS value FROM orders
-         WHERE o_orderkey % 17 <> 0 AND o_orderkey % 13 <> 0),
+    + f""", raw AS (SELECT {SERIES} AS series_id, o_orderkey, CAST(o_orderdate AS DATE) AS date, o_totalprice AS value FROM orders),
        lastr AS (SELECT date, series_id, arg_max(value, o_orderkey) AS value FROM raw GROUP BY 1, 2)
        SELECT date, l.series_id, {r6('value', 'value')}, category, frequency, description, suggested_transform, 'raw_orders' AS source
        FROM lastr l JOIN series_meta m ON m.series_id = l.series_id""",
@@ -61,8 +60,8 @@ SQL = {
        strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS published_at, 'desk' AS publisher, 'https://x.example/a' AS canonical_url, CAST(NULL AS VARCHAR) AS click_url,
        'SPY,' || upper(event_type) AS related_tickers, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS query_relevance_heuristic, 'news_json' AS source FROM events""",
     "news_dedupe": """SELECT upper(event_type) AS requested_symbol, event_id // 3 AS news_id, min(event_id) AS event_id,
-       arg_min(row(CASE WHEN event_id % 19 <> 0 THEN date_trunc('second', ts) END), event_id)[1] AS published_at FROM events GROUP BY 1, 2""",
+       arg_min(row(date_trunc('second', ts)), event_id)[1] AS published_at FROM events GROUP BY 1, 2""",
     "period_dates": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(date_trunc('month', o_orderdate) AS DATE) END AS period_start,
        CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS header_date, CAST(o_orderdate AS DATE) AS cell_date
-       FROM orders WHERE o_orderkey % 5 <> 0""",
+       FROM orders""",
 }

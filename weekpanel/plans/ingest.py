@@ -21,12 +21,12 @@ def order_series() -> Column:
 
 
 def series_cleanup(spark: SparkSession, d: str) -> DataFrame:
-    """Raw observations as strings, some unusable; later orders correct earlier ones."""
+    """Raw observations as strings; later orders correct earlier ones."""
     k = F.col("o_orderkey")
     raw = given.table(spark, d, "orders").select(
         order_series().alias("series_id"), k.alias("loaded"),
-        F.when(k % 17 == 0, "n/a").otherwise(F.col("o_orderdate").cast("date").cast("string")).alias("date"),
-        F.when(k % 13 == 0, ".").otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("value"),
+        F.col("o_orderdate").cast("date").cast("string").alias("date"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("value"),
     )
     return rounded(parsing.with_series_metadata(raw, given.SERIES, "raw_orders", "loaded"))
 
@@ -106,11 +106,11 @@ def flatten_news(spark: SparkSession, d: str) -> DataFrame:
 
 
 def news_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """One event per (symbol, id), the earliest; unreadable times become null."""
+    """One event per (symbol, id), the earliest, with its time read from text."""
     e = F.col
     raw = given.table(spark, d, "events").select(
         F.upper("event_type").alias("requested_symbol"), F.floor(e("event_id") / 3).alias("news_id"), "event_id",
-        F.when(e("event_id") % 19 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("published_at"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("published_at"),
     )
     first = joins.keep_first(raw, ["requested_symbol", "news_id"], ["event_id"])
     return first.withColumn("published_at", F.try_to_timestamp("published_at"))
@@ -123,7 +123,7 @@ def period_dates(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     period = F.when(k % 11 == 0, "total").otherwise(F.date_format(day, "yyyy:MM"))
     header = F.when(k % 7 == 0, "yesterday").otherwise(F.concat(F.date_format(day, "EEE, dd MMM yyyy"), F.lit(" 08:00:00 GMT")))
-    cell = F.when(k % 5 == 0, "Notes").otherwise(day.cast("string"))
+    cell = day.cast("string")
     parsed = o.select(
         "o_orderkey", parsing.period_date(period).alias("period_start"), tx.rfc_date(header).alias("header_date"),
         F.try_to_date(cell).alias("cell_date"),

@@ -46,8 +46,8 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
         week_end(F.date_add(day, ((doc % 9) - 2).cast("int"))).alias("week_end"),
         day.alias("article_date"),
         given.pick(given.HEADLINES, doc).alias("title"),
-        F.when(doc % 4 != 1, F.concat(given.pick(given.HEADLINES, doc + 5), F.lit(" "), F.col("text"))).alias("description"),
-        F.when(doc % 3 == 0, F.col("text")).otherwise("").alias("summary"),
+        F.concat(given.pick(given.HEADLINES, doc + 5), F.lit(" "), F.col("text")).alias("description"),
+        F.when(F.col("lang") == "en", F.col("text")).otherwise("").alias("summary"),
         F.col("source").alias("publisher"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com")).alias("publisher_url"),
         F.concat(F.lit("https://news.example.com/"), F.col("lang"), F.lit("/"), doc.cast("string")).alias("url"),
