@@ -355,7 +355,9 @@ def numbered(df: DataFrame, group: str, bucket, order: list, name: str) -> DataF
     return out.withColumn(name, F.col("_start") + F.col("_row") - 1).drop("_bucket", "_start", "_row")
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Materialised ``df``: to be broadcast up to ``rows`` rows, joined by a shuffle (with skew handling) beyond them."""
+def small(df: DataFrame, rows: int, weight: str = "1") -> DataFrame:
+    """Materialised ``df``: to be broadcast up to ``rows`` rows, joined by a shuffle (with skew handling) beyond them.
+
+    Rows of unequal size count by ``weight``, an expression."""
     table = keep(df)
-    return F.broadcast(table) if table.count() <= rows else table
+    return F.broadcast(table) if (table.agg(F.sum(F.expr(weight))).first()[0] or 0) <= rows else table

@@ -113,7 +113,7 @@ def _dedup(docs: DataFrame, min_chars: int) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("map"), F.max("word").alias("most"), F.sum("n_near").alias("n_near"))
     masks = masks.select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), "n_near", F.transform(
         F.sequence(F.lit(0), F.col("most")), lambda w: F.coalesce(F.element_at("map", w), F.lit(0).cast("long"))).alias("mask"))
-    masks = small(masks, BROADCAST_ROWS)
+    masks = small(masks, BROADCAST_ROWS, "2 + size(mask)")
     here = docs.withColumn("_hash", F.xxhash64("text"))
     joined = here.join(masks, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_hash") == F.col("_doc")), "left")
     lines = F.split("text", "\n")
