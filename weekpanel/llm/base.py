@@ -150,7 +150,7 @@ class Run:
         return hash_words(self.buf, self.starts, self.ends)
 
 
-def runs_of(texts: list, lower: bool = False, separators: np.ndarray = SPACE, limit: int = 1 << 20, cut: bool = True) -> Iterator[Run]:
+def runs_of(texts: list, lower: bool = False, separators: np.ndarray = SPACE, limit: int = 1 << 19, cut: bool = True) -> Iterator[Run]:
     """Runs of about ``limit`` bytes; null and empty texts have no words. Every text is followed by one line feed.
 
     Without ``cut`` a longer text is one run, at about 60 bytes of memory a byte."""
@@ -281,7 +281,7 @@ class SpanTable:
         return self.pool[place], size
 
 
-def gap_spans(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def gap_spans(texts: list[bytes], limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last text, bytes, span starts, ends, offsets of each text's spans) in runs of about ``limit`` bytes.
 
     Spans begin at every space and line feed (which they hold) and at every text's begin."""

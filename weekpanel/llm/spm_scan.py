@@ -33,9 +33,9 @@ from weekpanel.llm.base import SpanTable, gap_spans, hash_spans, keep, mix, pref
 CHUNK = 1 << 15
 BATCH = 512
 SHORT = 40
-MOST_WORDS = 1 << 20
+MOST_WORDS = 1 << 18
 TABLE_BITS = 18
-CACHE_SEGMENTS = 150_000
+CACHE_SEGMENTS = 10_000
 BAR = "▁"
 _CUTS = re.compile(f"(?<=[^{BAR}])(?={BAR})")
 LOWEST = float("-inf")
