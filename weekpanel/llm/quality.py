@@ -121,8 +121,9 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, bytes, bytes]] = []
         for _, c, distinct, runs in documents(batch.column(0).to_pylist()):
             code = patterns(c, distinct)
+            slots = [(r, s) for r, h in runs for s in word_slots(r, h)]
             for i in range(len(c)):
-                own = [s[r.words[i] : r.words[i + 1]] for r, h in runs for s in word_slots(r, h)]
+                own = [s[r.words[i] : r.words[i + 1]] for r, s in slots]
                 index, many = np.unique(np.concatenate(own), return_counts=True)
                 found.append((int(code[i]), index.astype(np.int32).tobytes(), (many / (c[i, 0] + SMOOTH)).astype(np.float32).tobytes()))
         yield pa.RecordBatch.from_arrays([
