@@ -125,6 +125,51 @@ def test_near_duplicates_against_all_pairs(spark, prose, odd_texts, monkeypatch,
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_at_the_bound(spark, prose, percent):
+    rows = []
+    # one changed word takes five of n - 4 shingles: similarity 0.80 to 0.85 from 49 to 65 words
+    for k, n in enumerate(range(44, 72)):
+        text = prose(n, 3000 + n).replace("\n", " ")
+        rows += [(10 * k, text), (10 * k + 1, edit(text, [n // 2]))]
+    want = components_of(rows, percent)
+    got = minmax.near_duplicates(make_docs(spark, rows), percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert {i: r for i, (_, r) in want.items()} != {i: r for i, (_, r) in components_of(rows, 165 - percent).items()}
+
+
+def test_near_dedup_stage_takes_eighty(spark, prose):
+    text = prose(56, 3100).replace("\n", " ")
+    rows = [(1, text), (2, edit(text, [30])), (3, prose(56, 3101))]
+    assert components_of(rows, 80)[2][1] == 1 and components_of(rows, 85)[2][1] == 2
+    assert {r.doc_id for r in pipeline.drop_near_duplicates(spark, make_docs(spark, rows), "").collect()} == {1, 3}
+
+
+def test_bands_find_pairs_at_the_bound():
+    rng = np.random.default_rng(80)
+    for percent in (80, 85):
+        pairs = []
+        for _ in range(3000):
+            a = rng.integers(0, 2**63, 180, dtype=np.uint64)
+            union = 180 * 100 // percent
+            b = np.concatenate([a, rng.integers(0, 2**63, union - 180, dtype=np.uint64)])
+            pairs += [a, b]
+        sizes = np.array([len(p) for p in pairs])
+        keys = minmax.bands(np.concatenate(pairs), np.cumsum(sizes) - sizes, minmax.band_rows(percent))
+        assert (keys[::2] == keys[1::2]).any(axis=1).all()
+    with pytest.raises(ValueError):
+        minmax.band_rows(5)
+
+
+def test_ties_of_a_large_group_are_few(spark):
+    rng = np.random.default_rng(6)
+    heads = sorted({(int(a), i) for i in range(40, 1000) for a in rng.integers(i % 2 * 20, i % 2 * 20 + 20, 30)})
+    ties = minmax._ties(spark.createDataFrame(heads, "a long, node long"))
+    assert ties.count() < len(heads) / 5
+    got = {r.node: r.root for r in components(ties).collect()}
+    assert got == {r.node: r.root for r in components(spark.createDataFrame(heads, "a long, b long")).collect()}
+
+
 def test_near_duplicates_of_odd_input(spark):
     rows = [(None, "some text without an id here"), (5, "some text without an id here"), (7, "a b c"), (7, "a b c"), (3, "A  b\tc"), (9, None), (8, " ")]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minmax.near_duplicates(make_docs(spark, rows)).collect()), key=str)

@@ -1,15 +1,16 @@
 """Operator 7: near-duplicates by min-max hashing.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case; a document's set holds its distinct five-word shingles
-(with fewer words the whole sequence is one). Documents with 100 * intersection >= 85 * union are linked; components of
-links are labelled by their smallest id, and that document is kept.
+(with fewer words the whole sequence is one). Documents with 100 * intersection >= ``percent`` * union are linked;
+components of links are labelled by their smallest id, and that document is kept. The operator's contract is ``PERCENT``;
+stages without one of their own take ``STAGE_PERCENT``.
 
 * Both the minimum and the maximum under each of ``HASHES`` permutations enter the signature, so 160 evaluations give 320
-  values. A band holds ``ROWS`` permutations, that is eight values; a pair at the bound misses all 40 bands with
-  probability 3e-6.
+  values. A band holds as many permutations as let a pair at the bound miss all bands with probability ``MISS`` at most:
+  four at 85 of 100 (40 bands, 3e-6), three at 80 (53 bands, 1e-7).
 * Equal sets form one class, found by a combinable aggregate, and only classes go on.
-* Classes that share a band are tied to the band's smallest id (a star, never all pairs); connected ties are a cluster,
-  and each class's set is sent to its cluster once. There the full sets are compared through an inverted index: first
+* Classes that share a band are tied to the band's smallest id (a star, never all pairs), and the heads of a class's stars to
+  one another; connected ties are a cluster, and each class's set is sent to its cluster once. There the full sets are compared through an inverted index: first
   all against the most typical member; pairs of two members linked to it need no test of their own, since the component
   is the same; every other member is compared with all. A cluster beyond ``BLOCK`` shingles is split into blocks, one task
   for each two of them. Nothing is capped.
@@ -32,8 +33,9 @@ from weekpanel.llm.base import WINDOW_MULT, components, keep, mix, ship, small,
 
 SHINGLE = 5
 PERCENT = 85
+STAGE_PERCENT = 80
 HASHES = 160
-ROWS = 4
+MISS = 1e-5
 BLOCK = 2_000_000
 BROADCAST_ROWS = 2_000_000
 _random = np.random.default_rng(85)
@@ -50,20 +52,29 @@ def sets_of(texts: list) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield first, [shingle_set(hashes[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
-def bands(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def band_rows(percent: int) -> int:
+    """Permutations a band, as many as keep the miss of a pair at the bound within ``MISS``."""
+    fit = [r for r in range(1, 17) if (1 - (percent / 100) ** (2 * r)) ** (HASHES // r) <= MISS]
+    if not fit:
+        raise ValueError(f"{HASHES} permutations cannot find pairs at {percent} of 100")
+    return max(fit)
+
+
+def bands(values: np.ndarray, starts: np.ndarray, rows: int) -> np.ndarray:
     """Band keys, a row for each set; the sets lie in a row and begin at ``starts``."""
-    out = np.zeros((len(starts), HASHES // ROWS), np.uint64)
-    for k in range(HASHES):
+    many = HASHES // rows
+    out = np.zeros((len(starts), many), np.uint64)
+    for k in range(many * rows):
         h = values * MULTIPLIERS[k]
         low, high = np.minimum.reduceat(h, starts), np.maximum.reduceat(h, starts)
-        out[:, k // ROWS] += low * WINDOW_MULT[2 * (k % ROWS)] + high * WINDOW_MULT[2 * (k % ROWS) + 1]
-    return mix(out + np.arange(HASHES // ROWS, dtype=np.uint64) * WINDOW_MULT[63])
+        out[:, k // rows] += low * WINDOW_MULT[2 * (k % rows)] + high * WINDOW_MULT[2 * (k % rows) + 1]
+    return mix(out + np.arange(many, dtype=np.uint64) * WINDOW_MULT[63])
 
 
 _SIGNED = "doc_id long, n_shingles long, a long, b long, keys array<long>"
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for first, sets in sets_of(batch.column(1).to_pylist()):
@@ -79,7 +90,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for at in range(0, len(full), 64):
                     part = full[at : at + 64]
                     low, high = ends[part[0]] - n[part[0]], ends[part[-1]]
-                    for i, row in zip(part, bands(values[low:high], (ends - n)[part] - low).view(np.int64), strict=True):
+                    for i, row in zip(part, bands(values[low:high], (ends - n)[part] - low, rows).view(np.int64), strict=True):
                         keys[i] = row
                 for k in range(2):
                     digest[k, full] = np.add.reduceat(mix(values ^ WINDOW_MULT[40 + k]), starts).view(np.int64)
@@ -97,7 +108,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["doc_id", "cluster", "parts", "data"])
 
 
-def links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between the members of a cluster, enough of them to span its components."""
     n = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), n)
@@ -120,7 +131,7 @@ def links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         size = many[own]
         place = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         common = np.bincount(member[place], minlength=len(sets))
-        near = np.flatnonzero(100 * common >= PERCENT * (n + n[i] - common))
+        near = np.flatnonzero(100 * common >= percent * (n + n[i] - common))
         for j in near.tolist():
             a, b = root(i), root(j)
             if a != b:
@@ -133,16 +144,16 @@ def links(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     core[compare(typical)] = True
     # a member without a shared shingle has no link
     shared = np.bincount(owner, weights=many[token] > 1, minlength=len(sets))
-    for i in np.flatnonzero(~core & (100 * shared >= PERCENT * n)).tolist():
+    for i in np.flatnonzero(~core & (100 * shared >= percent * n)).tolist():
         compare(i)
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     name, ids, sets = None, [], []
 
     def done() -> pa.RecordBatch:
-        found = links(np.array(ids), sets) if len(ids) > 1 else []
+        found = links(np.array(ids), sets, percent) if len(ids) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     for batch in batches:
@@ -158,19 +169,25 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _ties(heads: DataFrame) -> DataFrame:
+    """(a, b) rows with the components of the (a, node) rows: a node is tied to its smallest head only, and that head to the
+    node's others, which many nodes have in common. A node has at most a head for each band."""
+    held = heads.groupBy("node").agg(F.min("a").alias("a"), F.collect_set("a").alias("heads"))
+    return held.select("a", F.explode(F.array_union(F.array("node"), "heads")).alias("b")).where("a <> b").distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs``."""
-    spark = docs.sparkSession
+    spark, rows = docs.sparkSession, band_rows(percent)
     ship(spark)
     docs = docs.select("doc_id", "text")
-    signed = keep(docs.mapInArrow(_sign, _SIGNED))
+    signed = keep(docs.mapInArrow(lambda b: _sign(b, rows), _SIGNED))
     digest = ["a", "b", "n_shingles"]
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = keep(full.groupBy(*digest).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
     buckets = classes.select("node", F.explode("keys").alias("key"))
     stars = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = buckets.join(stars, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    clusters = components(ties).withColumnRenamed("root", "cluster")
+    clusters = components(_ties(buckets.join(stars, "key").where("node <> a").select("a", "node"))).withColumnRenamed("root", "cluster")
     weight = classes.join(clusters, "node").groupBy("cluster").agg(F.sum("n_shingles").alias("weight"))
     parts = F.ceil(F.col("weight") / BLOCK).cast("int").alias("parts")
     members = small(clusters.join(weight.select("cluster", parts), "cluster").withColumnRenamed("node", "doc_id"), BROADCAST_ROWS)
@@ -183,7 +200,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = sets.withColumn("p", own).withColumn("q", other).select(
         "cluster", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "doc_id", "data")
     pairs = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
-    found = components(pairs.mapInArrow(_verify, "a long, b long"))
+    found = components(pairs.mapInArrow(lambda b: _verify(b, percent), "a long, b long"))
     named = found.select(F.col("node"), "root")
     roots = classes.select(*digest, "node").join(named, "node", "left").select(*digest, F.coalesce("root", "node").alias("root"))
     out = signed.select("doc_id", *digest).join(roots, digest, "left")
@@ -191,7 +208,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def filter_near_duplicates(docs: DataFrame) -> DataFrame:
+def filter_near_duplicates(docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """``docs`` with one document of each component: the rows whose id is not among those that go."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
     return docs.join(small(gone, BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)

@@ -15,7 +15,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"), minmax.PERCENT)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
