@@ -221,6 +221,24 @@ def test_line_dedup_against_all_pairs(spark, prose):
     assert all(r.n_chars == len(r.text) for r in left.values())
 
 
+def test_line_dedup_at_the_least_length(spark):
+    line = "abcdefghij klmnopqrs"  # 20 characters
+    other = "tuvwxyz tuvwxyz abc"  # 19 characters
+    rows = [(1, line[:-1]), (2, line), (3, line[:-1] + "!"), (4, line[:-2] + "?"), (5, other + "."), (6, other), (7, other[:-1] + "d")]
+    want = {1: False, 2: True, 3: True, 4: False, 5: False, 6: False, 7: False}
+    # 2 and 3 go for a line of 19; 4, 6 and 7 are near earlier lines but too short themselves
+    assert {i: not any(edits(t, s) for j, s in rows if j < i and len(t) >= line_dedup.MIN_CHARS) for i, t in rows} == {i: not w for i, w in want.items()}
+    got = {r.doc_id: r.all_removed for r in line_dedup.dedup_lines(make_docs(spark, rows)).collect()}
+    assert got == want
+
+
+def test_line_dedup_near_a_line_without_an_id(spark):
+    line = "a line without an id, of some length"
+    rows = [(None, line), (1, line + "."), (2, line[:5] + line[6:]), (3, "another line of quite some length")]
+    got = {r.doc_id: (r.all_removed, r.n_near) for r in line_dedup.dedup_lines(make_docs(spark, rows)).collect()}
+    assert got == {None: (False, 0), 1: (True, 1), 2: (True, 1), 3: (False, 0)}
+
+
 def test_line_dedup_of_odd_input(spark, odd_texts):
     docs = make_docs(spark, list(enumerate(odd_texts)) + [(None, "a line without an id, of some length"), (3, "a"), (40, "\n".join(["x y z"] + ["n%d of many" % k for k in range(200)] + ["x y z"]))])
     got = {(r.doc_id, r.n_lines): r for r in line_dedup.dedup_lines(docs).collect()}

@@ -2,7 +2,7 @@
 
 A line is the text between line feeds without outer white space. Lines without a word are never removed. Of equal lines
 the earliest stays (smallest doc_id, then place in the text). A line of ``MIN_CHARS`` characters or more also goes if an
-earlier line lies within one edit (a character put in, taken out or changed).
+earlier line, which may be a character shorter than that, lies within one edit (a character put in, taken out or changed).
 
 * Lines within one edit agree outside some segment of a partition, once lengths are taken into account. Hashes of what
   lies outside, first for 2 segments over all lines and then for ``SEGMENTS`` over those that matched, lose no pair and
@@ -62,7 +62,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, doc, at, near) of the lines to remove; ``doc`` is the hash of the text."""
     lines = _lines(docs).withColumn("n", F.char_length("line"))
-    pair = F.when(F.col("n") >= min_chars, _outside(F.col("line"), F.col("n"), 2))
+    # the earlier line of a pair may be a character shorter
+    pair = F.when(F.col("n") >= min_chars - 1, _outside(F.col("line"), F.col("n"), 2))
     base = keep(lines.select("doc_id", "doc", "at", F.xxhash64("line").alias("hash"), F.xxhash64(F.lit(1), "line").alias("more"),
                              F.transform(pair, lambda p: p["key"]).alias("keys")))
     place = F.struct("doc_id", "doc", "at")
@@ -75,8 +76,9 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     halves = base.where("keys is not null").select("hash", F.posexplode("keys").alias("k", "key")).withColumn("own", F.col("k") < 2)
     matched = small(_matched(halves), BROADCAST_ROWS)
     near_by = base.where("keys is not null").select("doc_id", "doc", "at", F.explode("keys").alias("key")).join(matched, "key", "left_semi")
-    near_by = small(near_by.select("doc_id", "doc", "at").distinct(), BROADCAST_ROWS)
-    texts = lines.join(near_by, ["doc_id", "doc", "at"]).groupBy("line", "n").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    near_by = near_by.select(F.col("doc_id").alias("_id"), F.col("doc").alias("_doc"), F.col("at").alias("_at")).distinct()
+    here = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("doc") == F.col("_doc")) & (F.col("at") == F.col("_at"))
+    texts = lines.join(small(near_by, BROADCAST_ROWS), here).groupBy("line", "n").agg(F.min(F.struct("doc_id", "at")).alias("first"))
     texts = keep(texts.withColumn("hash", F.xxhash64("line")).withColumn("more", F.xxhash64(F.lit(1), "line")))
 
     # narrowed to segments, then deletion variants at the places that are left
@@ -96,8 +98,9 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lead = F.when(F.col("whole") & F.col("other").isNotNull(), F.least("own", "other")).otherwise(F.col("own"))
     tied = variants.join(heads, "key").select("hash", "first", lead.alias("lead")).where(F.col("lead.first") < F.col("first"))
     tied = tied.select("hash", F.col("lead.hash").alias("lead")).distinct()
-    named = texts.select("hash", "more", "line")
-    checked = tied.join(named, "hash").join(named.select(F.col("hash").alias("lead"), F.col("line").alias("other")), "lead")
+    named = texts.select("hash", "more", "line", "n")
+    checked = tied.join(named.where(F.col("n") >= min_chars), "hash").join(
+        named.select(F.col("hash").alias("lead"), F.col("line").alias("other")), "lead")
     checked = checked.where(F.levenshtein("line", "other", 1) == 1).select("hash", "more").distinct()
     near = base.select("hash", "more", "doc_id", "doc", "at").join(small(checked, BROADCAST_ROWS), ["hash", "more"])
     return exact.unionByName(near.select("doc_id", "doc", "at", F.lit(True).alias("near")))
