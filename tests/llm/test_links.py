@@ -68,6 +68,29 @@ def test_decontamination_against_all_windows(spark, prose):
     assert decontam.find(docs.limit(0), benchmark).count() == 0 and decontam.find(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_items_changed_at_one_end():
+    rng = np.random.default_rng(7)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(3000)])
+    items, texts = [], []
+    for k in range(400):
+        n = int(rng.integers(60, 200))
+        said = rng.choice(vocabulary, n)
+        items.append((k, " ".join(said)))
+        new = said.copy()
+        new[n - (n - 4) // 9 :] = rng.choice(vocabulary, (n - 4) // 9)
+        texts.append(" ".join([*rng.choice(vocabulary, 20), *new, *rng.choice(vocabulary, 20)]))
+    index = decontam.Index(items)
+    far = 0
+    for k, text in enumerate(texts):
+        (_, h, _), = words_of([text], True)
+        own = len(items[k][1].split())
+        if decontam.similarity(decontam.weighted(h[20 : 20 + own]), index.sets[k]) >= 0.8:
+            found = [m for m in index.matches(h) if m[0] == k]
+            assert found
+            far += found[0][4] > 15
+    assert far >= 2
+
+
 def test_hamming_blocks_find_every_fingerprint_in_the_radius():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 400, dtype=np.uint64)

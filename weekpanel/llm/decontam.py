@@ -3,13 +3,15 @@
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case. For every benchmark item a window of the item's own
 number of words slides over a document. A window's SimHash adds the signs of its words' hashed bits; running sums make
 this a difference of two rows. Fingerprints (64 bits) are cut into ``BLOCKS`` blocks: any two within ``RADIUS`` bits agree
-on a block (pigeonhole, RADIUS < BLOCKS), so a table per block finds every fingerprint within the radius. Candidates are
-verified by the exact similarity of weighted shingles: five-word shingles weigh their number of uses, the sum of minima
-over the sum of maxima must reach ``SIMILARITY``. Items with fewer words than a shingle are one shingle.
+on a block (pigeonhole, RADIUS < BLOCKS), so every fingerprint within the radius is compared; one beyond it is lost only if
+all blocks differ. Candidates are verified by the exact similarity of weighted shingles: five-word shingles weigh their
+number of uses, the sum of minima over the sum of maxima must reach ``SIMILARITY``. Items with fewer words than a shingle
+are one shingle.
 
 A verified window shares a shingle with its item. That exact bound decides where windows have to be laid: at every
 place from which the item's window would put a shared shingle where the item has it. All documents are read whole; all
-windows so placed are fingerprinted.
+windows so placed are fingerprinted and meet the items of their size that share a shingle with the document. The number of
+a window's shingles that the item has bounds the sum of minima, so pairs that cannot reach the similarity are not verified.
 
 The benchmark goes to the tasks in blocks of at most ``ITEM_BYTES`` of text (a broadcast of bounded size); a larger
 benchmark takes more passes over the documents. Nothing is shuffled but an item's matches.
@@ -32,8 +34,8 @@ from weekpanel.llm.base import ship, windows, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 15
-BLOCKS = 16
+RADIUS = 31
+BLOCKS = 32
 ITEM_BYTES = 16 << 20
 FILTER_BITS = 22
 STRETCH = 1 << 16
@@ -69,7 +71,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 class Index:
-    """Items of one pass: shingle offsets, fingerprints in block tables, weighted shingles."""
+    """Items of one pass: shingle offsets, fingerprints in blocks, weighted shingles."""
 
     def __init__(self, items: list[tuple[int, str]]):
         hashed = [h[a:b] for _, h, offsets in words_of([t for _, t in items], True) for a, b in zip(offsets, offsets[1:], strict=False)]
@@ -89,25 +91,23 @@ class Index:
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.key >> np.uint64(64 - FILTER_BITS)] = True
         self.short = sorted({len(h) for h in self.words if len(h) < SHINGLE})
-        # block tables: items by (window size, block number, block value)
-        self.table: dict[tuple[int, int, int], list[int]] = {}
-        for i, values in enumerate(blocks(self.print)):
-            for k, v in enumerate(values.tolist()):
-                self.table.setdefault((int(self.size[i]), k, v), []).append(i)
-
-    def places(self, keys: np.ndarray, n: int) -> np.ndarray:
-        """Rows (item size, window start) to lay windows at, from a document's shingles; distinct."""
+        self.blocks = blocks(self.print)
+
+    def places(self, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (item size, window start) to lay windows at, from a document's shingles, and rows (item, place) of the
+        shingles shared with each item; both distinct and sorted."""
         maybe = np.flatnonzero(self.filter[keys >> np.uint64(64 - FILTER_BITS)])
         low = np.searchsorted(self.key, keys[maybe], "left")
         many = np.searchsorted(self.key, keys[maybe], "right") - low
         if not many.sum():
-            return np.zeros((0, 2), np.int64)
+            return np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)
         at = np.repeat(maybe, many)
         entry = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        size = self.size[self.item[entry]]
+        item = self.item[entry]
+        size = self.size[item]
         # a window of the item's size that would overhang the text is moved inside
         start = np.clip(at - self.offset[entry], 0, np.maximum(0, n - size))
-        return np.unique(np.stack([size, start], axis=1), axis=0)
+        return np.unique(np.stack([size, start], axis=1), axis=0), np.unique(np.stack([item, at], axis=1), axis=0)
 
     def matches(self, hashes: np.ndarray) -> list[tuple[int, int, int, float, int]]:
         """(item, start, words, similarity, distance) of the best window per item."""
@@ -116,11 +116,16 @@ class Index:
         for width in self.short:
             if n >= width:
                 keys = windows(hashes, width)
-                found = self.places(keys, n)
-                rows.append(found[found[:, 0] == width])
-        place = np.concatenate([*rows, np.zeros((0, 2), np.int64)])
+                found, shared = self.places(keys, n)
+                rows.append((found[found[:, 0] == width], shared[self.size[shared[:, 0]] == width]))
+        place = np.concatenate([*(r for r, _ in rows), np.zeros((0, 2), np.int64)])
         if not len(place):
             return []
+        # an item's shingles are of one width, so the rows of both kinds keep apart
+        shared = np.concatenate([s for _, s in rows])
+        held = np.sort(shared[:, 0] * (n + 1) + shared[:, 1])
+        items = np.unique(shared[:, 0])
+        own = {int(w): items[self.size[items] == w] for w in np.unique(self.size[items])}
         place = place[np.argsort(place[:, 1], kind="stable")]
         size, start = place[:, 0], place[:, 1]
         end = np.minimum(start + size, n)
@@ -133,13 +138,16 @@ class Index:
             prints[rows] = fingerprint(sums[end[rows] - low] - sums[start[rows] - low])
         best: dict[int, tuple] = {}
         for row, values in enumerate(blocks(prints)):
-            near = {i for k, v in enumerate(values.tolist()) for i in self.table.get((int(size[row]), k, v), ())}
-            for i in sorted(near):
-                distance = int(prints[row] ^ self.print[i]).bit_count()
-                if distance <= RADIUS:
-                    s = similarity(weighted(hashes[start[row] : end[row]]), self.sets[i])
-                    if s >= SIMILARITY and (i not in best or s > best[i][3]):
-                        best[i] = (i, int(start[row]), int(end[row] - start[row]), s, distance)
+            near = own[int(size[row])]
+            width, whole = (max(1, int(m) - SHINGLE + 1) for m in (end[row] - start[row], size[row]))
+            first = near * (n + 1) + start[row]
+            common = np.searchsorted(held, first + width) - np.searchsorted(held, first)
+            # low / (width + whole - low) reaches the similarity
+            near = near[(1 + SIMILARITY) * common >= SIMILARITY * (width + whole) - 1e-6]
+            for i in near[(self.blocks[near] == values).any(axis=1)].tolist():
+                s = similarity(weighted(hashes[start[row] : end[row]]), self.sets[i])
+                if s >= SIMILARITY and (i not in best or s > best[i][3]):
+                    best[i] = (i, int(start[row]), int(end[row] - start[row]), s, int(prints[row] ^ self.print[i]).bit_count())
         return list(best.values())
 
 
