@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weekpanel.llm import chat, crf, decontam, line_dedup, minmax, quality, rans, sharding, spm_scan, toxicity
+from weekpanel.llm import (
+    chat, crf, decontam, line_dedup, merkle, merkle_sql, minmax, quality, rans, sharding, spm_scan, toxicity,
+)
 from weekpanel.llm.base import table
 
 
@@ -60,6 +62,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_tokens(spark, rans.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_piece_codec": op2_piece_codec,
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_chat_format": op9_chat_format,
     "op10_shards": op10_shards,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 OP9_SQL = """
@@ -102,4 +109,4 @@ SELECT conv_id, count(*) AS n_turns,
 FROM judged GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op9_chat_format": OP9_SQL}
+SQL: dict[str, str] = {"op9_chat_format": OP9_SQL, "op11_merkle_manifest": merkle_sql.statement()}
