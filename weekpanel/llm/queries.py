@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weekpanel.llm import (
-    chat, crf, decontam, line_dedup, merkle, merkle_sql, minmax, quality, rans, sharding, spm_scan, toxicity,
+    chat, crf, decontam, line_dedup, merkle, merkle_sql, minmax, quality, rans, secrets, secrets_sql, sharding,
+    spm_scan, toxicity,
 )
 from weekpanel.llm.base import table
 
@@ -66,6 +67,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
 
+def op12_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(*secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_piece_codec": op2_piece_codec,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_shards": op10_shards,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_secret_owners": op12_secret_owners,
 }
 
 OP9_SQL = """
@@ -109,4 +115,8 @@ SELECT conv_id, count(*) AS n_turns,
 FROM judged GROUP BY conv_id
 """
 
-SQL: dict[str, str] = {"op9_chat_format": OP9_SQL, "op11_merkle_manifest": merkle_sql.statement()}
+SQL: dict[str, str] = {
+    "op9_chat_format": OP9_SQL,
+    "op11_merkle_manifest": merkle_sql.statement(),
+    "op12_secret_owners": secrets_sql.STATEMENT,
+}
