@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weekpanel.llm import (
-    chat, crf, decontam, line_dedup, merkle, merkle_sql, minmax, quality, rans, secrets, secrets_sql, sharding,
+    chat, crf, decontam, lemp, lemp_sql, line_dedup, merkle, merkle_sql, minmax, quality, rans, secrets, secrets_sql, sharding,
     spm_scan, toxicity,
 )
 from weekpanel.llm.base import table
@@ -71,6 +71,10 @@ def op12_secret_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(*secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lemp.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_piece_codec": op2_piece_codec,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shards": op10_shards,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_secret_owners": op12_secret_owners,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 OP9_SQL = """
@@ -119,4 +124,5 @@ SQL: dict[str, str] = {
     "op9_chat_format": OP9_SQL,
     "op11_merkle_manifest": merkle_sql.statement(),
     "op12_secret_owners": secrets_sql.STATEMENT,
+    "op13_ranked_search": lemp_sql.STATEMENT,
 }
