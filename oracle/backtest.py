@@ -143,6 +143,64 @@ draws AS (SELECT panel, strategy, split, rep, n, x[CAST(s + j.o + 1 AS BIGINT)]
 boot AS (SELECT panel, strategy, split, rep, avg(v) AS m, stddev_pop(v) AS sd FROM draws GROUP BY ALL),
 vals AS (SELECT panel, strategy, split, {guarded('m', 'sd')} AS v FROM boot)"""
 
+# runs of policies that read their own portfolio, one recursion step per week
+MIX = f"""
+mix AS (SELECT l_suppkey AS entity, {week('CAST(l_shipdate AS DATE)')} AS week_end,
+  sum(CASE l_returnflag WHEN 'A' THEN l_quantity ELSE 0 END) AS a, sum(CASE l_returnflag WHEN 'N' THEN l_quantity ELSE 0 END) AS b,
+  sum(CASE l_returnflag WHEN 'R' THEN l_quantity ELSE 0 END) AS c, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+src AS (SELECT entity, {split('m.week_end')} AS split, m.week_end, next_return_spy AS r0, next_return_tlt AS r1, next_return_gld AS r2,
+  a / q AS b0, b / q AS b1, c / q AS b2, row_number() OVER (PARTITION BY entity, {split('m.week_end')} ORDER BY m.week_end) AS t
+  FROM mix m JOIN targets t ON m.week_end = t.week_end
+  WHERE next_return_spy IS NOT NULL AND next_return_tlt IS NOT NULL AND next_return_gld IS NOT NULL)"""
+
+
+def stateful(name: str, ready: str, chosen: str, memory: str) -> str:
+    """CTE ``name``: ``ready`` and ``chosen`` are select lists over (last state, week), the second with n0..n3, the new
+    weights, and ``label``; ``memory`` gives the new a (peak) and w (wait)."""
+    return f"""
+{name} AS (
+  SELECT DISTINCT entity, split, CAST(NULL AS DATE) AS week_end, 0 AS t, CAST(0 AS DOUBLE) AS w0, CAST(0 AS DOUBLE) AS w1, CAST(0 AS DOUBLE) AS w2,
+    CAST(1 AS DOUBLE) AS w3, CAST(1 AS DOUBLE) AS v, CAST(1 AS DOUBLE) AS p, CAST([] AS DOUBLE[]) AS past, CAST(0 AS DOUBLE) AS a, 0 AS w,
+    '' AS label, CAST(0 AS DOUBLE) AS net, CAST(0 AS DOUBLE) AS turnover FROM src
+  UNION ALL
+  SELECT entity, split, week_end, t, n0, n1, n2, n3, v * (1 + net), greatest(p, v * (1 + net)),
+    CASE WHEN len(past) < 12 THEN list_append(past, net) ELSE list_append(past[2:], net) END, {memory}, label, net, turnover
+  FROM (SELECT *, n0 * r0 + n1 * r1 + n2 * r2 + n3 * 0.001 - 0.001 * turnover AS net
+    FROM (SELECT *, 0.5 * (abs(n0 - w0) + abs(n1 - w1) + abs(n2 - w2) + abs(n3 - w3)) AS turnover
+      FROM (SELECT *, {chosen} FROM (SELECT *, {ready}
+        FROM (SELECT f.entity, f.split, s.week_end, s.t, r0, r1, r2, b0, b1, b2, w0, w1, w2, w3, v, p, past, a, w
+          FROM {name} f JOIN src s ON s.entity = f.entity AND s.split = f.split AND s.t = f.t + 1))))))"""
+
+
+_STOP = stateful(
+    "stop_loss", "CASE WHEN w > 0 THEN a ELSE greatest(a, v) END AS hi",
+    ", ".join(f"CASE WHEN w > 0 OR v - hi <= -0.02 * hi THEN 0.0 ELSE b{k} END AS n{k}" for k in range(3))
+    + ", CASE WHEN w > 0 OR v - hi <= -0.02 * hi THEN 1.0 ELSE 0.0 END AS n3, "
+    "CASE WHEN w > 0 OR v - hi <= -0.02 * hi THEN 'stopped' ELSE 'invested' END AS label",
+    "CASE WHEN w = 1 THEN 0.0 ELSE hi END, CASE WHEN w > 0 THEN w - 1 WHEN label = 'stopped' THEN 3 ELSE 0 END",
+)
+_VOL = stateful(
+    "volatility_target", "CASE WHEN len(past) > 1 AND list_aggregate(past, 'stddev_pop') > 0.004 THEN 0.004 / list_aggregate(past, 'stddev_pop') ELSE 1.0 END AS s",
+    "b0 * s AS n0, b1 * s AS n1, b2 * s AS n2, 1.0 - (b0 * s + b1 * s + b2 * s) AS n3, CASE WHEN s < 1 THEN 'scaled' ELSE 'full' END AS label", "a, w",
+)
+_GAP = "(0.5 * (abs(b0 - w0) + abs(b1 - w1) + abs(b2 - w2) + abs(w3)))"
+_MOVE = stateful(
+    "turnover_limit", f"CASE WHEN {_GAP} > 0.05 THEN 0.05 / {_GAP} ELSE 1.0 END AS s",
+    "w0 + (b0 - w0) * s AS n0, w1 + (b1 - w1) * s AS n1, w2 + (b2 - w2) * s AS n2, w3 - w3 * s AS n3, CASE WHEN s < 1 THEN 'moving' ELSE 'arrived' END AS label", "a, w",
+)
+STATEFUL_METRICS = METRICS.replace("panel, strategy, split", "strategy, entity, split")
+
+# a log of actions and weights
+LOG = EV + "," + TEMPLATES.replace("templates(", "shown(") + f""",
+logged AS (SELECT *, {WEEK_INDEX} AS i, CAST(({WEEK_INDEX} * 3) % 7 + 1 AS DOUBLE) AS x0, CAST(({WEEK_INDEX} * 5) % 7 AS DOUBLE) AS x1,
+  CAST(({WEEK_INDEX} * 2) % 7 AS DOUBLE) AS x2, CASE WHEN {WEEK_INDEX} % 2 = 0 THEN CAST(({WEEK_INDEX} * 4) % 7 AS DOUBLE) ELSE 0.0 END AS x3 FROM ev),
+decided AS (
+  SELECT panel, 'decision_log' AS strategy, split, week_end, return_spy, return_tlt, return_gld, cash_return, t.action_id, t.action_name, w_spy, w_tlt, w_gld, w_cash
+  FROM logged JOIN shown t ON t.action_id = i % 7 WHERE i % 3 = 0
+  UNION ALL SELECT panel, 'decision_log', split, week_end, return_spy, return_tlt, return_gld, cash_return, NULL,
+    CASE WHEN i % 5 = 0 THEN 'candidate_weights' ELSE 'custom_weights' END, x0 / (x0 + x1 + x2 + x3), x1 / (x0 + x1 + x2 + x3), x2 / (x0 + x1 + x2 + x3), x3 / (x0 + x1 + x2 + x3)
+  FROM logged WHERE i % 3 <> 0)"""
+
 _OBS_FEATURES = ("spy_ret_5d", "vix_level", "dff_level")
 SQL = {
     "split_labels": f"""SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, {split('CAST(o_orderdate AS DATE)')} AS split,
@@ -198,6 +256,17 @@ SQL = {
          FROM mix m JOIN targets t ON m.week_end = t.week_end
          WHERE next_return_spy IS NOT NULL AND next_return_tlt IS NOT NULL AND next_return_gld IS NOT NULL),
        {HIST}, {METRICS} """ + ROWS_METRICS,
+    "stop_loss_history": chain(PRICES, SPINE, TARGETS, MIX, _STOP)
+    + f"""SELECT entity, split, week_end, label AS action_name, {r6('w0', 'w_spy')}, {r6('w1', 'w_tlt')}, {r6('w2', 'w_gld')}, {r6('w3', 'w_cash')},
+       {r6('net', 'net_return')}, {r6('turnover', 'turnover')}, {r6('v', 'portfolio_value')}, {r6('v / p - 1', 'drawdown')} FROM stop_loss WHERE t > 0""",
+    "stateful_metrics": chain(PRICES, SPINE, TARGETS, MIX, _STOP, _VOL, _MOVE)
+    + """, runs AS (SELECT 'stop_loss' AS strategy, * FROM stop_loss UNION ALL SELECT 'volatility_target', * FROM volatility_target
+         UNION ALL SELECT 'turnover_limit', * FROM turnover_limit),
+       hist AS (SELECT strategy, entity, split, week_end, net AS net_return, 0.001 AS cash_return, v AS portfolio_value, v / p - 1 AS drawdown,
+         turnover, turnover * 0.001 AS transaction_cost, net - 0.05 * CASE WHEN len(past) > 1 THEN list_aggregate(past, 'stddev_pop') ELSE 0 END AS reward
+         FROM runs WHERE t > 0),""" + STATEFUL_METRICS + f"SELECT strategy, entity, split, {rows(METRIC_COLS)} FROM metrics",
+    "decision_log": chain(LOG, HIST)
+    + f"""SELECT split, week_end, action_id, action_name, {rows(('w_spy', 'w_tlt', 'w_gld', 'w_cash', 'turnover', 'net_return', 'reward', 'portfolio_value'))} FROM hist""",
     "bootstrap_sharpe": chain(RUNS, BOOT)
     + f"""SELECT panel, strategy, split, {r6('quantile_cont(v, 0.025)', 'sharpe_ratio_ci_low')}, {r6('quantile_cont(v, 0.975)', 'sharpe_ratio_ci_high')}
        FROM vals GROUP BY panel, strategy, split""",

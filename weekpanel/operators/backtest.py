@@ -186,17 +186,31 @@ def evaluation_weeks(state: DataFrame, split: Column) -> DataFrame:
     )
 
 
-def align_actions(weeks: DataFrame, actions: DataFrame, keys: Sequence[str] = ("split", "week_end")) -> DataFrame:
-    """Attach an action log to its weeks by key; a log and a calendar that do
-    not cover each other exactly fail the job instead of shifting rows."""
+def align_log(weeks: DataFrame, log: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Attach columns of a decision log to its weeks by key; a log and a calendar that do not cover each other exactly, or a
+    log with two rows for a week, fail the job instead of shifting rows."""
     tagged_w = weeks.withColumn("_week", F.lit(True))
-    tagged_a = actions.select(*keys, "action_id", F.lit(True).alias("_action"))
-    both = tagged_w.join(tagged_a, list(keys), "full")
-    return require(both, F.col("_week").isNotNull() & F.col("_action").isNotNull(), "action log does not match the weeks").drop(
+    one = log.groupBy(*keys).agg(F.count("*").alias("_action"), *[F.any_value(c).alias(c) for c in columns])
+    both = tagged_w.join(one, list(keys), "full")
+    return require(both, F.col("_week").isNotNull() & F.coalesce(F.col("_action") == 1, F.lit(False)), "decision log does not match the weeks").drop(
         "_week", "_action"
     )
 
 
+def align_actions(weeks: DataFrame, actions: DataFrame, keys: Sequence[str] = ("split", "week_end")) -> DataFrame:
+    """Weeks with the action ids of a log."""
+    return align_log(weeks, actions, keys, ["action_id"])
+
+
+def align_decisions(weeks: DataFrame, log: DataFrame, keys: Sequence[str] = ("split", "week_end")) -> DataFrame:
+    """Weeks with the decisions of a log of action ids, weights (arrays of three or four) and names: per row the action
+    wins, else the weights, else the job fails."""
+    aligned = align_log(weeks, log, keys, ["action_id", "weights", "action_name"])
+    decision = resolve(F.col("action_id"), F.col("weights"), F.col("action_name"))
+    return aligned.withColumn("_d", decision).select(
+        *weeks.columns, "_d.action_id", "_d.action_name", F.col("_d.weights").alias("weights"))
+
+
 # ---------------------------------------------------------------------------
 # history
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weekpanel.functions.semantics import ordered
 from weekpanel.operators import backtest as bt
 from weekpanel.operators import features as feat
+from weekpanel.operators import policies as pol
 from weekpanel.operators import splits as sp
 from weekpanel.operators.bootstrap import bootstrap_sharpe as bootstrap
 from weekpanel.operators.calendar import week_end
@@ -117,9 +118,8 @@ def scenario_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bt.portfolio_metrics(run))
 
 
-def supplier_mix_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """One strategy per supplier: weekly weights are its quantity shares by return
-    flag.  The number of runs grows with the data; each run is calendar-bounded."""
+def supplier_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly returns beside each supplier's quantity shares by return flag."""
     mix = given.supplier_weekly(spark, d).select(
         F.col("entity").alias("strategy"), "week_end",
         F.array(*[F.col(f"qty_{a}").cast("double") for a in bt.ASSET_KEYS[:3]]).alias("mix"),
@@ -127,15 +127,61 @@ def supplier_mix_metrics(spark: SparkSession, d: str) -> DataFrame:
     targets = feat.weekly_targets(bars(spark, d)).dropna(
         "any", subset=["next_return_spy", "next_return_tlt", "next_return_gld"]
     ).select("week_end", *[F.col(f"next_return_{a}").alias(f"return_{a}") for a in bt.ASSET_KEYS[:3]])
-    decided = mix.join(broadcast_checked(targets), "week_end").select(
+    return mix.join(broadcast_checked(targets), "week_end").select(
         F.lit(given.PANEL_NAME).alias("panel"), "strategy", split_of().alias("split"), "week_end",
-        *bt.RETURNS[:3], F.lit(0.001).alias("cash_return"),
-        F.lit(None).cast("int").alias("action_id"), F.lit("precomputed_weights").alias("action_name"),
-        bt.coerce_weights(F.col("mix")).alias("weights"),
+        *bt.RETURNS[:3], F.lit(0.001).alias("cash_return"), bt.coerce_weights(F.col("mix")).alias("weights"),
     )
+
+
+def supplier_mix_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """One strategy per supplier: weekly weights are its quantity shares by return
+    flag.  The number of runs grows with the data; each run is calendar-bounded."""
+    decided = supplier_mix(spark, d).withColumns(
+        {"action_id": F.lit(None).cast("int"), "action_name": F.lit("precomputed_weights")})
     return rounded(bt.portfolio_metrics(bt.backtest_history(decided)))
 
 
+# given parameters of the state-reading policies
+STOP_LOSS = {"limit": 0.02, "pause": 4}
+VOLATILITY_TARGET = 0.004
+MOST_TURNOVER = 0.05
+
+
+def stateful_history(spark: SparkSession, d: str) -> DataFrame:
+    """Three policies that read their own portfolio, on the weekly mix of every supplier."""
+    weeks_df = supplier_mix(spark, d).select(
+        "panel", F.col("strategy").alias("entity"), "split", "week_end", *bt.RETURNS,
+        *[F.col("weights")[i].alias(f"mix_{a}") for i, a in enumerate(bt.ASSET_KEYS)])
+    rules = [
+        pol.stop_loss("stop_loss", "mix_", **STOP_LOSS), pol.volatility_target("volatility_target", "mix_", VOLATILITY_TARGET),
+        pol.turnover_limit("turnover_limit", "mix_", MOST_TURNOVER),
+    ]
+    return pol.run_policies(weeks_df, rules, ("panel", "entity", "split"))
+
+
+def stop_loss_history(spark: SparkSession, d: str) -> DataFrame:
+    out = stateful_history(spark, d).where("strategy = 'stop_loss'")
+    return rounded(out.select(
+        "entity", "split", "week_end", "action_name", *bt.WEIGHTS, "net_return", "turnover", "portfolio_value", "drawdown"))
+
+
+def stateful_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(bt.portfolio_metrics(stateful_history(spark, d), ("strategy", "entity", "split")))
+
+
+def decision_log(spark: SparkSession, d: str) -> DataFrame:
+    """A log of action ids in some weeks and weights (three or four) in the others, aligned by key and back-tested."""
+    w, i = weeks(spark, d), week_index()
+    raw = F.array(*[((i * m) % 7 + o).cast("double") for m, o in ((3, 1), (5, 0), (2, 0), (4, 0))])
+    log = w.select(
+        "panel", "split", "week_end", F.when(i % 3 == 0, i % 7).cast("int").alias("action_id"),
+        F.when(i % 3 != 0, F.when(i % 2 == 0, raw).otherwise(F.slice(raw, 1, 3))).alias("weights"),
+        F.when(i % 5 == 0, F.lit("candidate_weights")).alias("action_name"))
+    decided = bt.align_decisions(w, log, ("panel", "split", "week_end")).withColumn("strategy", F.lit("decision_log"))
+    return rounded(bt.backtest_history(decided).select(
+        "split", "week_end", "action_id", "action_name", *bt.WEIGHTS, "turnover", "net_return", "reward", "portfolio_value"))
+
+
 def bootstrap_sharpe(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bootstrap(history(spark, d), n_boot=300))
 
@@ -216,7 +262,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         split_labels, split_summary, feature_blocks, policy_actions, backtest_history, backtest_metrics,
-        strategy_ranking, observation_state, scenario_metrics, supplier_mix_metrics, bootstrap_sharpe,
+        strategy_ranking, observation_state, scenario_metrics, supplier_mix_metrics, stop_loss_history, stateful_metrics,
+        decision_log, bootstrap_sharpe,
         env_reward_log, episode_metrics, equity_matrix, equity_rebuilt, action_mix, action_entropy,
         policy_score, composite_score, run_comparison, observation_windows,
     )
