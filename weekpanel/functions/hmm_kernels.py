@@ -225,31 +225,3 @@ def statistics_many(values: np.ndarray, lengths: np.ndarray, at: list, params: l
     live = [i for i, u in enumerate(usable) if u]
     found = iter(_statistics_many(values, lengths, [at[i] for i in live], [params[i] for i in live]) if live else [])
     return [next(found) if u else None for u in usable]
-
-
-def fit_many(values: np.ndarray, lengths: np.ndarray, models: list[dict], iterations: int, tolerance: float, min_covar: float) -> None:
-    """EM of all models at once, in place: each gets params, history, converged and error.
-
-    A model holds positions, full, sticky and params. The last entry of its history is the likelihood of its params.
-    """
-    for m in models:
-        m.update(history=[], converged=False, error="")
-    active = list(range(len(models)))
-    for step in range(iterations + 1):
-        if not active:
-            break
-        stats = statistics_many(values, lengths, [models[i]["positions"] for i in active], [models[i]["params"] for i in active])
-        going = []
-        for i, s in zip(active, stats):
-            m = models[i]
-            if s is None or not np.isfinite(s["ll"]):
-                m["error"] = "log-likelihood is not finite"
-                continue
-            gain = s["ll"] - m["history"][-1] if m["history"] else np.inf
-            m["history"].append(s["ll"])
-            m["converged"] = bool(gain < tolerance)
-            if m["converged"] or step == iterations:  # the last pass only scores
-                continue
-            m["params"] = maximize(s, m["full"], min_covar, m["sticky"])
-            going.append(i)
-        active = going

@@ -192,6 +192,15 @@ def lag_one(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: s
     return out.withColumn("persistent", F.coalesce(F.abs("acf_1") >= threshold, F.lit(False)))
 
 
+def persistent_features(df: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str, threshold: float = 0.3) -> list[str]:
+    """Columns whose lag-one correlation, over the pairs of all keys together, reaches the threshold in size; in the given
+    order. One aggregate row reaches the driver."""
+    w = ordered(keys, order)
+    lagged = df.select(*columns, *[F.lag(c).over(w).alias(f"_{c}") for c in columns])
+    r = lagged.agg(*[correlation(F.col(c), F.col(f"_{c}")).alias(c) for c in columns]).first()
+    return [c for c in columns if r[c] is not None and abs(r[c]) >= threshold]
+
+
 def standardize(df: DataFrame, columns: Sequence[str], fit: Column, clip_sigma: float | None = CLIP_SIGMA) -> DataFrame:
     """(x - mean) / population std of the fit rows; zero spread divides by one.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekpanel.constants import GRID_COVARIANCES, GRID_SEEDS, GRID_STATES, NEWS_ASSETS
+from weekpanel.operators import features as feat
 from weekpanel.operators import hmm, joins, reduction
 from weekpanel.operators import news as nw
 from weekpanel.operators import stats as st
@@ -15,6 +16,9 @@ from weekpanel.plans.sequences import MEASURES, TRAIN_END, panel, seed_runs
 from weekpanel.session import cut_lineage
 
 KEYS = ["entity"]
+# features the search starts from: the first available one of each group (fixed values)
+CURVE = ("t10y3m_level",)
+CORE_FEATURES = (("spy_vol_20d",), ("spy_drawdown_60d",), ("vix_level",), ("t10y2y_level", "t10y3m_level", "t10y3m_sign"))
 # given parameters of the inference queries
 SUPPLIER_MODEL = {
     "start": [0.6, 0.4], "trans": [[0.9, 0.1], [0.2, 0.8]],
@@ -100,7 +104,7 @@ def train_validation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]
 def hmm_fit(spark: SparkSession, d: str) -> DataFrame:
     train, _ = train_validation(spark, d)
     models = [hmm.Candidate("k2_diag", 2, 2), hmm.Candidate("k3_full", 3, 2, "full", 21, sticky=12.0)]
-    return hmm.results_table(spark, hmm.fit_panel(train, models)).drop("error")
+    return hmm.results_table(spark, hmm.fit(train, models)).drop("error")
 
 
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
@@ -110,9 +114,12 @@ def grid_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_features(spark: SparkSession, d: str) -> DataFrame:
-    """Forward selection trace over the standardised measures."""
-    z = standardized(spark, d)
-    _, trace = hmm.greedy_bic(z, KEYS, "week_end", list(MEASURES), [["avg_quantity"]])
+    """Forward selection over the weekly market features that persist, from the core features on, in the training weeks."""
+    names = [*feat.market_feature_names(), *CURVE]
+    rows = cut_lineage(state(spark, d).select("panel", "week_end", *names).dropna("any").where(F.col("week_end") <= F.lit(TRAIN_END).cast("date")))
+    z = cut_lineage(st.standardize(rows, names, F.lit(True)))
+    persistent = st.persistent_features(z, ["panel"], names, "week_end")
+    _, trace = hmm.greedy_bic(z, ["panel"], "week_end", persistent, CORE_FEATURES)
     return spark.createDataFrame([(i, f, b) for i, (f, b) in enumerate(trace)], "step int, feature string, bic double")
 
 

@@ -39,13 +39,23 @@ def sequences_of(scores: DataFrame, rows) -> DataFrame:
     return hmm.to_sequences(scores.where(rows), PANEL, "week_end", [c for c in scores.columns if c.startswith("pc")])
 
 
+_grids: dict[tuple[str, str], tuple] = {}
+
+
 def fitted_grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
-    """(state, component scores, results with the best seed per configuration, fits by name)."""
-    base, scores = prepared(spark, d)
-    grid = hmm.grid(GRID_STATES, GRID_COMPONENTS, GRID_COVARIANCES, GRID_SEEDS)
-    fitted = hmm.fit_panel(sequences_of(scores, upto(TRAIN_END)), grid)
-    validation = hmm.score(sequences_of(scores, ~upto(TRAIN_END) & upto(DEV_END)), fitted)
-    return base, scores, cut_lineage(hmm.ranked_seeds(hmm.results_table(spark, fitted, validation), grid)), {f.candidate.name: f for f in fitted}
+    """(state, component scores, results with the best seed per configuration, fits by name).
+
+    The grid is fitted once per application and data folder: all tables lie in the checkpoint folder, parameters with them.
+    """
+    place = (spark.sparkContext.applicationId, d)
+    if place not in _grids:
+        base, scores = prepared(spark, d)
+        grid = hmm.grid(GRID_STATES, GRID_COMPONENTS, GRID_COVARIANCES, GRID_SEEDS)
+        fitted = hmm.fit(sequences_of(scores, upto(TRAIN_END)), grid)
+        validation = hmm.score(sequences_of(scores, ~upto(TRAIN_END) & upto(DEV_END)), fitted)
+        results = cut_lineage(hmm.ranked_seeds(hmm.results_table(spark, fitted, validation), grid))
+        _grids[place] = base, scores, results, {f.candidate.name: f for f in fitted}
+    return _grids[place]
 
 
 def judged(base: DataFrame, scores: DataFrame, results: DataFrame, fits: dict) -> DataFrame:
