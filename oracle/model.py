@@ -45,6 +45,20 @@ MARKET = {
     "start": [0.5, 0.5], "trans": [[0.95, 0.05], [0.1, 0.9]],
     "means": [[0.5, 2.2], [-0.5, 2.6]], "covars": [[4.0, 0.1], [9.0, 0.2]],
 }
+EVENTS = {
+    "start": [0.5, 0.5], "trans": [[0.98, 0.02], [0.03, 0.97]],
+    "means": [[2.0, 1.0], [3.0, 3.0]], "covars": [[1.5, 1.2], [1.0, 0.9]],
+}
+LONG = chain("src AS (SELECT event_type AS entity, event_id AS week_end, ln(1 + value) AS x1, hour(ts) / 6 AS x2 FROM events)", hmm("src", EVENTS))
+
+
+def posteriors(key: str, order: str) -> str:
+    """Filtered, smoothed and best path of every row."""
+    return f"""SELECT f.entity AS {key}, week_end AS {order}, {_FILTERED},
+       {r6('a0 * b0 / (a0 * b0 + a1 * b1)', 'smoothed_prob_regime_0')}, {r6('a1 * b1 / (a0 * b0 + a1 * b1)', 'smoothed_prob_regime_1')}, p.s AS regime_viterbi
+       FROM fw f JOIN em e ON e.entity = f.entity AND e.t = f.t JOIN bw b ON b.entity = f.entity AND b.t = f.t JOIN pt p ON p.entity = f.entity AND p.t = f.t"""
+
+
 SRC = PANEL + ", src AS (SELECT entity, week_end, avg_discount * 100 AS x1, avg_quantity / 10 AS x2 FROM panel)"
 BASE = chain(SRC, hmm("src", SUPPLIER))
 _FILTERED = f"{r6('a0', 'filtered_prob_regime_0')}, {r6('a1', 'filtered_prob_regime_1')}"
@@ -71,6 +85,8 @@ SQL = {
        UNION ALL SELECT 3, {r6('r3')}, {r6('r1 + r2 + r3')}, r1 + r2 < 0.90 FROM ex""",
     "hmm_filter": BASE + f"SELECT f.entity, week_end, {_FILTERED}, {r6('greatest(a0, a1)', 'regime_confidence')} FROM fw f JOIN em e ON e.entity = f.entity AND e.t = f.t",
     "hmm_filter_native": BASE + f"SELECT f.entity, week_end, {_FILTERED} FROM fw f JOIN em e ON e.entity = f.entity AND e.t = f.t",
+    "hmm_chunked": BASE + posteriors("entity", "week_end"),
+    "hmm_long": LONG + posteriors("event_type", "event_id"),
     "hmm_smooth": BASE
     + f"""SELECT f.entity, week_end, {r6('a0 * b0 / (a0 * b0 + a1 * b1)', 'smoothed_prob_regime_0')}, {r6('a1 * b1 / (a0 * b0 + a1 * b1)', 'smoothed_prob_regime_1')}
        FROM fw f JOIN em e ON e.entity = f.entity AND e.t = f.t JOIN bw b ON b.entity = f.entity AND b.t = f.t""",

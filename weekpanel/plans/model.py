@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from weekpanel.constants import GRID_COVARIANCES, GRID_SEEDS, GRID_STATES, NEWS_ASSETS
 from weekpanel.operators import features as feat
-from weekpanel.operators import hmm, joins, reduction
+from weekpanel.operators import hmm, hmm_scan, joins, reduction
 from weekpanel.operators import news as nw
 from weekpanel.operators import stats as st
 from weekpanel.plans.market import rounded, state
 from weekpanel.plans.news import scored
 from weekpanel.plans.sequences import MEASURES, TRAIN_END, panel, seed_runs
 from weekpanel.session import cut_lineage
+from weekpanel.sources import given
 
 KEYS = ["entity"]
 # features the search starts from: the first available one of each group (fixed values)
@@ -29,6 +30,11 @@ MARKET_MODEL = {
     "means": [[0.5, 2.2], [-0.5, 2.6]], "covars": [[4.0, 0.1], [9.0, 0.2]],
 }
 
+EVENT_MODEL = {
+    "start": [0.5, 0.5], "trans": [[0.98, 0.02], [0.03, 0.97]],
+    "means": [[2.0, 1.0], [3.0, 3.0]], "covars": [[1.5, 1.2], [1.0, 0.9]],
+}
+
 
 def supplier_sequences(spark: SparkSession, d: str) -> DataFrame:
     rows = panel(spark, d).select(
@@ -70,6 +76,27 @@ def hmm_score(spark: SparkSession, d: str) -> DataFrame:
     ))
 
 
+def long_inference(rows: DataFrame, keys: list[str], order: str, model: dict, bucket) -> DataFrame:
+    out = hmm_scan.infer_long(rows, keys, order, ["x1", "x2"], model, bucket)
+    return rounded(out.select(
+        *keys, order, *[F.col(c)[i].alias(f"{c}_prob_regime_{i}") for c in ("filtered", "smoothed") for i in range(2)],
+        F.col("viterbi").alias("regime_viterbi")))
+
+
+def hmm_chunked(spark: SparkSession, d: str) -> DataFrame:
+    """The supplier sequences cut into chunks of two months: filter, smoother and path by the scan."""
+    rows = panel(spark, d).select(
+        "entity", "week_end", (F.col("avg_discount") * 100).alias("x1"), (F.col("avg_quantity") / 10).alias("x2"))
+    return long_inference(rows, KEYS, "week_end", SUPPLIER_MODEL, F.year("week_end") * 6 + F.floor((F.month("week_end") - 1) / 2))
+
+
+def hmm_long(spark: SparkSession, d: str) -> DataFrame:
+    """One sequence per event type: all its events in the order of their ids, however many; 256 ids are one chunk."""
+    rows = given.table(spark, d, "events").select(
+        "event_type", "event_id", F.log1p("value").alias("x1"), (F.hour("ts") / 6).alias("x2"))
+    return long_inference(rows, ["event_type"], "event_id", EVENT_MODEL, F.floor(F.col("event_id") / 256))
+
+
 def standardized(spark: SparkSession, d: str) -> DataFrame:
     fit = F.col("week_end") <= F.lit(TRAIN_END).cast("date")
     return st.standardize(panel(spark, d).select("entity", "week_end", *MEASURES), MEASURES, fit)
@@ -153,7 +180,7 @@ def model_state_regimes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        hmm_filter, hmm_filter_native, hmm_smooth, hmm_viterbi, hmm_score, pca_variance, pca_loadings, pca_scores,
+        hmm_filter, hmm_filter_native, hmm_smooth, hmm_viterbi, hmm_score, hmm_chunked, hmm_long, pca_variance, pca_loadings, pca_scores,
         hmm_fit, grid_search, greedy_features, bic_table, model_state_regimes,
     )
 }
