@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weekpanel.constants import CLIP_SIGMA
 from weekpanel.functions.semantics import clip, correlation, ordered, ratio, so_far, whole, widest
+from weekpanel.operators.moments import pair_moments
 from weekpanel.session import broadcast_checked, cut_lineage
 
 
@@ -17,44 +18,95 @@ def long_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ())
     return cast.unpivot(list(keys), list(columns), "feature", "value").filter(F.col("value").isNotNull())
 
 
+def _brackets(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str], accuracy: int, margin: float) -> DataFrame:
+    """(keys, feature, p, total, lo, hi): values between which the wanted ranks of every probability lie, from one mergeable
+    sketch per column; groups of few rows take their whole range."""
+    ends = [float(min(1.0, max(0.0, p + s * margin / accuracy))) for p in probs for s in (-1, 1)]
+    rows = []
+    for c in columns:
+        v = F.col(c).cast("double")
+        found, n = F.percentile_approx(v, ends, accuracy), F.count(v)
+        few = n <= 2 * accuracy if margin < accuracy else F.lit(True)
+        for k, p in enumerate(probs):
+            rows.append(F.struct(
+                F.lit(c).alias("feature"), F.lit(float(p)).alias("p"), n.alias("total"),
+                F.when(few, F.min(v)).otherwise(F.get(found, F.lit(2 * k))).alias("lo"),
+                F.when(few, F.max(v)).otherwise(F.get(found, F.lit(2 * k + 1))).alias("hi")))
+    return df.groupBy(*keys).agg(F.array(*rows).alias("_b")).select(*keys, F.inline("_b")).where("total > 0")
+
+
 def exact_percentiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (), slices: int | None = None
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = (), slices: int | None = None,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """Exact, linearly interpolated percentiles of arbitrarily large groups.
 
-    Values are counted per distinct value, range-partitioned into sorted slices
-    and only the slices that hold a wanted rank are ordered.  No group is ever
-    gathered in one task, and a hot value is one row.
+    A quantile sketch per column brackets each wanted rank; a second pass counts what lies below a bracket and keeps only
+    the values inside, as counts per distinct value. These are range-partitioned into sorted slices, and only the slices
+    that hold a wanted rank are ordered. No group is ever gathered in one task, and a hot value is one row. That every rank
+    lies in its bracket is checked; brackets that miss one (which the sketch's bound rules out) are widened.
     """
-    group = [*keys, "feature"]
-    counted = long_values(df, columns, keys).groupBy(*group, "value").agg(F.count("*").alias("n"))
+    group, margin = [*keys, "feature", "p"], 4.0
+    cells = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    while True:
+        brackets = cut_lineage(_brackets(cells, columns, probs, keys, accuracy, margin))
+        rank = F.col("p") * (F.col("total") - 1)
+        # one row per key holds the brackets of all its columns
+        wide = brackets.groupBy(*keys).agg(*[
+            F.max(F.when((F.col("feature") == c) & (F.col("p") == float(p)), F.col(e))).alias(f"_{e}{i}_{k}")
+            for i, c in enumerate(columns) for k, p in enumerate(probs) for e in ("lo", "hi")])
+        joined = _beside(cells, wide, keys)
+        below = joined.groupBy(*keys).agg(F.array(*[
+            F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("p"), F.count_if(F.col(c) < F.col(f"_lo{i}_{k}")).alias("below"),
+                     F.count_if((F.col(c) >= F.col(f"_lo{i}_{k}")) & (F.col(c) <= F.col(f"_hi{i}_{k}"))).alias("inside"))
+            for i, c in enumerate(columns) for k, p in enumerate(probs)]).alias("_c")).select(*keys, F.inline("_c"))
+        placed = _same(brackets, below, group).select(*[brackets[c] for c in group], "total", "below", "inside")
+        placed = cut_lineage(placed)
+        if not placed.where((F.floor(rank) < F.col("below")) | (F.ceil(rank) >= F.col("below") + F.col("inside"))).limit(1).count():
+            break
+        margin *= 16
+    inside = F.filter(F.array(*[
+        F.when((F.col(c) >= F.col(f"_lo{i}_{k}")) & (F.col(c) <= F.col(f"_hi{i}_{k}")),
+               F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("p"), F.col(c).alias("value")))
+        for i, c in enumerate(columns) for k, p in enumerate(probs)]), lambda s: s.isNotNull())
+    counted = joined.select(*keys, F.inline(inside)).groupBy(*group, "value").agg(F.count("*").alias("n"))
     ranged = counted.repartitionByRange(*([slices] if slices else []), *group, "value")
     # materialised: the slice of a row must not change between the passes below
-    placed = cut_lineage(ranged.withColumn("slice", F.spark_partition_id()))
-    totals = placed.groupBy(*group, "slice").agg(F.sum("n").alias("rows"))
+    sliced = cut_lineage(ranged.withColumn("slice", F.spark_partition_id()))
+    totals = sliced.groupBy(*group, "slice").agg(F.sum("n").alias("rows"))
     w = ordered(group, "slice")
-    bounds = totals.select(
-        *group, "slice", "rows",
-        (F.sum("rows").over(so_far(w)) - F.col("rows")).alias("before"),
-        F.sum("rows").over(whole(group)).alias("total"),
-    )
-    wanted = bounds.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    rank = F.col("p") * (F.col("total") - 1)
-    ranks = wanted.withColumn("rank", F.explode(F.array(F.floor(rank), F.ceil(rank)))).filter(
+    bounds = totals.select(*group, "slice", "rows", (F.sum("rows").over(so_far(w)) - F.col("rows")).alias("before"))
+    bounds = _same(bounds, placed, group).select(*[bounds[c] for c in group], "slice", "rows", (F.col("before") + F.col("below")).alias("before"), "total")
+    asked = bounds.withColumn("rank", F.explode(F.array(F.floor(rank), F.ceil(rank)))).where(
         (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("rows"))
-    )
-    asked = ranks.groupBy(*group, "slice").agg(
-        F.max("before").alias("before"), F.max("total").alias("total"),
-        F.collect_set(F.struct("p", "rank")).alias("asked"),
-    )
+    ).groupBy(*group, "slice").agg(F.max("before").alias("before"), F.max("total").alias("total"), F.collect_set("rank").alias("ranks"))
     inner = ordered([*group, "slice"], "value")
-    located = placed.join(broadcast_checked(asked), [*group, "slice"]).withColumn("upto", F.col("before") + F.sum("n").over(so_far(inner)))
-    hit = located.select(*group, "value", "n", "upto", "total", F.inline("asked")).filter(
-        (F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto"))
-    )
+    asked = broadcast_checked(asked)
+    located = _same(sliced, asked, [*group, "slice"]).select(*[sliced[c] for c in group], sliced["slice"], "value", "n", "before", "total", "ranks")
+    located = located.withColumn("upto", F.col("before") + F.sum("n").over(so_far(inner)))
+    hit = located.select(*group, "value", "n", "upto", "total", F.explode("ranks").alias("rank")).where(
+        (F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto")))
     low, high = F.min("value"), F.max("value")
-    weight = F.max(F.col("p") * (F.col("total") - 1) - F.floor(F.col("p") * (F.col("total") - 1)))
-    return hit.groupBy(*group, "p").agg((low + (high - low) * weight).alias("value"))
+    weight = F.max(rank - F.floor(rank))
+    return hit.groupBy(*group).agg((low + (high - low) * weight).alias("value"))
+
+
+def _same(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on columns of which missing values are equal."""
+    match = left[on[0]].eqNullSafe(right[on[0]])
+    for c in on[1:]:
+        match = match & left[c].eqNullSafe(right[c])
+    return left.join(right, match)
+
+
+def _beside(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their key's row in ``table`` (of one row without keys)."""
+    if not keys:
+        only = table.first()
+        return rows.withColumns({c: F.lit(only[c] if only else None).cast("double") for c in table.columns})
+    table = broadcast_checked(table)
+    extra = [c for c in table.columns if c not in keys]
+    return _same(rows, table, keys).select(*[rows[c] for c in rows.columns], *extra)
 
 
 def percentile_columns(long: DataFrame, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
@@ -124,27 +176,12 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), diagonal: bool = True) -> DataFrame:
-    """Pairwise-complete correlations of all column pairs.
-
-    Each row expands to its pairs of values, combined per pair on the map side:
-    a task ships one partial row per pair, and the generated code stays small
-    however many columns there are.
-    """
-    n, first = len(columns), 0 if diagonal else 1
-    values = df.select(*keys, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
-    x = F.col("x")
-    pairs = F.flatten(F.transform(
-        F.sequence(F.lit(0), F.lit(n - 1 - first)),
-        lambda i: F.transform(
-            F.sequence(i + first, F.lit(n - 1)),
-            lambda j: F.struct(i.alias("i"), j.alias("j"), F.get(x, i).alias("a"), F.get(x, j).alias("b")),
-        ),
-    ))
-    complete = values.select(*keys, F.inline(pairs)).filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    """Pairwise-complete correlations of all column pairs, from one block of moments per task; NULL where a side does not
+    vary."""
     names = F.array(*[F.lit(c) for c in columns])
-    return complete.groupBy(*keys, "i", "j").agg(correlation(F.col("a"), F.col("b")).alias("r")).select(
-        *keys, F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"), "r"
-    )
+    found = pair_moments(df, columns, keys, diagonal)
+    r = F.try_divide(F.col("ss_ab"), F.sqrt("ss_a") * F.sqrt("ss_b"))
+    return found.select(*keys, F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"), r.alias("r"))
 
 
 def high_correlations(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), threshold: float = 0.8) -> DataFrame:

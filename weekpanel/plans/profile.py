@@ -9,6 +9,7 @@ from weekpanel.operators import features as feat
 from weekpanel.operators import stats as st
 from weekpanel.plans.market import bars, rounded
 from weekpanel.plans.sequences import MEASURES, TRAIN_END, panel
+from weekpanel.session import cut_lineage
 from weekpanel.sources import given
 
 LINE_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -31,11 +32,11 @@ def moments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def iqr_outliers(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(st.iqr_outliers(panel(spark, d), MEASURES))
+    return rounded(st.iqr_outliers(cut_lineage(panel(spark, d)), MEASURES))
 
 
 def box_stats(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(st.box_stats(panel(spark, d), MEASURES, ["state"]))
+    return rounded(st.box_stats(cut_lineage(panel(spark, d)), MEASURES, ["state"]))
 
 
 def missingness(spark: SparkSession, d: str) -> DataFrame:
