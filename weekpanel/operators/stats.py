@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from weekpanel.operators.moments import pair_moments
 from weekpanel.session import broadcast_checked, cut_lineage
 
 
+#: Rows up to which a table of percentiles or brackets is broadcast.
+BROADCAST_ROWS = 200_000
+
+
 def long_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """(keys, feature, value) rows of the non-null values."""
     cast = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
@@ -50,63 +56,65 @@ def exact_percentiles(
     cells = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
     while True:
         brackets = cut_lineage(_brackets(cells, columns, probs, keys, accuracy, margin))
+        # tables of one row per key or bracket are broadcast up to a number of rows
+        small = brackets.count() <= BROADCAST_ROWS
         rank = F.col("p") * (F.col("total") - 1)
         # one row per key holds the brackets of all its columns
         wide = brackets.groupBy(*keys).agg(*[
             F.max(F.when((F.col("feature") == c) & (F.col("p") == float(p)), F.col(e))).alias(f"_{e}{i}_{k}")
             for i, c in enumerate(columns) for k, p in enumerate(probs) for e in ("lo", "hi")])
-        joined = _beside(cells, wide, keys)
+        joined = _beside(cells, wide, keys, small)
         below = joined.groupBy(*keys).agg(F.array(*[
             F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("p"), F.count_if(F.col(c) < F.col(f"_lo{i}_{k}")).alias("below"),
                      F.count_if((F.col(c) >= F.col(f"_lo{i}_{k}")) & (F.col(c) <= F.col(f"_hi{i}_{k}"))).alias("inside"))
             for i, c in enumerate(columns) for k, p in enumerate(probs)]).alias("_c")).select(*keys, F.inline("_c"))
-        placed = _same(brackets, below, group).select(*[brackets[c] for c in group], "total", "below", "inside")
-        placed = cut_lineage(placed)
+        placed = cut_lineage(_same(brackets, below, group).select(*group, "total", "below", "inside"))
         if not placed.where((F.floor(rank) < F.col("below")) | (F.ceil(rank) >= F.col("below") + F.col("inside"))).limit(1).count():
             break
         margin *= 16
+    # a bracket of one value is the answer; the values inside the others are counted
+    single = brackets.where("lo = hi").select(*group, F.col("lo").alias("value"))
+    open_ = lambda i, k: (F.col(columns[i]) >= F.col(f"_lo{i}_{k}")) & (F.col(columns[i]) <= F.col(f"_hi{i}_{k}")) & (F.col(f"_lo{i}_{k}") < F.col(f"_hi{i}_{k}"))
+    cases = [(i, k) for i in range(len(columns)) for k in range(len(probs))]
     inside = F.filter(F.array(*[
-        F.when((F.col(c) >= F.col(f"_lo{i}_{k}")) & (F.col(c) <= F.col(f"_hi{i}_{k}")),
-               F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("p"), F.col(c).alias("value")))
-        for i, c in enumerate(columns) for k, p in enumerate(probs)]), lambda s: s.isNotNull())
-    counted = joined.select(*keys, F.inline(inside)).groupBy(*group, "value").agg(F.count("*").alias("n"))
+        F.when(open_(i, k), F.struct(F.lit(columns[i]).alias("feature"), F.lit(float(probs[k])).alias("p"), F.col(columns[i]).alias("value")))
+        for i, k in cases]), lambda s: s.isNotNull())
+    some = joined.where(reduce(lambda a, b: a | b, [open_(i, k) for i, k in cases]))
+    counted = some.select(*keys, F.inline(inside)).groupBy(*group, "value").agg(F.count("*").alias("n"))
     ranged = counted.repartitionByRange(*([slices] if slices else []), *group, "value")
     # materialised: the slice of a row must not change between the passes below
     sliced = cut_lineage(ranged.withColumn("slice", F.spark_partition_id()))
     totals = sliced.groupBy(*group, "slice").agg(F.sum("n").alias("rows"))
     w = ordered(group, "slice")
     bounds = totals.select(*group, "slice", "rows", (F.sum("rows").over(so_far(w)) - F.col("rows")).alias("before"))
-    bounds = _same(bounds, placed, group).select(*[bounds[c] for c in group], "slice", "rows", (F.col("before") + F.col("below")).alias("before"), "total")
+    bounds = _same(bounds, placed, group).select(*group, "slice", "rows", (F.col("before") + F.col("below")).alias("before"), "total")
     asked = bounds.withColumn("rank", F.explode(F.array(F.floor(rank), F.ceil(rank)))).where(
         (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("rows"))
     ).groupBy(*group, "slice").agg(F.max("before").alias("before"), F.max("total").alias("total"), F.collect_set("rank").alias("ranks"))
     inner = ordered([*group, "slice"], "value")
-    asked = broadcast_checked(asked)
-    located = _same(sliced, asked, [*group, "slice"]).select(*[sliced[c] for c in group], sliced["slice"], "value", "n", "before", "total", "ranks")
+    # at most two slices per bracket
+    located = _same(sliced, F.broadcast(asked) if small else asked, [*group, "slice"])
     located = located.withColumn("upto", F.col("before") + F.sum("n").over(so_far(inner)))
     hit = located.select(*group, "value", "n", "upto", "total", F.explode("ranks").alias("rank")).where(
         (F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto")))
     low, high = F.min("value"), F.max("value")
     weight = F.max(rank - F.floor(rank))
-    return hit.groupBy(*group).agg((low + (high - low) * weight).alias("value"))
+    return hit.groupBy(*group).agg((low + (high - low) * weight).alias("value")).unionByName(single)
 
 
 def _same(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Inner join on columns of which missing values are equal."""
-    match = left[on[0]].eqNullSafe(right[on[0]])
-    for c in on[1:]:
-        match = match & left[c].eqNullSafe(right[c])
-    return left.join(right, match)
+    """Inner join on columns of which missing values are equal; other columns must differ in name."""
+    other = right.withColumnsRenamed({c: f"_same_{c}" for c in on})
+    match = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in on])
+    return left.join(other, match).drop(*[f"_same_{c}" for c in on])
 
 
-def _beside(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows with the columns of their key's row in ``table`` (of one row without keys)."""
+def _beside(rows: DataFrame, table: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """Rows with the columns of their key's row in ``table`` (of one row without keys), which is broadcast if ``small``."""
     if not keys:
         only = table.first()
         return rows.withColumns({c: F.lit(only[c] if only else None).cast("double") for c in table.columns})
-    table = broadcast_checked(table)
-    extra = [c for c in table.columns if c not in keys]
-    return _same(rows, table, keys).select(*[rows[c] for c in rows.columns], *extra)
+    return _same(rows, F.broadcast(table) if small else table, keys)
 
 
 def percentile_columns(long: DataFrame, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
@@ -133,29 +141,39 @@ def describe(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), pr
     return moments(df, columns, keys).join(quantiles, [*keys, "feature"])
 
 
+def _fences(df: DataFrame, columns: Sequence[str], keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Rows (keys and columns as doubles) beside the named percentiles of each column of their key, ``{name}{i}``."""
+    q = cut_lineage(exact_percentiles(df, columns, tuple(probs.values()), keys))
+    wide = q.groupBy(*keys).agg(*[
+        F.max(F.when((F.col("feature") == c) & (F.col("p") == float(p)), F.col("value"))).alias(f"_{name}{i}")
+        for i, c in enumerate(columns) for name, p in probs.items()])
+    return _beside(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]), wide, keys, q.count() <= BROADCAST_ROWS)
+
+
 def iqr_outliers(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Bounds 1.5 IQR outside the quartiles and the values beyond them."""
-    q = percentile_columns(exact_percentiles(df, columns, (0.25, 0.75), keys), {"q1": 0.25, "q3": 0.75}, keys)
-    spread = 1.5 * (F.col("q3") - F.col("q1"))
-    bounds = q.select(*keys, "feature", (F.col("q1") - spread).alias("lower_bound"), (F.col("q3") + spread).alias("upper_bound"))
-    marked = long_values(df, columns, keys).join(broadcast_checked(bounds), [*keys, "feature"])
-    outside = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
-    return marked.groupBy(*keys, "feature", "lower_bound", "upper_bound").agg(
-        F.count_if(outside).alias("n_outliers"), (F.count_if(outside) / F.count("*") * 100).alias("outlier_pct")
-    )
+    rows, out = _fences(df, columns, keys, {"q1": 0.25, "q3": 0.75}), []
+    for i, c in enumerate(columns):
+        spread = 1.5 * (F.col(f"_q3{i}") - F.col(f"_q1{i}"))
+        low, high = F.col(f"_q1{i}") - spread, F.col(f"_q3{i}") + spread
+        n = F.count_if((F.col(c) < low) | (F.col(c) > high))
+        out.append(F.struct(F.lit(c).alias("feature"), F.any_value(low).alias("lower_bound"), F.any_value(high).alias("upper_bound"),
+                            n.alias("n_outliers"), (F.try_divide(n, F.count(c)) * 100).alias("outlier_pct")))
+    return rows.groupBy(*keys).agg(F.array(*out).alias("_o")).select(*keys, F.inline("_o")).where("lower_bound is not null")
 
 
 def box_stats(df: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Quartiles and whiskers (most extreme values within 1.5 IQR), no fliers."""
-    q = percentile_columns(exact_percentiles(df, columns, (0.25, 0.5, 0.75), keys), {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
-    spread = 1.5 * (F.col("q3") - F.col("q1"))
-    joined = long_values(df, columns, keys).join(broadcast_checked(q), [*keys, "feature"])
-    v = F.col("value")
-    low = F.min(F.when(v >= F.col("q1") - spread, v))
-    high = F.max(F.when(v <= F.col("q3") + spread, v))
-    return joined.groupBy(*keys, "feature", "q1", "median", "q3").agg(
-        F.count("*").alias("n"), F.least(low, F.col("q1")).alias("whisker_low"), F.greatest(high, F.col("q3")).alias("whisker_high")
-    )
+    rows, out = _fences(df, columns, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}), []
+    for i, c in enumerate(columns):
+        v, q1, q3 = F.col(c), F.col(f"_q1{i}"), F.col(f"_q3{i}")
+        spread = 1.5 * (q3 - q1)
+        low, high = F.min(F.when(v >= q1 - spread, v)), F.max(F.when(v <= q3 + spread, v))
+        first = {n: F.any_value(F.col(f"_{n}{i}")) for n in ("q1", "median", "q3")}
+        out.append(F.struct(
+            F.lit(c).alias("feature"), *[e.alias(n) for n, e in first.items()], F.count(v).alias("n"),
+            F.least(low, first["q1"]).alias("whisker_low"), F.greatest(high, first["q3"]).alias("whisker_high")))
+    return rows.groupBy(*keys).agg(F.array(*out).alias("_o")).select(*keys, F.inline("_o")).where("q1 is not null")
 
 
 def missingness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
