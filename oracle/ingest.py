@@ -14,6 +14,38 @@ anc AS (SELECT page_id, url, html, unnest(regexp_extract_all(html, {_TAG}, 1)) A
   unnest(range(len(regexp_extract_all(html, {_TAG}, 1)))) AS pos FROM pages)"""
 _PATH = " OR ".join(f"contains(path, '{p}')" for p in ARTICLE_PATH_EXCLUSIONS)
 
+_HEAD = "regexp_extract(html, '(?is)<h1(?:\\s[^>]*)?>(.*?)</h1\\s*>', 1)"
+# matching blocks: maximal common runs per diagonal, the longest of a segment first, then the segments left and right of it
+LINKS = f"""
+pg AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+://[^/]*)/([a-z]+)', 1) AS root, regexp_extract(url, '^[a-z]+://[^/]*/([a-z]+)', 1) AS lang,
+  regexp_extract(url, '^[^?#]*') AS bare, {clean(f"regexp_replace({_HEAD}, '(?s)<[^>]*>', ' ', 'g')")} AS title FROM pages),
+en AS (SELECT t.page_id, s.page_id - t.page_id AS step, t.title, s.page_id AS k, t.root, s.lang, t.bare, CASE WHEN ends_with(t.bare, '/') THEN t.lang || '/' ELSE '' END AS above,
+  {clean("""regexp_replace(CASE WHEN s.page_id = t.page_id THEN list_aggregate([w for w, i in string_split(s.title, ' ') if (i - 1 + s.page_id) % 5 <> 0], 'string_agg', ' ')
+     ELSE substr(s.title, 1, 120) END, '[<>&]', ' ', 'g')""")} AS label
+  FROM pg t JOIN pg s ON s.page_id BETWEEN t.page_id - 2 AND t.page_id + 2),
+ln AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY step DESC) - 1 AS pos, title, label, CASE k % 4 WHEN 0 THEN root || '/' || lang || '/' || k
+  WHEN 1 THEN root || '/' || above || lang || '/story-' || k WHEN 2 THEN root || '/deep/' || k || '.html' ELSE bare || '?post_type=news&p=' || k END AS link FROM en),
+nm AS (SELECT *, {normalize('title')} AS t, coalesce({normalize('label')}, '') AS l, {normalize('label', 'link')} AS a FROM ln WHERE label <> ''),
+chars AS (SELECT page_id, pos, i, j, i - j AS g FROM (SELECT page_id, pos, t, l, unnest(range(length(t))) AS i FROM nm) x, LATERAL (SELECT unnest(range(length(x.l))) AS j) y
+  WHERE t[i + 1] = l[j + 1]),
+isles AS (SELECT page_id, pos, g, i, i - row_number() OVER (PARTITION BY page_id, pos, g ORDER BY i) AS isle FROM chars),
+runs AS (SELECT page_id, pos, min(i) AS ri, min(i) - g AS rj, count(*) AS n FROM isles GROUP BY page_id, pos, g, isle),
+blocks AS (
+  SELECT page_id, pos, 0 AS alo, length(t) AS ahi, 0 AS blo, length(l) AS bhi, 0 AS size FROM nm
+  UNION ALL
+  SELECT page_id, pos, CASE side WHEN 0 THEN alo ELSE bi + n END, CASE side WHEN 0 THEN bi ELSE ahi END,
+    CASE side WHEN 0 THEN blo ELSE bj + n END, CASE side WHEN 0 THEN bj ELSE bhi END, CASE side WHEN 0 THEN n ELSE 0 END
+  FROM (SELECT *, row_number() OVER (PARTITION BY page_id, pos, alo, ahi, blo, bhi ORDER BY n DESC, bi, bj) AS place
+    FROM (SELECT s.page_id, s.pos, alo, ahi, blo, bhi, greatest(ri, alo, blo + ri - rj) AS bi, greatest(ri, alo, blo + ri - rj) - (ri - rj) AS bj,
+        least(ri + r.n, ahi, bhi + ri - rj) - greatest(ri, alo, blo + ri - rj) AS n
+      FROM blocks s JOIN runs r ON r.page_id = s.page_id AND r.pos = s.pos WHERE alo < ahi AND blo < bhi) WHERE n > 0) best, (SELECT unnest([0, 1]) AS side)
+  WHERE place = 1),
+matched AS (SELECT page_id, pos, sum(size) AS m FROM blocks GROUP BY ALL),
+scored AS (SELECT nm.page_id, nm.pos, link, CASE WHEN length(t) + length(l) = 0 THEN 10.0 ELSE 20.0 * m / (length(t) + length(l)) END
+    + len(list_filter(list_filter(string_split(t, ' '), lambda w: length(w) >= 4)[1:6], lambda w: contains(' ' || a || ' ', ' ' || w || ' '))) AS score
+  FROM nm JOIN matched USING (page_id, pos)
+  WHERE NOT ({_PATH.replace('path', "lower(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1))")}))"""
+
 SQL = {
     "series_cleanup": chain(SERIES_META)
     + f""", raw AS (SELECT {SERIES} AS series_id, o_orderkey, CAST(o_orderdate AS DATE) AS date, o_totalprice AS value FROM orders),
@@ -40,21 +72,8 @@ SQL = {
     "html_pairs": chain(ANCHORS) + f"SELECT page_id, CAST(pos AS INTEGER) AS pos, href, {clean('raw')} AS label FROM anc",
     "table_pairs": f"""SELECT o_orderkey, 0 AS pos, CAST(o_orderdate AS DATE) AS date, {r6('o_totalprice', 'value')} FROM orders
        UNION ALL SELECT o_orderkey, 1, CAST(o_orderdate AS DATE) + 1, -1.5 FROM orders""",
-    "article_links": chain(ANCHORS)
-    + f""", b AS (SELECT page_id, pos, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)', 1) AS scheme,
-         regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)', 2) AS host, regexp_replace(url, '#.*$', '') AS page, href, {clean('raw')} AS label,
-         regexp_extract(html, {_TAG}, 2) AS title FROM anc),
-       c AS (SELECT *, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN scheme || ':' || href
-         WHEN starts_with(href, '/') THEN scheme || '://' || host || href WHEN starts_with(href, '#') THEN page || href
-         ELSE scheme || '://' || host || '/' || href END AS link FROM b WHERE label <> ''),
-       d AS (SELECT *, lower(regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS path,
-         lower(regexp_extract(link, '^[^?#]*\\?([^#]*)', 1)) AS qs, regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS lhost FROM c),
-       e AS (SELECT *, {normalize('title')} AS t, {normalize('label')} AS l, {normalize('label', 'link')} AS a FROM d
-         WHERE lhost = host AND path NOT IN ('', '/') AND NOT ({_PATH}) AND NOT (contains(qs, 'privacy') OR contains(qs, 'terms') OR contains(qs, 'cookies'))
-           AND NOT ((contains(qs, 's=') OR contains(qs, 'search=') OR contains(qs, 'query=')) AND NOT (contains(qs, 'post_type=news') AND contains(qs, 'p=')))),
-       f AS (SELECT *, CASE WHEN greatest(length(t), length(l)) = 0 THEN 1 ELSE 1 - levenshtein(t, l) / greatest(length(t), length(l)) END * 10
-         + len(list_filter(list_filter(string_split(t, ' '), lambda w: length(w) >= 4)[1:6], lambda w: contains(' ' || a || ' ', ' ' || w || ' '))) AS score FROM e)
-       SELECT page_id, arg_max(link, row(score, -pos)) AS link, {r6('max(score)', 'score')} FROM f WHERE score >= 8 GROUP BY page_id""",
+    "article_links": chain(LINKS)
+    + f"""SELECT page_id, arg_max(link, row(score, -pos)) AS link, {r6('max(score)', 'score')} FROM scored WHERE score >= 8 GROUP BY page_id""",
     "flatten_news": """SELECT CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'TLT' END AS requested_symbol, CAST(event_id AS VARCHAR) AS news_id,
        'STORY' AS content_type, 'Report on ' || event_type AS title, CASE WHEN event_id % 3 <> 0 THEN 'user ' || CAST(user_id AS VARCHAR) ELSE '' END AS summary,
        strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS published_at, 'desk' AS publisher, 'https://x.example/a' AS canonical_url, CAST(NULL AS VARCHAR) AS click_url,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weekpanel.functions import hmm_kernels as kernels
 from weekpanel.functions import text as tx
+from weekpanel.functions.matching import matching_ratio
 from weekpanel.operators import hmm, joins
 from weekpanel.operators import selection as sel
 from weekpanel.sources import parsing
@@ -24,10 +25,11 @@ def test_references_resolve_like_the_standard(spark):
     assert {r.i: r.u for r in rows} == {i: html.unescape(t) for i, t in enumerate(REFERENCES)}
 
 
-LINKS = ["http://b.org/x", "//c.org/y", "/rooted/z", "page.html", "sub/page?q=1", "?k=v", "#part", "", "./same", "../up", "../../top/x", "a/../b"]
+LINKS = ["http://b.org/x", "//c.org/y", "/rooted/z", "page.html", "sub/page?q=1", "?k=v", "#part", "", "./same", "../up", "../../top/x", "a/../b",
+         "../../../../../../../x", "a/b/c/../../../../../../y?q=../z", "/../../r", "/a/./b/../c/", "..", ".", "a/..", "./", "//d.org/../e", "a//b", "?x=../y", "../#f"]
 
 
-@pytest.mark.parametrize("page", ["https://a.org/dir/sub/index.html", "https://a.org/dir/?p=1", "https://a.org/x#frag"])
+@pytest.mark.parametrize("page", ["https://a.org/dir/sub/index.html", "https://a.org/dir/?p=1", "https://a.org/x#frag", "https://a.org/1/2/3/4/5/6/7/8.html", "https://a.org"])
 def test_links_resolve_like_the_standard(spark, page):
     links = LINKS
     rows = spark.createDataFrame([(page, h) for h in links], "page string, href string")
@@ -46,6 +48,31 @@ def test_nested_and_relative_anchors_are_found(spark):
     assert parsing.best_links(parsing.anchors(other, "page_id", "html"), "page_id").count() == 0
 
 
+RATIOS = [("", ""), ("abc", ""), ("rates rise again today", "rates rise today"), ("abcd" * 30, "bcda" * 60), ("the fed holds", "holds the fed"), ("aab", "aba"), ("x", "y")]
+
+
+def blocks(a, b):
+    """Characters in matching blocks, recursively."""
+    best = max(((k, -i, -j) for i in range(len(a)) for j in range(len(b)) for k in [next((n for n in range(min(len(a) - i, len(b) - j)) if a[i + n] != b[j + n]), min(len(a) - i, len(b) - j))]), default=(0, 0, 0))
+    k, i, j = best[0], -best[1], -best[2]
+    return k + blocks(a[:i], b[:j]) + blocks(a[i + k :], b[j + k :]) if k else 0
+
+
+def test_matching_ratio_counts_blocks(spark):
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(RATIOS)], "i int, a string, b string")
+    got = {r.i: r.r for r in rows.select("i", matching_ratio(F.col("a"), F.col("b")).alias("r")).collect()}
+    for i, (a, b) in enumerate(RATIOS):
+        if len(b) < 200:  # longer second texts leave out their most frequent characters
+            assert got[i] == pytest.approx(2 * blocks(a, b) / (len(a) + len(b)) if a or b else 1.0)
+
+
+def test_headline_is_the_pages_own(spark):
+    pages = ["<title>T &amp; t</title><h1 class='x'>The <b>head</b>\nline</h1><a href='x'>other</a>", "<TITLE>Only title</TITLE><h1> </h1>", "<h1x>no</h1x>", "<a href='y'>link</a>"]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    got = {r.i: r.t for r in rows.select("i", parsing.headline("html").alias("t")).collect()}
+    assert got == {0: "The head line", 1: "Only title", 2: "", 3: ""}
+
+
 def test_invariants_fail_loudly(spark):
     base = spark.createDataFrame([(1,), (2,)], "week_end int")
     half = spark.createDataFrame([(1, 0.5)], "week_end int, n double")

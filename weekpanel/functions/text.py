@@ -210,24 +210,33 @@ def url_part(url: Column, part: str) -> Column:
     return F.regexp_extract(url, patterns[part], 1)
 
 
+def resolve_steps(segments: Column) -> Column:
+    """Path segments folded with a stack: ``..`` takes the one before it (none at the root), ``.`` is skipped."""
+    def step(stack, s):
+        return F.when(s == "..", F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0)))).when(s == ".", stack).otherwise(F.concat(stack, F.array(s)))
+
+    return F.aggregate(segments, F.array().cast("array<string>"), step)
+
+
 def join_url(page: Column, href: Column) -> Column:
-    """A link resolved against its page: absolute, scheme-relative, rooted, query, fragment or relative."""
-    scheme, host, path = (url_part(page, p) for p in ("scheme", "host", "path"))
+    """A link resolved against its page: absolute, scheme-relative, rooted, query, fragment or relative, with any number of
+    steps up or down."""
+    scheme, host, base = (url_part(page, p) for p in ("scheme", "host", "path"))
+    path, rest = F.regexp_extract(href, "^[^?#]*", 0), F.regexp_replace(href, "^[^?#]*", "")
+    # the page's folder, unless the link begins at the root; empty segments inside count for nothing
+    folder = F.regexp_replace(base, "[^/]*$", "")
+    segments = F.split(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path)), "/")
+    ends = F.element_at(segments, -1).isin(".", "..")
+    kept = F.filter(segments, lambda s, i: (s != "") | (i == F.size(segments) - 1))
+    folded = F.array_join(F.concat(resolve_steps(kept), F.when(ends, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
     root = F.concat(scheme, F.lit("://"), host)
-    whole = F.regexp_replace(page, "#.*$", "")
-    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
-    rest = F.regexp_replace(F.concat(folder, href), "/(\\./)+", "/")
-    for _ in range(4):  # a step up takes the folder before it
-        rest = F.regexp_replace(rest, "^((?:/[^/]+)*?)/(?!\\.\\./)[^/]+/\\.\\./", "$1/")
-    rest = F.regexp_replace(rest, "^(/\\.\\.)+/", "/")
     return (
         F.when(url_part(href, "scheme") != "", href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme, F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
         .when(href == "", page)
-        .when(F.startswith(href, F.lit("?")), F.concat(root, path, href))
-        .when(F.startswith(href, F.lit("#")), F.concat(whole, href))
-        .otherwise(F.concat(root, rest))
+        .when(path != "", F.concat(root, F.lit("/"), F.regexp_replace(folded, "^/", ""), rest))
+        .when(F.startswith(href, F.lit("?")), F.concat(root, base, href))
+        .otherwise(F.concat(F.regexp_replace(page, "#.*$", ""), href))
     )
 
 
@@ -240,12 +249,6 @@ def is_article_url(url: Column, host: Column) -> Column:
     return (url_part(url, "scheme") != "") & (url_part(url, "host") == host) & ~bad
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance over the longer length, on normalised text."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
-
-
 def try_dates(c: Column, *formats: str) -> Column:
     """First format that parses, as a timestamp; NULL when none does."""
     return F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(c, F.lit(f)) for f in formats])

@@ -82,11 +82,32 @@ def table_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(parsing.value_pairs(pages, "o_orderkey", "html"))
 
 
+def listings(spark: SparkSession, d: str) -> DataFrame:
+    """One listing per page: links to the pages with the five nearest ids, written as rooted paths with a step back, relative
+    paths, many steps up, or queries; the page's own entry shows its headline with some words left out."""
+    pages = given.table(spark, d, "pages").select(
+        "page_id", "url", F.regexp_extract("url", "^[a-z]+://[^/]*/([a-z]+)", 1).alias("lang"), parsing.headline("html").alias("title"))
+    k = F.col("page_id")
+    n = k.cast("string")
+    href = (
+        F.when(k % 4 == 0, F.concat(F.lit("/news/../"), "lang", F.lit("/"), n))
+        .when(k % 4 == 1, F.concat(F.lit("../"), "lang", F.lit("/./story-"), n))
+        .when(k % 4 == 2, F.concat(F.lit("../../../../../../deep/"), n, F.lit(".html")))
+        .otherwise(F.concat(F.lit("?post_type=news&p="), n))
+    )
+    short = F.array_join(F.filter(F.split("title", " "), lambda w, i: (i + k) % 5 != 0), " ")
+    shown = pages.withColumn("step", F.explode(F.sequence(F.lit(-2), F.lit(2))))
+    label = F.when(F.col("step") == 0, short).otherwise(F.substring("title", 1, 120))
+    entry = F.concat(F.lit('<li><a class="r" href="'), href, F.lit('">'), F.regexp_replace(label, "[<>&]", " "), F.lit("</a></li>"))
+    lists = shown.select((k + F.col("step")).alias("page_id"), "step", entry.alias("entry")).groupBy("page_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step", "entry"))), lambda s: s["entry"]), "").alias("listing"))
+    return pages.select("page_id", "url", "title").join(lists, "page_id")
+
+
 def article_links(spark: SparkSession, d: str) -> DataFrame:
-    """Closest article link of each page to its headline, the text of its first link."""
-    title = F.regexp_extract("html", parsing.ANCHOR, 2)
-    pages = given.table(spark, d, "pages").select("page_id", "url", title.alias("title"), "html")
-    return rounded(parsing.best_links(parsing.anchors(pages, "page_id", "html"), "page_id"))
+    """Closest article link of each page's listing to the page's headline."""
+    links = parsing.anchors(listings(spark, d), "page_id", "listing")
+    return rounded(parsing.best_links(links, "page_id"))
 
 
 def flatten_news(spark: SparkSession, d: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weekpanel import schemas
 from weekpanel.constants import AGREEMENT_FILES
 from weekpanel.functions import text as tx
+from weekpanel.functions.matching import matching_ratio
 from weekpanel.operators.features import SeriesMeta
 from weekpanel.operators.joins import keep_last
 
@@ -95,11 +96,19 @@ def anchors(pages: DataFrame, key: str, body: str) -> DataFrame:
     )
 
 
+def headline(body: Column | str) -> Column:
+    """Headline of a page: its first heading, else its title tag, without markup."""
+    body = F.col(body) if isinstance(body, str) else body
+    heading, title = (F.regexp_extract(body, f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>", 1) for tag in ("h1", "title"))
+    text = lambda c: tx.clean_text(F.regexp_replace(c, "(?s)<[^>]*>", " "))
+    return F.when(text(heading) != "", text(heading)).otherwise(text(title))
+
+
 def best_links(links: DataFrame, key: str, url: str = "url", title: str = "title", threshold: float = LINK_SCORE) -> DataFrame:
     """The article link whose label is closest to the title.
 
-    Score: ten times the label similarity plus the title tokens found in label
-    or link.  One combinable max_by per page.
+    Score: ten times the matching-blocks ratio of title and label plus the title tokens found in label or link.  One
+    combinable max_by per page; the first of equal links wins.
     """
     shown = links.withColumn("link", tx.join_url(F.col(url), F.col("href"))).filter(
         (F.col("label") != "") & tx.is_article_url(F.col("link"), tx.url_part(F.col(url), "host"))
@@ -109,7 +118,7 @@ def best_links(links: DataFrame, key: str, url: str = "url", title: str = "title
     )
     padded = F.concat(F.lit(" "), F.col("_all"), F.lit(" "))
     hits = F.size(F.filter("_tok", lambda t: F.contains(padded, F.concat(F.lit(" "), t, F.lit(" ")))))
-    scored = norm.withColumn("score", tx.similarity(F.col("_t"), F.col("_l")) * 10 + hits)
+    scored = norm.withColumn("score", matching_ratio(F.col("_t"), F.col("_l")) * 10 + hits)
     order = F.struct("score", -F.col("pos"))
     return scored.filter(F.col("score") >= threshold).groupBy(key).agg(
         F.max_by("link", order).alias("link"), F.max("score").alias("score")
