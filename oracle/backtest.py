@@ -267,6 +267,11 @@ SQL = {
          FROM runs WHERE t > 0),""" + STATEFUL_METRICS + f"SELECT strategy, entity, split, {rows(METRIC_COLS)} FROM metrics",
     "decision_log": chain(LOG, HIST)
     + f"""SELECT split, week_end, action_id, action_name, {rows(('w_spy', 'w_tlt', 'w_gld', 'w_cash', 'turnover', 'net_return', 'reward', 'portfolio_value'))} FROM hist""",
+    "trial_ranking": chain(PRICES, SPINE, TARGETS, MIX)
+    + f""", decided AS (SELECT 'core' AS panel, entity AS strategy, split, week_end, r0 AS return_spy, r1 AS return_tlt, r2 AS return_gld,
+         CAST(0.001 AS DOUBLE) AS cash_return, b0 AS w_spy, b1 AS w_tlt, b2 AS w_gld, CAST(0.0 AS DOUBLE) AS w_cash FROM src WHERE split = 'validation'),
+       {HIST}, {METRICS}, tr AS (SELECT strategy AS trial, {r6('mean_reward * weeks', 'val_reward')}, {r6('sharpe_ratio', 'val_sharpe')}, {r6('max_drawdown', 'val_max_drawdown')} FROM metrics)
+       SELECT *, trial = (SELECT arg_max(trial, row(val_reward, -trial)) FROM tr) AS is_best FROM tr""",
     "bootstrap_sharpe": chain(RUNS, BOOT)
     + f"""SELECT panel, strategy, split, {r6('quantile_cont(v, 0.025)', 'sharpe_ratio_ci_low')}, {r6('quantile_cont(v, 0.975)', 'sharpe_ratio_ci_high')}
        FROM vals GROUP BY panel, strategy, split""",

@@ -200,3 +200,51 @@ AGREEMENT_FILES = {
     "Sentences_66Agree.txt": "agree_66",
     "Sentences_50Agree.txt": "agree_50",
 }
+
+# The macro series (id, category, frequency, description, suggested transform) and the named selections of them.
+MACRO_SERIES = (
+    ("DFF", "rates", "daily", "Effective Federal Funds Rate", "level, 5d change"),
+    ("DGS10", "rates", "daily", "10-Year Treasury Constant Maturity Rate", "level, 5d change"),
+    ("DGS30", "rates", "daily", "30-Year Treasury Constant Maturity Rate", "level, 5d change"),
+    ("DGS3MO", "rates", "daily", "3-Month Treasury Constant Maturity Rate", "level, 5d change"),
+    ("T10Y2Y", "yield_curve", "daily", "10-Year Treasury Constant Maturity Minus 2-Year Treasury Constant Maturity", "level, sign, 5d change"),
+    ("T10Y3M", "yield_curve", "daily", "10-Year Treasury Constant Maturity Minus 3-Month Treasury Constant Maturity", "level, sign, 5d change"),
+    ("T10YIE", "inflation_expectations", "daily", "10-Year Breakeven Inflation Rate", "level, 5d change"),
+    ("T5YIFR", "inflation_expectations", "daily", "5-Year, 5-Year Forward Inflation Expectation Rate", "level, 5d change"),
+    ("NFCI", "financial_conditions", "weekly", "Chicago Fed National Financial Conditions Index", "level, 4w change"),
+    ("ANFCI", "financial_conditions", "weekly", "Chicago Fed Adjusted National Financial Conditions Index", "level, 4w change"),
+    ("STLFSI4", "financial_stress", "weekly", "St. Louis Fed Financial Stress Index", "level, 4w change"),
+    ("BAMLH0A0HYM2", "credit_spreads", "daily", "ICE BofA US High Yield Index Option-Adjusted Spread", "level, 5d change"),
+    ("BAMLC0A4CBBB", "credit_spreads", "daily", "ICE BofA BBB US Corporate Index Option-Adjusted Spread", "level, 5d change"),
+    ("VIXCLS", "market_risk", "daily", "CBOE Volatility Index: VIX", "level, 5d change"),
+    ("DTWEXBGS", "dollar", "daily", "Trade Weighted US Dollar Index: Broad, Goods and Services", "level, 5d pct change"),
+    ("WRESBAL", "liquidity", "weekly", "Reserve Balances with Federal Reserve Banks", "log level, 4w pct change"),
+    ("ICSA", "labor", "weekly", "Initial Claims", "log level, 4w change"),
+    ("CC4WSA", "labor", "weekly", "Continued Claims: 4-Week Moving Average", "log level, 4w change"),
+    ("CPIAUCSL", "inflation", "monthly", "Consumer Price Index for All Urban Consumers: All Items in U.S. City Average", "12m pct change"),
+    ("UNRATE", "labor", "monthly", "Unemployment Rate", "level, 3m change"),
+    ("PAYEMS", "labor", "monthly", "All Employees, Total Nonfarm", "12m pct change"),
+    ("INDPRO", "activity", "monthly", "Industrial Production: Total Index", "12m pct change"),
+    ("CFNAI", "activity", "monthly", "Chicago Fed National Activity Index", "level, 3m average"),
+    ("UMCSENT", "sentiment", "monthly", "University of Michigan: Consumer Sentiment", "level, 3m change"),
+    ("PERMIT", "housing", "monthly", "New Private Housing Units Authorized by Building Permits", "12m pct change"),
+    ("MORTGAGE30US", "housing", "weekly", "30-Year Fixed Rate Mortgage Average in the United States", "level, 4w change"),
+)
+SERIES_PRESETS = {
+    "compact": (
+        "DFF", "DGS10", "T10Y2Y", "T10YIE", "NFCI", "ICSA", "CPIAUCSL", "UNRATE", "INDPRO", "UMCSENT",
+    ),
+    "core": (
+        "DFF", "DGS3MO", "DGS10", "T10Y3M", "T10YIE", "NFCI", "BAMLH0A0HYM2", "VIXCLS", "DTWEXBGS", "WRESBAL",
+        "ICSA", "UNRATE", "CPIAUCSL", "CFNAI", "UMCSENT", "PERMIT",
+    ),
+    "core_plus_duration": (
+        "DFF", "DGS3MO", "DGS10", "DGS30", "T10Y3M", "T10YIE", "NFCI", "BAMLH0A0HYM2", "VIXCLS", "DTWEXBGS",
+        "WRESBAL", "ICSA", "UNRATE", "CPIAUCSL", "CFNAI", "UMCSENT", "PERMIT",
+    ),
+    "extended": (
+        "DFF", "DGS3MO", "DGS10", "DGS30", "T10Y3M", "T10YIE", "T5YIFR", "NFCI", "ANFCI", "STLFSI4", "BAMLH0A0HYM2",
+        "BAMLC0A4CBBB", "VIXCLS", "DTWEXBGS", "WRESBAL", "ICSA", "CC4WSA", "CPIAUCSL", "UNRATE", "PAYEMS", "CFNAI",
+        "UMCSENT", "PERMIT", "MORTGAGE30US",
+    ),
+}

@@ -74,13 +74,17 @@ def macro_features_weekly(
     metas: Sequence[SeriesMeta],
     keys: Sequence[str] = ("panel",),
 ) -> DataFrame:
-    """Release-lagged macro features on the weekly calendar, one join for all series."""
-    features = macro_transforms(panel, metas)
+    """Release-lagged macro features on the weekly calendar, one join for all series.
+
+    Series of a table with the key columns belong to their key alone (changes and averages never cross keys); a table
+    without them serves every key."""
+    own = [k for k in keys if k in panel.columns]
+    features = macro_transforms(panel, metas, own)
     suffixes = [TRANSFORMS[t][0] for t in transform_columns(metas)]
     weeks = weekly_calendar.select(*keys, "week_end", "week_last_trade_date").withColumn(
         "series_id", F.explode(F.array(*[F.lit(m.series_id) for m in metas]))
     )
-    aligned = asof_backward(weeks, features, ["series_id"], "week_end", "effective_date", suffixes, tie="date")
+    aligned = asof_backward(weeks, features, [*own, "series_id"], "week_end", "effective_date", suffixes, tie="date")
     picks = [
         F.max(F.when(F.col("series_id") == m.series_id, F.col(TRANSFORMS[t][0]))).alias(name)
         for m in metas

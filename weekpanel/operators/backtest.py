@@ -327,6 +327,13 @@ def summary_table(metrics: DataFrame) -> DataFrame:
     return metrics.orderBy(F.desc_nulls_last("sharpe_ratio"), F.desc_nulls_last("annualized_return"))
 
 
+def rank_trials(trials: DataFrame, trial: str = "trial", score: str = "val_reward") -> DataFrame:
+    """Trials by falling score (missing ones last, then in trial order), the best flagged: the earliest of equal scores."""
+    best = trials.where(F.col(score).isNotNull() & ~F.isnan(score)).agg(F.max_by(F.col(trial), F.struct(F.col(score), -F.col(trial))).alias("t")).first().t
+    flagged = trials.withColumn("is_best", F.coalesce(F.col(trial) == F.lit(best), F.lit(False)))
+    return flagged.orderBy(F.when(F.isnan(score), None).otherwise(F.col(score)).desc_nulls_last(), trial)
+
+
 def display_name(strategy: Column) -> Column:
     expr = F.initcap(F.replace(strategy, F.lit("_"), F.lit(" ")))
     for name, shown in DISPLAY_NAMES.items():

@@ -14,7 +14,7 @@ from weekpanel.operators.bootstrap import bootstrap_sharpe as bootstrap
 from weekpanel.operators.calendar import week_end
 from weekpanel.operators.windows import observation_windows as windows
 from weekpanel.plans.market import bars, rounded, state
-from weekpanel.session import broadcast_checked
+from weekpanel.session import broadcast_checked, cut_lineage
 from weekpanel.sources import given
 
 SPLIT_NAMES = ("warmup", "train", "validation", "locked_test")
@@ -141,6 +141,17 @@ def supplier_mix_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(bt.portfolio_metrics(bt.backtest_history(decided)))
 
 
+def trial_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Every supplier's weekly mix as a trial, ranked by its reward in the validation weeks."""
+    decided = supplier_mix(spark, d).where("split = 'validation'").withColumns(
+        {"action_id": F.lit(None).cast("int"), "action_name": F.lit("precomputed_weights")})
+    m = bt.portfolio_metrics(bt.backtest_history(decided))
+    trials = cut_lineage(rounded(m.select(
+        F.col("strategy").alias("trial"), (F.col("mean_reward") * F.col("weeks")).alias("val_reward"),
+        F.col("sharpe_ratio").alias("val_sharpe"), F.col("max_drawdown").alias("val_max_drawdown"))))
+    return bt.rank_trials(trials)
+
+
 # given parameters of the state-reading policies
 STOP_LOSS = {"limit": 0.02, "pause": 4}
 VOLATILITY_TARGET = 0.004
@@ -262,7 +273,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         split_labels, split_summary, feature_blocks, policy_actions, backtest_history, backtest_metrics,
-        strategy_ranking, observation_state, scenario_metrics, supplier_mix_metrics, stop_loss_history, stateful_metrics,
+        strategy_ranking, observation_state, scenario_metrics, supplier_mix_metrics, trial_ranking, stop_loss_history, stateful_metrics,
         decision_log, bootstrap_sharpe,
         env_reward_log, episode_metrics, equity_matrix, equity_rebuilt, action_mix, action_entropy,
         policy_score, composite_score, run_comparison, observation_windows,

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weekpanel.constants import SERIES_PRESETS
 from weekpanel.functions import text as tx
 from weekpanel.operators import joins
 from weekpanel.plans.market import rounded
 from weekpanel.plans.news import articles
-from weekpanel.sources import given, parsing
+from weekpanel.session import cut_lineage
+from weekpanel.sources import given, parsing, readers
 
 PRIORITY_SERIES = {
     "1-URGENT": "DFF", "2-HIGH": "T10Y3M", "3-MEDIUM": "NFCI", "4-NOT SPECIFIED": "CPIAUCSL", "5-LOW": "UNRATE",
@@ -20,15 +22,26 @@ def order_series() -> Column:
     return given.choose(F.col("o_orderpriority"), PRIORITY_SERIES)
 
 
+def raw_observations(spark: SparkSession, d: str) -> DataFrame:
+    """Observations as strings; pending orders of each priority hold another kind of unusable value."""
+    pending, priority = F.col("o_orderstatus") == "P", F.col("o_orderpriority")
+    day = F.col("o_orderdate").cast("date").cast("string")
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    return given.table(spark, d, "orders").select(
+        F.when(pending & (priority == "4-NOT SPECIFIED"), "XRATE").otherwise(order_series()).alias("series_id"),
+        F.col("o_orderkey").alias("loaded"),
+        F.when(pending & priority.isin("1-URGENT", "5-LOW"), "n/a").otherwise(day).alias("date"),
+        F.when(pending & priority.isin("2-HIGH", "5-LOW"), ".").when(pending & (priority == "3-MEDIUM"), " ").otherwise(price).alias("value"))
+
+
 def series_cleanup(spark: SparkSession, d: str) -> DataFrame:
     """Raw observations as strings; later orders correct earlier ones."""
-    k = F.col("o_orderkey")
-    raw = given.table(spark, d, "orders").select(
-        order_series().alias("series_id"), k.alias("loaded"),
-        F.col("o_orderdate").cast("date").cast("string").alias("date"),
-        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("value"),
-    )
-    return rounded(parsing.with_series_metadata(raw, given.SERIES, "raw_orders", "loaded"))
+    return rounded(parsing.with_series_metadata(raw_observations(spark, d), given.SERIES, "raw_orders", "loaded"))
+
+
+def series_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Every value that the cleaning cannot use, with the reason."""
+    return parsing.rejected(parsing.tag_series(raw_observations(spark, d), given.SERIES), ["loaded"])
 
 
 def source_fallback(spark: SparkSession, d: str) -> DataFrame:
@@ -126,15 +139,38 @@ def flatten_news(spark: SparkSession, d: str) -> DataFrame:
     return parsing.flatten_news(given.table(spark, d, "events").select(symbol.alias("requested_symbol"), record.alias("record")))
 
 
-def news_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """One event per (symbol, id), the earliest, with its time read from text."""
+def event_times(spark: SparkSession, d: str) -> DataFrame:
+    """Events with their time as text; those of users divisible by 7 tell it in words, those divisible by 11 not at all."""
     e = F.col
-    raw = given.table(spark, d, "events").select(
+    return given.table(spark, d, "events").select(
         F.upper("event_type").alias("requested_symbol"), F.floor(e("event_id") / 3).alias("news_id"), "event_id",
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("published_at"),
-    )
-    first = joins.keep_first(raw, ["requested_symbol", "news_id"], ["event_id"])
-    return first.withColumn("published_at", F.try_to_timestamp("published_at"))
+        F.when(e("user_id") % 11 == 0, "").when(e("user_id") % 7 == 0, "yesterday").otherwise(
+            F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("published_at"))
+
+
+def tagged_times(spark: SparkSession, d: str) -> DataFrame:
+    return parsing.tag_rejects(event_times(spark, d), {"published_at": F.try_to_timestamp("published_at")})
+
+
+def news_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """One event per (symbol, id), the earliest; a time that cannot be read is null, the event stays."""
+    return joins.keep_first(tagged_times(spark, d).drop("rejects"), ["requested_symbol", "news_id"], ["event_id"])
+
+
+def news_time_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose time cannot be read, with the reason."""
+    return parsing.rejected(tagged_times(spark, d), ["event_id"])
+
+
+def preset_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Series of every named selection with their metadata and what the macro panel holds of them."""
+    panel = given.macro_panel(spark, d)
+    held = cut_lineage(panel.groupBy("series_id").agg(F.count("*").alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date")))
+    parts = [
+        readers.series_table(spark, p).join(readers.select_series(held, p), "series_id", "left").withColumn("preset", F.lit(p))
+        for p in SERIES_PRESETS
+    ]
+    return joins.stack_rows(parts).fillna(0, subset=["n_rows"]).drop("source")
 
 
 def period_dates(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +191,7 @@ def period_dates(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        series_cleanup, source_fallback, upsert_rows, label_lines, html_pairs, table_pairs, article_links,
-        flatten_news, news_dedupe, period_dates,
+        series_cleanup, series_rejects, source_fallback, upsert_rows, label_lines, html_pairs, table_pairs, article_links,
+        flatten_news, news_dedupe, news_time_rejects, preset_coverage, period_dates,
     )
 }

@@ -125,11 +125,45 @@ def best_links(links: DataFrame, key: str, url: str = "url", title: str = "title
     )
 
 
+def tag_rejects(raw: DataFrame, parsed: dict[str, Column], known: dict[str, Column] | None = None) -> DataFrame:
+    """``raw`` with its columns parsed, and ``rejects``: one (column, reason, raw) per value that cannot be used.
+
+    Reasons: ``missing`` (null or blank), ``unreadable`` (no parsed value), ``unknown`` (readable, but the column's condition
+    in ``known`` does not hold). Nothing is dropped: ``accepted`` and ``rejected`` read the two sides of one pass."""
+    checks = []
+    for c in dict.fromkeys([*parsed, *(known or {})]):
+        text = F.col(c).cast("string")
+        reason = F.when(F.coalesce(F.trim(text), F.lit("")) == "", "missing")
+        if c in parsed:
+            reason = reason.when(parsed[c].isNull(), "unreadable")
+        if known and c in known:
+            reason = reason.when(~F.coalesce(known[c], F.lit(False)), "unknown")
+        checks.append(F.struct(F.lit(c).alias("column"), reason.alias("reason"), text.alias("raw")))
+    rejects = F.filter(F.array(*checks), lambda x: x["reason"].isNotNull())
+    return raw.select(*[parsed[c].alias(c) if c in parsed else F.col(c) for c in raw.columns], rejects.alias("rejects"))
+
+
+def accepted(tagged: DataFrame) -> DataFrame:
+    """Rows of which every checked value can be used."""
+    return tagged.where(F.size("rejects") == 0).drop("rejects")
+
+
+def rejected(tagged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, column, reason, raw): one row per value that cannot be used."""
+    return tagged.select(*keys, F.inline("rejects"))
+
+
+def tag_series(raw: DataFrame, metas: Sequence[SeriesMeta]) -> DataFrame:
+    """Observations with parsed date and value; rejects name unreadable ones and series without metadata."""
+    return tag_rejects(
+        raw, {"date": F.try_to_date("date"), "value": F.col("value").try_cast("double")},
+        {"series_id": F.col("series_id").isin(*[m.series_id for m in metas])})
+
+
 def with_series_metadata(raw: DataFrame, metas: Sequence[SeriesMeta], source: str, order: str) -> DataFrame:
-    """Coerce date and value, drop unusable rows, keep the last row per date, attach metadata."""
-    clean = raw.select(
-        "series_id", order, F.try_to_date("date").alias("date"), F.col("value").try_cast("double").alias("value")
-    ).dropna("any", subset=["date", "value"])
+    """Coerce date and value, drop unusable rows (``rejected(tag_series(...))`` tells them), keep the last row per date,
+    attach metadata."""
+    clean = accepted(tag_series(raw.select("series_id", order, "date", "value"), metas))
     last = keep_last(clean, ["series_id", "date"], [order]).drop(order)
     columns = ("category", "frequency", "description", "suggested_transform")
     table = F.create_map(

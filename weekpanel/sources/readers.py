@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekpanel import schemas
-from weekpanel.constants import REQUIRED_TICKERS
+from weekpanel.constants import MACRO_SERIES, REQUIRED_TICKERS, SERIES_PRESETS
 from weekpanel.functions.semantics import null_if_nan
 from weekpanel.operators.joins import missing_members
 
@@ -72,9 +72,23 @@ def strip_headers(df: DataFrame, required: str = "week_end") -> DataFrame:
     return cleaned
 
 
-def select_series(panel: DataFrame, series_ids: Sequence[str]) -> DataFrame:
-    """Series of a named preset."""
-    return panel.filter(F.col("series_id").isin(*series_ids))
+def preset_series(preset: str) -> tuple[str, ...]:
+    """Series ids of a named selection; unknown names fail."""
+    if preset not in SERIES_PRESETS:
+        raise ValueError(f"unknown preset {preset}; there are {', '.join(sorted(SERIES_PRESETS))}")
+    return SERIES_PRESETS[preset]
+
+
+def select_series(panel: DataFrame, preset: str) -> DataFrame:
+    """Rows of the series of a named selection."""
+    return panel.filter(F.col("series_id").isin(*preset_series(preset)))
+
+
+def series_table(spark: SparkSession, preset: str | None = None) -> DataFrame:
+    """One row per series (of a selection): id, category, frequency, description, suggested transform; sorted by id."""
+    wanted = preset_series(preset) if preset else None
+    rows = [r for r in MACRO_SERIES if wanted is None or r[0] in wanted]
+    return spark.createDataFrame(rows, schemas.SERIES_META).orderBy("series_id")
 
 
 def normalize_price_history(history: DataFrame, symbol: str, source: str) -> DataFrame:
