@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("market", "news", "ingest", "backtest", "sequences", "profile", "model", "attention")
+MODULES = ("market", "news", "ingest", "backtest", "sequences", "profile", "model", "attention", "storage")
 
 
 def statements() -> dict[str, str]:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("market", "news", "ingest", "backtest", "sequences", "profile", "model", "attention", "regimes")
+MODULES = ("market", "news", "ingest", "backtest", "sequences", "profile", "model", "attention", "regimes", "storage")
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,7 +9,7 @@ def write_tables(tables: dict[str, DataFrame], folder: str, csv: bool = False, p
     """Write every table below ``folder``; returns name -> path."""
     paths = {}
     for name, df in tables.items():
-        path = f"{folder.rstrip('/')}/{name}"
+        path = f"{folder.rstrip('/')}/{name}{'.csv' if csv else ''}"  # readers tell the format by the suffix
         writer = df.write.mode("overwrite")
         if partition_by and name in partition_by:
             writer = writer.partitionBy(*partition_by[name])
