@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from weekpanel.llm.base import SpanTable, gap_spans, hash_spans, keep, mix, prefix_sums, ship
 
 CHUNK = 1 << 15
+CHUNKS = 64
 BATCH = 512
 SHORT = 40
 MOST_WORDS = 1 << 18
@@ -69,6 +70,14 @@ class Pieces:
             raise ValueError("a piece holds the mark behind another character, or a line feed")
         self.longest = max(map(len, self.score))
         self.unknown = min(self.score.values()) - 10
+        # what each id adds to a sum of scores: a character in byte pieces counts once, with its first byte
+        self.worth = np.array([self.score.get(model.id_to_piece(i), 0.0) for i in range(model.vocab_size())])
+        for value, i in enumerate(self.bytes):
+            self.worth[i] = 0.0 if 0x80 <= value < 0xC0 else self.unknown
+        # surfaces of all ids as one run of bytes
+        self.surface_size = np.array([len(s) for s in self.surface], np.int64)
+        self.surface_start = np.cumsum(self.surface_size) - self.surface_size
+        self.surface_bytes = np.frombuffer(b"".join(self.surface), np.uint8)
         # every begin of a piece; those that are no piece score lowest
         self.tree = {p[:k]: LOWEST for p in self.score for k in range(1, len(p) + 1)} | self.score
         self.kind = np.dtype("<u2" if model.vocab_size() <= 1 << 16 else "<u4")
@@ -252,6 +261,20 @@ class Pieces:
         """The text of ids: byte pieces joined, marks read as spaces, the leading one dropped."""
         return self.join([self.surface[i] for i in ids])
 
+    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the surfaces of ids, and where each id's begin (one more than ids)."""
+        size = self.surface_size[ids]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ids) else 0
+        return self.surface_bytes[np.repeat(self.surface_start[ids] - (ends - size), size) + np.arange(total)], np.concatenate(([0], ends))
+
+    def middle(self, text: str) -> np.ndarray:
+        """Ids of a part of a normalised text that begins and ends at cuts."""
+        if BAR + BAR in text:  # a run of marks is one word with what follows it
+            return np.frombuffer(b"".join(self.segment(x)[0] for x in _CUTS.split(text) if x), self.kind)
+        found = [self.table.ids(buf, starts, ends)[0] for _, _, buf, starts, ends, _ in gap_spans([text.replace(BAR, " ").encode("utf-8", "surrogatepass")])]
+        return np.concatenate([np.zeros(0, self.kind), *found])
+
     def transfer(self, text: str, context: int) -> np.ndarray:
         """Max-plus matrix of a chunk: entry state (cut ``s`` before its begin) to exit state (cut ``t`` before its end)."""
         size = self.longest
@@ -266,7 +289,7 @@ class Pieces:
                     out[s, t] = best[len(text) - t]
             return out
         head, tail = text[: cuts[0]], text[cuts[-1] :]
-        middle = sum(self.segment(x)[1] for x in _CUTS.split(text[cuts[0] : cuts[-1]]) if x)
+        middle = self.worth[self.middle(text[cuts[0] : cuts[-1]])].sum()
         last = self.forward(tail)[0]
         for s in range(min(size, context + 1)):
             first = np.full(context + 1, LOWEST)
@@ -294,7 +317,7 @@ class Pieces:
             return to, common, tails
         head, tail = text[: cuts[0]], text[cuts[-1] :]
         ids, cut = self.ids_between(head, self.forward(head, first)[1], len(head), context)
-        middle = b"".join(self.segment(x)[0] for x in _CUTS.split(text[cuts[0] : cuts[-1]]) if x)
+        middle = self.middle(text[cuts[0] : cuts[-1]]).tobytes()
         back = self.forward(tail)[1]
         for t in range(min(size, len(tail) + 1)):
             to[t], tails[t] = context - cut, pack(self.ids_between(tail, back, len(tail) - t, 0)[0])
@@ -360,8 +383,10 @@ SCHEMA = "doc_id long, n_chars long, n_tokens long, n_chunks int, ids array<int>
 
 def _rows(keys, texts, ids: np.ndarray, sizes: np.ndarray, n_chunks: list[int], model: Pieces) -> pa.RecordBatch:
     offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-    surfaces = list(map(model.surface.__getitem__, ids.tolist()))
-    same = [model.join(surfaces[a:b]) == t.replace(BAR, " ") for a, b, t in zip(offsets, offsets[1:], texts, strict=False)]
+    written, at = model.decoded(ids)
+    raw, ends = written.tobytes(), at[offsets].tolist()
+    # the mark before the first word is no part of the text
+    same = [raw[a + (raw[a : a + 1] == b" ") : b] == t.replace(BAR, " ").encode("utf-8", "surrogatepass") for a, b, t in zip(ends, ends[1:], texts, strict=False)]
     return pa.RecordBatch.from_arrays([
         pa.array(keys, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes), pa.array(n_chunks, pa.int32()),
         pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))), pa.array(same, pa.bool_())], _OUT)
@@ -443,7 +468,10 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     long_ = F.coalesce(F.char_length("text"), F.lit(0)) > chunk
     short = docs.where(~long_).mapInArrow(lambda b: _short(b, path), SCHEMA)
     cut = keep(docs.where(long_).mapInArrow(lambda b: _cut(b, path, chunk), "name string, doc_id long, chunk int, context int, data binary"))
-    matrices = cut.repartition("name", "chunk").mapInArrow(lambda b: _matrices(b, path), "name string, chunk int, matrix binary")
+    # as many tasks as chunks ask for, whatever their bytes
+    tasks = max(1, -(-cut.count() // CHUNKS))
+    dealt = cut.repartition(tasks, "name", "chunk")
+    matrices = dealt.mapInArrow(lambda b: _matrices(b, path), "name string, chunk int, matrix binary")
     entries = matrices.groupBy("name").applyInArrow(_entries, "name string, chunk int, entry binary")
-    paths = cut.join(entries, ["name", "chunk"]).select("name", "doc_id", "chunk", "context", "data", "entry").mapInArrow(lambda b: _paths(b, path), _PATHS)
+    paths = dealt.join(entries.repartition(tasks, "name", "chunk"), ["name", "chunk"]).select("name", "doc_id", "chunk", "context", "data", "entry").mapInArrow(lambda b: _paths(b, path), _PATHS)
     return short.unionByName(paths.groupBy("name").applyInArrow(_joined(path), SCHEMA))
