@@ -201,24 +201,42 @@ def test_line_dedup_against_all_pairs(spark, prose):
                 line = [line[:k] + line[k + 1 :], line[:k] + "q" + line[k:], line[:k] + "Z" + line[k + 1 :], line + "!", line[1:]][rng.integers(5)]
             lines.append(line + "  " * int(rng.integers(2)))
         rows.append((i, "\n".join(lines)))
-    # the plain version drops a line for any earlier line that it saw, removed or not
-    seen, want = [], {}
-    for i, text in rows:
-        stays = []
-        for line in text.split("\n"):
-            bare = line.strip(line_dedup.WHITE)
-            if not bare or not any(bare == s or (min(len(bare), len(s)) >= line_dedup.MIN_CHARS and edits(bare, s)) for s in seen):
-                stays.append(line)
-            seen.append(bare)
-        want[i] = "\n".join(stays)
+    want = plain_lines(rows)
     got = {r.doc_id: r for r in line_dedup.dedup_lines(make_docs(spark, rows[::-1])).collect()}
     assert {i: r.text for i, r in got.items()} == want
     assert sum(r.n_near for r in got.values()) > 20
     kept = line_dedup.filter_lines(make_docs(spark, rows).withColumn("mask", F.lit(1)).withColumn("n_lines", F.lit("x")))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "mask", "n_lines"]
-    left = {r.doc_id: r for r in kept.collect()}
-    assert set(left) == {i for i, t in want.items() if t.strip() or not dict(rows)[i].strip()}
-    assert all(r.n_chars == len(r.text) for r in left.values())
+    left, stage = {r.doc_id: r for r in kept.collect()}, plain_lines(rows, line_dedup.STAGE_CHARS)
+    assert set(left) == {i for i, t in stage.items() if t.strip() or not dict(rows)[i].strip()}
+    assert all(r.n_chars == len(r.text) and r.text == stage[i] for i, r in left.items())
+
+
+def plain_lines(rows, least=1):
+    """Texts without the lines that equal an earlier line or lie within one edit of it, removed or not; blank lines stay."""
+    seen, out = [], {}
+    for i, text in rows:
+        stays = []
+        for line in text.split("\n"):
+            bare = line.strip(line_dedup.WHITE)
+            if not bare or not any(bare == s or (len(bare) >= least and edits(bare, s)) for s in seen):
+                stays.append(line)
+            if bare:
+                seen.append(bare)
+        out[i] = "\n".join(stays)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_line_dedup_of_short_lines_against_all_pairs(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(60):
+        lines = ["".join(rng.choice(list("ab é"), rng.integers(0, (4, 8, 20)[rng.integers(3)]))) for _ in range(rng.integers(1, 5))]
+        rows.append((i, "\n".join(lines)))
+    want = plain_lines(rows)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(make_docs(spark, rows)).collect()}
+    assert got == want and want != dict(rows)
 
 
 def test_line_dedup_at_the_least_length(spark):
@@ -227,8 +245,8 @@ def test_line_dedup_at_the_least_length(spark):
     rows = [(1, line[:-1]), (2, line), (3, line[:-1] + "!"), (4, line[:-2] + "?"), (5, other + "."), (6, other), (7, other[:-1] + "d")]
     want = {1: False, 2: True, 3: True, 4: False, 5: False, 6: False, 7: False}
     # 2 and 3 go for a line of 19; 4, 6 and 7 are near earlier lines but too short themselves
-    assert {i: not any(edits(t, s) for j, s in rows if j < i and len(t) >= line_dedup.MIN_CHARS) for i, t in rows} == {i: not w for i, w in want.items()}
-    got = {r.doc_id: r.all_removed for r in line_dedup.dedup_lines(make_docs(spark, rows)).collect()}
+    assert {i: not any(edits(t, s) for j, s in rows if j < i and len(t) >= line_dedup.STAGE_CHARS) for i, t in rows} == {i: not w for i, w in want.items()}
+    got = {r.doc_id: r.all_removed for r in line_dedup.dedup_lines(make_docs(spark, rows), line_dedup.STAGE_CHARS).collect()}
     assert got == want
 
 
@@ -241,7 +259,10 @@ def test_line_dedup_near_a_line_without_an_id(spark):
 
 def test_line_dedup_of_odd_input(spark, odd_texts):
     docs = make_docs(spark, list(enumerate(odd_texts)) + [(None, "a line without an id, of some length"), (3, "a"), (40, "\n".join(["x y z"] + ["n%d of many" % k for k in range(200)] + ["x y z"]))])
-    got = {(r.doc_id, r.n_lines): r for r in line_dedup.dedup_lines(docs).collect()}
+    every = {(r.doc_id, r.n_lines): r for r in line_dedup.dedup_lines(docs).collect()}
+    # lines of a number each lie within an edit of the first of their length
+    assert every[40, 202].text == plain_lines([(40, docs.where("doc_id = 40").first().text)])[40] and every[40, 202].n_removed > 150
+    got = {(r.doc_id, r.n_lines): r for r in line_dedup.dedup_lines(docs, line_dedup.STAGE_CHARS).collect()}
     assert got[0, 0].text is None and got[1, 1].text == "" and got[2, 2].text == " \n\t "
     assert got[6, odd_texts[6].count("\n") + 1].text == odd_texts[6] and got[7, odd_texts[7].count("\n") + 1].all_removed
     assert got[11, 30].n_removed == 29 and got[40, 202].n_removed == 1 and got[40, 202].text.count("\n") == 200

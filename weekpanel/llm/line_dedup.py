@@ -1,8 +1,10 @@
 """Operator 6: line dedup within one edit, by a deletion-neighbourhood join in DataFrame operations only.
 
 A line is the text between line feeds without outer white space. Lines without a word are never removed. Of equal lines
-the earliest stays (smallest doc_id, then place in the text). A line of ``MIN_CHARS`` characters or more also goes if an
-earlier line, which may be a character shorter than that, lies within one edit (a character put in, taken out or changed).
+the earliest stays (smallest doc_id, then place in the text). A line also goes if an earlier line lies within one edit (a
+character put in, taken out or changed). ``dedup_lines`` takes lines of every length; ``filter_lines``, the stage of the
+pipeline, takes lines of ``STAGE_CHARS`` characters or more for near copies (the earlier line may be a character shorter),
+since short lines one character apart often say different things.
 
 * Lines within one edit agree outside some segment of a partition, once lengths are taken into account. Hashes of what
   lies outside, first for 2 segments over all lines and then for ``SEGMENTS`` over those that matched, lose no pair and
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weekpanel.llm.base import keep, small
 
-MIN_CHARS = 20
+STAGE_CHARS = 20
 SEGMENTS = 16
 BROADCAST_ROWS = 500_000
 WHITE = " \t\r\x0b\x0c"
@@ -59,7 +61,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "doc", "at", F.btrim("line", F.lit(WHITE)).alias("line")).where("line <> ''")
 
 
-def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """(doc_id, doc, at, near) of the lines to remove; ``doc`` is the hash of the text."""
     lines = _lines(docs).withColumn("n", F.char_length("line"))
     # the earlier line of a pair may be a character shorter
@@ -132,12 +134,12 @@ def _dedup(docs: DataFrame, min_chars: int) -> DataFrame:
         F.coalesce(F.col("mask").isNotNull() & ~left, F.lit(False)).alias("all_removed"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """doc_id, text without repeated lines, n_lines, n_removed, n_near, all_removed (had words, has none) of every row."""
     return _dedup(docs.select("doc_id", "text"), min_chars)
 
 
-def filter_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def filter_lines(docs: DataFrame, min_chars: int = STAGE_CHARS) -> DataFrame:
     """``docs`` with repeated lines removed from the text (and n_chars, if there, counted anew); documents that lose all
     their lines go."""
     out = _dedup(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), min_chars).where("not all_removed")
