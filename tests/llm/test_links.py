@@ -292,6 +292,58 @@ def test_shards_keep_copies_together(spark):
     assert sum(n for _, n in hot.most_common(8)) > 0.8 * 260
 
 
+@pytest.mark.parametrize("hot", [1, sharding.HOT])
+def test_shards_of_many_copies_in_many_parts(spark, hot):
+    """Salts without a ceiling: more parts than rows of the usual group, told by broadcast or by shuffle."""
+    rows = [(i, "hot" if i % 3 == 0 else f"copy {i % 40}" if i % 3 == 1 else f"single {i}") for i in range(900)]
+    got = sharding.assign_shards(make_docs(spark, rows), salt_rows=2, most_hot=hot).collect()
+    shards_hold(got, rows)
+
+
+def plain_propagation(rows, n_shards, rounds):
+    """Label propagation row by row with the same quotas and starts by a plain order: groups of copies seek one shard."""
+    total = len(rows)
+    quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    shard = {i: i % n_shards for t, g in groups.items() if len(g) > 1 for i in g}
+    for _ in range(rounds):
+        loads = Counter(shard.values())
+        for t, g in groups.items():
+            if len(g) < 2:
+                continue
+            goal = Counter(shard[i] for i in g).most_common(1)[0][0]
+            for i in g:
+                if shard[i] != goal and loads[goal] < quota[goal]:
+                    loads[shard[i]] -= 1
+                    loads[goal] += 1
+                    shard[i] = goal
+    return sum(len({shard[i] for i in g}) - 1 for t, g in groups.items() if len(g) > 1)
+
+
+def cuts(got):
+    """Shards beyond the first that the copies of a text are spread over, summed over texts."""
+    places = defaultdict(set)
+    for r in got:
+        places[r.text_crc32, r.size].add(r.shard)
+    return sum(len(p) - 1 for p in places.values())
+
+
+def test_shards_cut_as_few_links_as_a_plain_propagation(spark):
+    rows = [(i, f"copy {i % 60}") for i in range(420)] + [(1000 + i, f"single {i}") for i in range(600)] + [(3000 + i, "many") for i in range(90)]
+    got = sharding.assign_shards(make_docs(spark, rows)).collect()
+    shards_hold(got, rows)
+    texts = dict(rows)
+    rng = np.random.default_rng(1)
+    deal = rng.permutation(np.arange(len(rows)) % 16)
+    places = defaultdict(set)
+    for (i, t), s in zip(rows, deal):
+        places[t].add(int(s))
+    random_cut = sum(len(p) - 1 for p in places.values())
+    assert len(texts) == len(rows) and cuts(got) <= 0.1 * random_cut and cuts(got) <= plain_propagation(rows, 16, 16) + 10
+
+
 def test_shards_of_odd_input(spark, odd_texts):
     rows = [(k, t) for k, t in enumerate(odd_texts)] + [(6, odd_texts[6]), (6, odd_texts[6])]
     shards_hold(sharding.assign_shards(make_docs(spark, rows).withColumn("shard", F.lit(9))).collect(), rows)

@@ -6,7 +6,9 @@ move is taken with probability room / demand, so a round needs only sums per sha
 and what a shard holds beyond its share is dealt anew, so that row counts end at most one apart (law ``rows``).
 
 Neighbours meet through one row per (text group, shard), never as pairs. Groups beyond ``salt_rows`` rows are split by a
-salt in every join. Only sums per shard reach the driver.
+salt in every join and numbering, into as many parts as their rows ask for. Groups with more than one in ``HOT`` of all
+rows, fewer than ``HOT``, tell their rows the number of parts by a broadcast, the others by a shuffle in which no key is
+larger than that. Only sums per shard reach the driver.
 
 Defined results: a null text counts as empty; repeated rows are separate documents; an empty table gives no rows; other
 columns of the input are ignored.
@@ -22,7 +24,7 @@ from weekpanel.llm.base import keep, numbered
 N_SHARDS = 16
 ROUNDS = 16
 SALT_ROWS = 250
-MOST_SALTS = 64
+HOT = 20_000
 BUCKETS = 1024
 
 
@@ -67,7 +69,7 @@ def propagate(linked: DataFrame, quota: list[int], n_shards: int, rounds: int) -
     return linked
 
 
-def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS, salt_rows: int = SALT_ROWS,
+def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS, salt_rows: int = SALT_ROWS, most_hot: int = HOT,
                   key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``."""
     raw = F.coalesce(F.col(text), F.lit(""))
@@ -75,26 +77,23 @@ def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUND
         F.col(key).alias("doc_id"), (F.octet_length(raw).cast("long") + 1).alias("size"),
         F.crc32(F.encode(raw, "utf-8")).alias("crc"), F.xxhash64(raw).alias("hash")))
     keys = ["crc", "hash", "size"]
-    sizes = rows.groupBy(*keys).count().where("count > 1").select(
-        *keys, F.least(F.lit(MOST_SALTS), F.ceil(F.col("count") / salt_rows)).cast("int").alias("salts"))
     total = rows.count()
     share = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    # hot groups meet their rows by a salted key, the others by the plain one
-    draw = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(MOST_SALTS)).cast("int")
-    hot = sizes.where("salts > 1").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(MOST_SALTS - 1))))
-    first = keep(rows.withColumn("draw", draw).join(hot, [*keys, "draw"], "left"))
-    rest = first.where("salts is null").drop("salts").join(sizes.where("salts = 1"), keys, "left")
-    marked = keep(first.where("salts is not null").unionByName(rest))
-    linked = marked.where("salts is not null").select(
-        "doc_id", *keys, "salts", F.expr("draw % salts").alias("salt"),
-        F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(n_shards)).cast("int").alias("shard"))
+    sizes = keep(rows.groupBy(*keys).count().where("count > 1").select(
+        *keys, "count", F.ceil(F.col("count") / salt_rows).cast("int").alias("salts")))
+    hot = F.col("count") > total / most_hot
+    first = rows.join(F.broadcast(sizes.where(hot).drop("count")), keys, "left")
+    rest = first.where("salts is null").drop("salts").join(sizes.where(~hot).drop("count"), keys, "left")
+    marked = keep(first.where("salts is not null").unionByName(rest).withColumn(
+        "salt", F.coalesce(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.col("salts")).cast("int"), F.lit(0))))
+    linked = marked.where("salts is not null").withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(n_shards)).cast("int"))
     linked = propagate(keep(linked), share, n_shards, rounds)
     linked = keep(numbered(linked, "shard", _bucket(*keys, "salt"), [*keys, "doc_id"], "place"))
     loads = _loads(linked, n_shards)
     fits = F.col("place") < F.element_at(_pick(share), F.col("shard") + 1)
     # rows without links, and those beyond a shard's share, fill what is left
-    free = marked.where("salts is null").select("doc_id", *keys).unionByName(linked.where(~fits).select("doc_id", *keys))
-    free = numbered(free.withColumn("all", F.lit(0)), "all", _bucket(*keys), [*keys, "doc_id"], "place").drop("all")
+    free = marked.where("salts is null").select("doc_id", *keys, "salt").unionByName(linked.where(~fits).select("doc_id", *keys, "salt"))
+    free = numbered(free.withColumn("all", F.lit(0)), "all", _bucket(*keys, "salt"), [*keys, "doc_id"], "place").drop("all")
     ends, at = [], 0
     for s in range(n_shards):
         at += share[s] - min(share[s], loads[s])
