@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import make_docs
 from weekpanel.llm import rans, spm_scan
@@ -114,6 +115,54 @@ def test_token_files(spark, odd_texts, tmp_path):
         start += len(tokens)
 
 
+def check_files(spark, rows, folder, deal=rans.DEAL_TOKENS, **more):
+    """Token files of rows whose equal ids hold equal texts, against the library."""
+    library = tokenizers.Tokenizer.from_file(BPE)
+    library.encode_special_tokens = True
+    path = rans.write_tokens(make_docs(spark, rows), BPE, folder=str(folder), **more)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in rans.read_tokens(spark, path, deal).collect())
+    start, want = 0, []
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        tokens = library.encode(text or "", add_special_tokens=False).ids + [2]
+        want.append((start, i, len(tokens), zlib.crc32(np.array(tokens, "<u4").tobytes())))
+        start += len(tokens)
+    assert got == want
+    return path
+
+
+@pytest.mark.parametrize("kind", ["null ids", "one id", "hashed ids", "dense ids", "third of one id", "nulls and one id"])
+@pytest.mark.parametrize("most_bounds", [3, 4096])
+def test_token_files_of_any_ids(spark, tmp_path, kind, most_bounds):
+    rng = random.Random(4)
+    ids = {"null ids": lambda i: None, "one id": lambda i: 77, "hashed ids": lambda i: rng.randrange(-(2**63), 2**63), "dense ids": lambda i: i,
+           "third of one id": lambda i: 5 if i % 3 == 0 else i + 10, "nulls and one id": lambda i: None if i % 40 == 0 else 5 if i % 3 else i + 5}[kind]
+    rows = [(k, "same text" if k in (None, 77, 5) else f"text {i} of some words") for i in range(400) for k in [ids(i)]]
+    rng.shuffle(rows)
+    path = check_files(spark, rows, tmp_path / "t", part_rows=20, most_bounds=most_bounds)
+    sizes = [len(r.ids) for r in spark.read.parquet(f"{path}/blocks").collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 90
+
+
+def test_blocks_are_decoded_from_their_checkpoints(spark, tmp_path, prose):
+    """Small blocks in one task, giant ones segment by segment in many; a checkpoint that is lost is noticed."""
+    rows = [(i, prose(30, i)) for i in range(20)] + [(50, prose(60_000, 3)), (51, None), (52, prose(40, 9))]
+    for deal in (0, 10_000, rans.DEAL_TOKENS):
+        path = check_files(spark, rows, tmp_path / f"d{deal}", deal)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    assert blocks.selectExpr("max(size(marks))").first()[0] >= 1
+    blocks.withColumn("marks", F.transform("marks", lambda m: F.lit(b"\0" * 8 * rans.LANES))).write.parquet(str(tmp_path / "lost" / "blocks"))
+    spark.read.parquet(f"{path}/table").write.parquet(str(tmp_path / "lost" / "table"))
+    with pytest.raises(Exception, match="checksum|out of bounds|broadcast"):
+        rans.read_tokens(spark, str(tmp_path / "lost")).collect()
+
+
+def test_checksums_of_pieces_join():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 5000, dtype=np.uint8).tobytes()
+    for cut in (0, 1, 7, 4096, 4999, 5000):
+        assert rans.join_crc(zlib.crc32(data[:cut]), zlib.crc32(data[cut:]), 5000 - cut) == zlib.crc32(data)
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     folder = rans.write_tokens(make_docs(spark, []), BPE, folder=str(tmp_path / "none"))
     assert rans.read_tokens(spark, folder).count() == 0

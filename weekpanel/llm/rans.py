@@ -3,15 +3,21 @@
 * Texts are encoded by the ``tokenizers`` library. White space decides where its pre-tokenizer must cut, so the ids of
   a word with its leading space come from a bounded table per worker and only unseen words go through the library's
   model; texts with runs of white space go through the library whole.
-* Documents are packed by ranges of 2^10 ids (one compressed row per range and batch), shuffled by range, and their
-  token counts summed over all documents into one shared frequency table (at most one row per token of the vocabulary).
-* Each range is written in ascending id order as independent blocks. The tokens of a block are dealt over interleaved
-  lanes; every ``STRIDE`` steps a checkpoint holds the lanes' states and the stream position, so a block can be decoded
-  in parallel from any checkpoint. A checksum guards the block, and decoding verifies it.
+* Documents are packed by parts: ranges of ids with about ``PART_ROWS`` rows each, cut at quantiles of the ids (and
+  evenly between them in very large tables), so that dense, sparse and hashed ids give parts of one size. An id that
+  fills several parts (one id in many rows, or null ids) is dealt over them. One compressed row per part and batch is
+  shuffled by part, and token counts are summed over all documents into one shared frequency table (at most one row
+  per token of the vocabulary).
+* Each part is written in ascending id order as independent blocks. The tokens of a block are dealt over interleaved
+  lanes; every ``STRIDE`` steps a checkpoint holds the lanes' states and the stream position.
+* Readers decode every block from its checkpoints: segment by segment, each with its own states and piece of the stream.
+  Segments of blocks beyond ``DEAL_TOKENS`` (one giant document) are dealt over tasks. Checksums of the pieces are joined
+  into those of documents and of the block, which must equal the stored one.
 
 The files are Parquet: ``blocks`` (one row per block) and ``table`` (token, frequency). Only the frequency table reaches
-the driver. A null text is empty and holds only the end id; repeated rows stay separate documents; a null id sorts first;
-an empty table gives no rows. Blocks hold whole documents, so memory follows the longest document.
+the driver, and the bounds of the parts. A null text is empty and holds only the end id; repeated rows stay separate
+documents, in the order of their ids' bytes unless they fill several parts; a null id sorts first; an empty table gives no
+rows. Blocks hold whole documents, so a writer's memory follows the longest document; a reader's does not.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weekpanel.llm.base import SpanTable, gap_spans, keep, ship
+from weekpanel.llm.base import SpanTable, gap_spans, keep, mix, ship
 from weekpanel.session import checkpoint_dir
 
 BITS = 20
@@ -35,7 +41,10 @@ LOW = np.uint64(1 << 31)
 LANES = 2048
 STRIDE = 64
 BLOCK_TOKENS = 1 << 19
-RANGE_BITS = 10
+PART_ROWS = 1024
+MOST_BOUNDS = 4096
+DEAL_TOKENS = 1 << 20
+NO_ID = -(1 << 63)
 CACHE_PIECES = 200_000
 #: Runs of white space, and white space other than a space or line feed: such texts are encoded whole.
 _RUNS = ("  ", " \n", "\n ", "\n\n")
@@ -198,9 +207,53 @@ def decode_block(n: int, states: bytes, words: bytes, model: Model, lanes: int,
     return out
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Parts:
+    """Ascending bounds of the ids (with repeats for an id that fills several parts), and parts between two bounds."""
+
+    bounds: np.ndarray
+    fine: int
+    least: int = 0
+    most: int = 0
+
+    def of(self, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Part of each id; ``places`` number the rows and deal those of an id that fills several parts."""
+        low, high = (np.searchsorted(self.bounds, ids, side) for side in ("left", "right"))
+        drawn = mix(places.astype(np.uint64) + np.uint64(1))
+        # an id on two bounds or more has whole ranges of its own between them
+        own = high - low > 1
+        coarse = low + own + (drawn % np.where(own, high - low - 1, high - low + 1).astype(np.uint64)).astype(np.int64)
+        if self.fine == 1 or not len(self.bounds):
+            return coarse
+        ends = np.concatenate(([min(self.least, self.bounds[0])], self.bounds, [max(self.most, self.bounds[-1])])).astype(float)
+        begin, size = ends[coarse], ends[coarse + 1] - ends[coarse]
+        inside = np.where(size > 0, (ids.astype(float) - begin) / np.where(size > 0, size, 1.0), 0.0)
+        # in a range of one id its rows are dealt again
+        inside = np.where(size == 0, (drawn >> np.uint64(40)).astype(float) / 2**24, inside)
+        inside = np.where(ids < begin, 0.0, inside)  # null, below every id
+        return coarse * self.fine + np.clip((inside * self.fine).astype(np.int64), 0, self.fine - 1)
+
+
+def parts_of(docs: DataFrame, part_rows: int, most_bounds: int) -> Parts:
+    """Bounds at quantiles of the ids of all rows."""
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    rows = ids.count()
+    many = -(-rows // part_rows)
+    coarse = min(many, most_bounds)
+    if coarse < 2:
+        return Parts(np.zeros(0, np.int64), 1)
+    cuts = [k / coarse for k in range(1, coarse)]
+    known = F.when(F.col("id") > NO_ID, F.col("id"))
+    found = ids.agg(F.percentile_approx("id", cuts, max(10_000, 10 * coarse)), F.min(known), F.max(known)).first()
+    return Parts(np.array(found[0], np.int64), -(-many // coarse), found[1] or 0, found[2] or 0)
+
+
+def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int, parts: Parts) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
     coder = encoder(path)
     squeeze = zstandard.ZstdCompressor(1)
+    place = TaskContext.get().partitionId() << 40
     for whole in batches:
         for first in range(0, whole.num_rows, BATCH):
             batch = whole.slice(first, BATCH)
@@ -208,9 +261,11 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator
             ids, sizes = coder.encode([t or "" for t in batch.column(1).to_pylist()])
             ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
             ends = np.cumsum(sizes)
+            own = parts.of(np.array([NO_ID if k is None else k for k in keys], np.int64), np.arange(place, place + len(keys)))
+            place += len(keys)
             groups: dict[int, list[int]] = {}
-            for i, key in enumerate(keys):
-                groups.setdefault(-(1 << 62) if key is None else key >> RANGE_BITS, []).append(i)
+            for i, part in enumerate(own.tolist()):
+                groups.setdefault(part, []).append(i)
             for part, rows in groups.items():
                 body = ids if len(groups) == 1 else np.concatenate([ids[ends[i] - sizes[i] : ends[i]] for i in rows])
                 yield pa.RecordBatch.from_arrays([
@@ -280,32 +335,126 @@ def _blocks(batches: Iterator[pa.RecordBatch], table, width: int) -> Iterator[pa
         yield from _write_part(part, packs, model, width)
 
 
+def _powers() -> list[int]:
+    """x^(2^k) modulo the checksum's polynomial (bits reversed)."""
+    out = [1 << 30]
+    for _ in range(31):
+        out.append(_multiply(out[-1], out[-1]))
+    return out
+
+
+def _multiply(a: int, b: int) -> int:
+    """Product of two polynomials modulo that of crc32."""
+    out = 0
+    for bit in range(31, -1, -1):
+        if a >> bit & 1:
+            out ^= b
+        b = (b >> 1) ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+POWERS = _powers()
+
+
+def join_crc(first: int, second: int, size: int) -> int:
+    """crc32 of two pieces in a row; ``size``: bytes of the second."""
+    moved, n, k = 1 << 31, 8 * size, 0
+    while n:
+        if n & 1:
+            moved = _multiply(POWERS[k % 32], moved)
+        n, k = n >> 1, k + 1
+    return _multiply(moved, first) ^ second
+
+
+def segments(row: dict) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(number, first token, tokens, states, piece of the stream) from each checkpoint of a block to the next."""
+    total, lanes = sum(row["lens"]), row["lanes"]
+    places, states = [0, *row["at"], len(row["words"]) // 4], [row["states"], *row["marks"]]
+    for k, state in enumerate(states):
+        first = k * STRIDE * lanes
+        yield k, first, min(total, first + STRIDE * lanes) - first, state, row["words"][4 * places[k] : 4 * places[k + 1]]
+
+
+def pieces(ends: np.ndarray, first: int, tokens: np.ndarray) -> list[tuple[int, int, int]]:
+    """(document, tokens, crc32) of a segment that begins at token ``first``; ``ends``: where the documents end."""
+    out, at, last = [], first, first + len(tokens)
+    k = int(np.searchsorted(ends, first, "right"))
+    while at < last:
+        to = min(last, int(ends[k]))
+        out.append((k, to - at, zlib.crc32(tokens[at - first : to - first].tobytes())))
+        at, k = to, k + 1
+    return out
+
+
 DOC = "part long, block int, doc_id long, at long, n_tokens long, ids_crc32 long"
+NAMES = ["part", "block", "doc_id", "at", "n_tokens", "ids_crc32"]
+
+
+def _documents(part: int, block: int, ids: list, lens: list[int], crc: int, found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    """Rows of a block from the pieces of its segments in order; their joined checksum must be the stored one."""
+    whole, own, seen = 0, [0] * len(lens), [0] * len(lens)
+    for k, n, piece in found:
+        own[k] = join_crc(own[k], piece, 4 * n) if seen[k] else piece
+        seen[k] += n
+    for n, value in zip(lens, own, strict=True):
+        whole = join_crc(whole, value, 4 * n) if whole else value
+    if seen != list(lens) or whole != crc:
+        raise ValueError(f"checksum of block {block} in part {part}")
+    ends = np.cumsum(np.array(lens, np.int64))
+    return pa.RecordBatch.from_arrays([
+        pa.array([part] * len(lens), pa.int64()), pa.array([block] * len(lens), pa.int32()), pa.array(ids, pa.int64()),
+        pa.array(ends - np.array(lens, np.int64)), pa.array(lens, pa.int64()), pa.array(own, pa.int64())], NAMES)
 
 
 def _read(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
     model = Model.of(*table.value)
     for batch in batches:
         for row in batch.to_pylist():
-            lens = np.array(row["lens"], np.int64)
-            tokens = decode_block(int(lens.sum()), row["states"], row["words"], model, row["lanes"]).astype("<u4")
-            if zlib.crc32(tokens.tobytes()) != row["crc"]:
-                raise ValueError(f"checksum of block {row['block']} in range {row['part']}")
-            ends = np.cumsum(lens)
-            crc = [zlib.crc32(tokens[e - n : e].tobytes()) for e, n in zip(ends, lens, strict=True)]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([row["part"]] * len(lens), pa.int64()), pa.array([row["block"]] * len(lens), pa.int32()), pa.array(row["ids"], pa.int64()),
-                pa.array(ends - lens), pa.array(lens), pa.array(crc, pa.int64())],
-                ["part", "block", "doc_id", "at", "n_tokens", "ids_crc32"])
-
-
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> str:
+            found, ends = [], np.cumsum(np.array(row["lens"], np.int64))
+            for _, first, n, states, words in segments(row):
+                found += pieces(ends, first, decode_block(n, states, words, model, row["lanes"]).astype("<u4"))
+            yield _documents(row["part"], row["block"], row["ids"], row["lens"], row["crc"], found)
+
+
+SEGMENT = "part long, block int, number int, first long, n long, lanes int, states binary, words binary, lens array<int>"
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            for number, first, n, states, words in segments(row):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["part"]], pa.int64()), pa.array([row["block"]], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()),
+                    pa.array([n], pa.int64()), pa.array([row["lanes"]], pa.int32()), pa.array([states], pa.binary()), pa.array([words], pa.binary()),
+                    pa.array([row["lens"]], pa.list_(pa.int32()))], ["part", "block", "number", "first", "n", "lanes", "states", "words", "lens"])
+
+
+def _decode(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
+    model = Model.of(*table.value)
+    for batch in batches:
+        for row in batch.to_pylist():
+            tokens = decode_block(row["n"], row["states"], row["words"], model, row["lanes"]).astype("<u4")
+            for k, n, crc in pieces(np.cumsum(np.array(row["lens"], np.int64)), row["first"], tokens):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["part"]], pa.int64()), pa.array([row["block"]], pa.int32()), pa.array([row["number"]], pa.int32()),
+                    pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([crc], pa.int64())], ["part", "block", "number", "k", "n", "crc"])
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    rows = sorted(table.to_pylist(), key=lambda r: (r["number"], r["k"]))
+    head = rows[0]
+    return pa.Table.from_batches([_documents(head["part"], head["block"], head["ids"], head["lens"], head["whole"], [(r["k"], r["n"], r["crc"]) for r in rows])])
+
+
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, part_rows: int = PART_ROWS,
+                 most_bounds: int = MOST_BOUNDS) -> str:
     """Encode (doc_id, text) rows and write them; returns the folder with ``blocks`` and ``table``."""
     spark = docs.sparkSession
     ship(spark)
     folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     width = encoder(tokenizer).width
-    packed = docs.select("doc_id", "text").mapInArrow(lambda b: _pack(b, tokenizer, end_id), PACK)
+    parts = parts_of(docs, part_rows, most_bounds)
+    packed = docs.select("doc_id", "text").mapInArrow(lambda b: _pack(b, tokenizer, end_id, parts), PACK)
     packed = keep(packed.repartition("part").sortWithinPartitions("part"))
     counts = packed.mapInArrow(lambda b: _counts(b, width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = sorted((r["token"], r["n"]) for r in counts.collect())  # bounded by the vocabulary
@@ -315,16 +464,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str |
     return folder
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+def read_tokens(spark: SparkSession, folder: str, deal_tokens: int = DEAL_TOKENS) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the files."""
     ship(spark)
     found = sorted((r["token"], r["n"]) for r in spark.read.parquet(f"{folder}/table").collect())
     table = spark.sparkContext.broadcast(([t for t, _ in found], [n for _, n in found]))
     blocks = spark.read.parquet(f"{folder}/blocks")
-    docs = blocks.mapInArrow(lambda b: _read(b, table), DOC)
-    # running sums over ranges and blocks from the headers alone, in two levels
-    heads = blocks.select("part", "block", F.aggregate("lens", F.lit(0).cast("long"), lambda a, n: a + n).alias("n"),
-                          F.shiftright("part", 12).alias("coarse"))
+    size = F.aggregate("lens", F.lit(0).cast("long"), lambda a, n: a + n)
+    near = blocks.where(size <= deal_tokens).mapInArrow(lambda b: _read(b, table), DOC)
+    giant = blocks.where(size > deal_tokens)
+    dealt = giant.mapInArrow(_segments, SEGMENT).repartition("part", "block", "number").mapInArrow(
+        lambda b: _decode(b, table), "part long, block int, number int, k int, n long, crc long")
+    heads_of = giant.select("part", "block", "ids", "lens", F.col("crc").alias("whole"))
+    docs = near.unionByName(dealt.join(heads_of, ["part", "block"]).groupBy("part", "block").applyInArrow(_joined, DOC))
+    # running sums over parts and blocks from the headers alone, in two levels
+    heads = blocks.select("part", "block", size.alias("n"), F.shiftright("part", 12).alias("coarse"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     coarse = heads.groupBy("coarse").agg(F.sum("n").alias("n"))
     coarse = coarse.withColumn("first", before(Window.orderBy("coarse"))).select("coarse", "first")
