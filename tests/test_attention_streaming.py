@@ -1,6 +1,8 @@
 """Attention arithmetic on small steps; streams against their batch twins."""
 
 import datetime as dt
+import os
+import time
 
 import numpy as np
 import pytest
@@ -12,7 +14,7 @@ from weekpanel.operators import attention as at
 from weekpanel.operators import hmm
 from weekpanel.operators import news as nw
 from weekpanel.streaming.news import deduplicated, weekly_features_stream
-from weekpanel.streaming.online_filter import online_filter
+from weekpanel.streaming.online_filter import online_filter, use_rocksdb
 
 WEEK = lambda i: dt.date(2015, 1, 2) + dt.timedelta(days=7 * i)
 
@@ -99,15 +101,71 @@ def test_stream_dedupe(spark, tmp_path):
     assert sorted(r.requested_symbol for r in out.collect()) == ["SPY", "TLT"]
 
 
-def test_online_filter_equals_batch(spark, tmp_path):
+def observations(spark, folder, parts):
+    """One file per trigger, in the order of their names; rows of a file in any order."""
+    schema = "entity string, t timestamp, x array<double>"
+    for i, rows in enumerate(parts):
+        path = f"{folder}/in/p{i}"
+        if not os.path.exists(path):
+            spark.createDataFrame(rows[::-1], schema).coalesce(1).write.parquet(path)
+            time.sleep(0.05)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+
+
+def day(i):
+    return dt.datetime.combine(WEEK(i), dt.time())
+
+
+@pytest.fixture()
+def typed_state(spark):
+    use_rocksdb(spark)
+    yield spark
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_online_filter_equals_batch_over_triggers_and_a_restart(typed_state, tmp_path):
+    spark = typed_state
     rng = np.random.default_rng(1)
-    data = {"a": rng.normal(1, 1, (8, 2)), "b": rng.normal(0, 1, (5, 2))}
+    data = {"a": rng.normal(1, 1, (9, 2)), "b": rng.normal(0, 1, (5, 2)), "c": rng.normal(0, 1, (1, 2))}
     batch = {r.entity: np.array(r.filtered) for r in hmm.infer(sequences(spark, data), ["entity"], PARAMS).collect()}
-    schema = "entity string, t timestamp, x array<double>"
-    for part in (0, 1):  # two triggers: the state carries over
-        rows = [(k, dt.datetime.combine(WEEK(i), dt.time()), list(map(float, r))) for k, x in data.items() for i, r in enumerate(x) if (i < 3) == (part == 0)]
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/p{part}")
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-    out = run(online_filter(source, PARAMS), spark, "filter_out").orderBy("entity", "t").collect()
+    cut = [(0, 3), (3, 4), (4, 9)]
+    parts = [[(k, day(i), list(map(float, r))) for k, x in data.items() for i, r in enumerate(x) if a <= i < b] for a, b in cut]
+    out = f"{tmp_path}/out"
+
+    def go(upto):
+        stream = online_filter(observations(spark, tmp_path, parts[:upto]), PARAMS)
+        q = stream.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").format("parquet").start(out)
+        q.processAllAvailable()
+        q.stop()
+
+    go(2)
+    go(3)  # a new query goes on from the checkpoint
+    found = spark.read.parquet(out).orderBy("entity", "t").collect()
     for k in data:
-        np.testing.assert_allclose(np.array([r.filtered for r in out if r.entity == k]), batch[k], atol=1e-10)
+        own = [r for r in found if r.entity == k]
+        np.testing.assert_allclose(np.array([r.filtered for r in own]), batch[k], atol=1e-10)
+        assert [r.regime for r in own] == [int(np.argmax(r.filtered)) for r in own]
+
+
+def test_online_filter_goes_on_from_a_batch_run_and_leaves_out_late_rows(typed_state, tmp_path):
+    spark = typed_state
+    x = np.random.default_rng(2).normal(1, 1, (7, 2))
+    batch = np.array(hmm.infer(sequences(spark, {"a": x}), ["entity"], PARAMS).first().filtered)
+    initial = spark.createDataFrame([("a", batch[3].tolist(), day(3))], "entity string, posterior array<double>, t timestamp")
+    rows = [("a", day(i), list(map(float, x[i]))) for i in (2, 4, 5, 6)]
+    out = run(online_filter(observations(spark, tmp_path, [rows]), PARAMS, initial=initial), spark, "from_batch").orderBy("t").collect()
+    assert [r.t for r in out] == [day(4), day(5), day(6)]
+    np.testing.assert_allclose(np.array([r.filtered for r in out]), batch[4:], atol=1e-10)
+
+
+def test_online_filter_drops_ended_sequences(typed_state, tmp_path):
+    spark = typed_state
+    x = np.random.default_rng(3).normal(1, 1, (4, 2))
+    rows = lambda key, i, at: (key, day(at), list(map(float, x[i])))
+    parts = [[rows("a", 0, 0), rows("b", 0, 0)], [rows("b", 1, 20)], [rows("b", 2, 21)], [rows("a", 3, 22), rows("b", 3, 22)]]
+    out = run(online_filter(observations(spark, tmp_path, parts), PARAMS, idle="30 days"), spark, "ended").collect()
+    fresh = np.array(hmm.infer(sequences(spark, {"a": x[3:]}), ["entity"], PARAMS).first().filtered)[0]
+    found = {(r.entity, r.t): r.filtered for r in out}
+    np.testing.assert_allclose(found["a", day(22)], fresh, atol=1e-10)  # a had ended: it starts anew
+    whole = np.array(hmm.infer(sequences(spark, {"b": x}), ["entity"], PARAMS).first().filtered)
+    assert len(found) == 6 and not np.allclose(found["b", day(22)], fresh) and whole.shape == (4, 2)
