@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekpanel.operators import joins
+from weekpanel.operators import invariants, joins
 from weekpanel.plans import backtest, model
 from weekpanel.plans.market import rounded
 from weekpanel.plans.news import articles
@@ -63,4 +63,20 @@ def stored_upsert(spark: SparkSession, d: str) -> DataFrame:
     return store.read(spark, table).select(*columns, F.lit(commit.number).alias("commits"))
 
 
-QUERIES = {f.__name__: f for f in (stored_prices, stored_macro, stored_actions, stored_state, stored_upsert)}
+def state_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What the run that publishes the merged state by year measured of it: rows, and rows that break each invariant."""
+    state = model.model_state_regimes(spark, d)
+    probabilities = ["filtered_prob_regime_0", "filtered_prob_regime_1"]
+    news = [c for c in state.columns if c.startswith("news_")]
+    checks = {
+        "bad_probabilities": invariants.sums_to_one(probabilities, 2e-6), "missing_regimes": invariants.complete(["regime_filtered", "regime_viterbi"]),
+        "missing_news": invariants.complete(news), "unknown_regimes": F.col("regime_viterbi").isin(0, 1),
+    }
+    table, seen = invariants.observed(state, checks)
+    commit = store.publish(table, folder(spark), F.year("week_end"), checks)
+    counts = invariants.verify(seen)
+    row = [(counts["rows"], *[counts[c] for c in checks], sum(n for _, n, _ in commit.parts.values()), len(commit.parts))]
+    return spark.createDataFrame(row, "rows long, " + ", ".join(f"{c} long" for c in checks) + ", stored_rows long, parts int")
+
+
+QUERIES = {f.__name__: f for f in (state_invariants, stored_prices, stored_macro, stored_actions, stored_state, stored_upsert)}

@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekpanel.operators import joins
+from weekpanel.operators import invariants, joins
 from weekpanel.session import cut_lineage
 
 PART = "_part"
@@ -59,12 +59,15 @@ def _checksum(columns: Sequence[str]) -> Column:
     return F.sum(F.pmod(F.xxhash64(*[F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in columns]), F.lit(1 << 40))).alias("checksum")
 
 
-def publish(rows: DataFrame, table: str, part: Column) -> Commit:
+def publish(rows: DataFrame, table: str, part: Column, checks: dict[str, Column] | None = None) -> Commit:
     """Replaces the parts that ``rows`` hold (whole parts; ``part`` names a row's part, e.g. its year) and commits.
 
-    Parts that equal the stored ones are not written; without any difference there is no new commit."""
+    Parts that equal the stored ones are not written; without any difference there is no new commit. Rows that break one of
+    the ``checks``, counted while they are staged, fail the refresh before anything is written."""
     spark = rows.sparkSession
-    staged = cut_lineage(rows.withColumn(PART, F.coalesce(part.cast("string"), F.lit("none"))))
+    tagged, seen = invariants.observed(rows.withColumn(PART, F.coalesce(part.cast("string"), F.lit("none"))), checks)
+    staged = cut_lineage(tagged)
+    invariants.verify(seen)
     found = staged.groupBy(PART).agg(F.count("*").alias("rows"), _checksum(sorted(rows.columns))).collect()
     old = last_commit(spark, table)
     changed = [r for r in found if old.parts.get(r[PART], (None, None, None))[1:] != (r.rows, r.checksum)]
