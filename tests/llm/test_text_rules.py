@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -114,6 +115,63 @@ def test_toxicity_on_held_out_rows(spark, prose):
     assert abs(w[named].sum() - w[plain].sum()) < 0.5
 
 
+def plain_toxicity(rows, model):
+    """Scores word by word with the learned weights, ids and labels of no use."""
+    w, bias = model
+    out = {}
+    for i, text in rows:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        said = {x for x in re.split("[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", low) if x}
+        slots = {int(s) for x in said for s in toxicity.features([x])[0]}
+        out[i] = (zlib.crc32(str(i).encode()) % 5 == 0, 1 / (1 + np.exp(-(sum(w[s] for s in slots) + bias))))
+    return out
+
+
+def test_toxicity_against_a_plain_version(spark, prose, odd_texts):
+    rows = toxic_rows(prose, 300) + [(1000 + k, t) for k, t in enumerate(odd_texts)]
+    docs, labels = make_docs(spark, rows), spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], LABELS)
+    want = plain_toxicity(rows, toxicity.learn(docs, labels))
+    got = toxicity.classify(docs, labels).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.held_out == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-5) and r.predicted == (r.score >= 0.5)
+
+
+def test_toxicity_learns_nothing_from_held_out_labels(spark, prose):
+    rows = toxic_rows(prose, 200)
+    docs = make_docs(spark, rows)
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    right = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _ in rows], LABELS)
+    wrong = spark.createDataFrame([(i, 1, int((i % 5 == 0) != (i in held))) for i, _ in rows], LABELS)
+    one, other = ({r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()} for labels in (right, wrong))
+    assert one == other and 20 < len(held) < 80
+
+
+def test_the_penalty_spares_neutral_mentions(spark, prose, monkeypatch):
+    """Toxic sentences often name one group: without the penalty its name alone raises the score, with it hardly."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(500):
+        words = prose(40, 9000 + i).split(" ")
+        toxic = i % 4 == 0
+        if toxic and i % 8 == 0:
+            words[5] = ("scumword", "trashword", "vileword")[i % 3]
+        if rng.random() < (0.9 if toxic else 0.02):
+            words[11] = "muslims"
+        rows.append((i, " ".join(words)))
+    docs, labels = make_docs(spark, rows), spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], LABELS)
+    neutral = make_docs(spark, [(5000 + i, prose(40, 7000 + i).replace(" ", " muslims ", 1)) for i in range(100)])
+
+    def raised(penalty):
+        monkeypatch.setattr(toxicity, "PENALTY", penalty)
+        scores = np.array([r.score for r in toxicity.score(neutral, toxicity.learn(docs, labels)).collect()])
+        return (scores >= 0.5).mean(), scores.mean()
+
+    usual = toxicity.PENALTY
+    without, with_ = raised(0.0), raised(usual)
+    assert without[0] > 0.5 and with_[0] < 0.5 * without[0] and with_[1] < without[1]
+
+
 def test_toxicity_of_odd_input(spark, odd_texts):
     docs = make_docs(spark, list(enumerate(odd_texts)) + [(6, odd_texts[6])])
     none = spark.createDataFrame([], LABELS)
