@@ -76,6 +76,13 @@ def test_publisher_suffix_and_choice(spark):
     assert pick("A b", "c", "a B!") == "c" and pick("t", "d", "s") == "s" and pick("t", "T", "t") == "t" and pick("", "", "") == ""
 
 
+def test_sentences_keep_digits_at_both_ends(spark):
+    texts = [f"{i} is the number of this sentence, and it ends with the same number {i}." for i in range(12)]
+    assert one(spark, tx.sentences("t"), t=" ".join(texts)) == texts
+    texts = [f"{i}{i} is the number of a sentence without a stop at its end, {i}{i}?!" for i in range(12)]
+    assert one(spark, tx.first_sentences("t", 12, 2000), t="\n".join(texts)) == " ".join(texts)
+
+
 def test_sentences_and_boilerplate(spark):
     long = "This sentence is certainly longer than forty characters."
     text = f"Short one. {long} Read our privacy policy before you continue with this page. {long} {long} {long}"

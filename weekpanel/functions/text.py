@@ -181,7 +181,8 @@ def boilerplate(c: Column) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Sentences of at least 40 characters that are not boilerplate."""
-    parts = F.transform(F.split(clean_text(c), "(?<=[.!?])\\s+"), F.trim)
+    # a function of one parameter: F.trim itself would get the position as the characters to trim
+    parts = F.transform(F.split(clean_text(c), "(?<=[.!?])\\s+"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: (F.length(s) >= 40) & ~boilerplate(s))
 
 
