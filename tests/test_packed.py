@@ -63,3 +63,24 @@ def test_arrow_rows_round_trip():
     assert arrow_rows.cut(values, np.array([1, 2])).tolist() == np.arange(6.0).reshape(3, 2).tolist()
     assert arrow_rows.lists(arrow_rows.arrays(rows), np.array([2])).to_pylist() == [[[3.0, 4.0], [5.0, 6.0]]]
     assert [(r.start, r.stop) for r in arrow_rows.runs(np.array([1, 9, 1, 1, 1]), 2, 10)] == [(0, 1), (1, 2), (2, 4), (4, 5)]
+
+
+def test_inference_holds_no_python_objects_per_value(spark):
+    """The whole result goes from Arrow to Arrow; keys of any type and empty sequences pass."""
+    rows = [(None if i == 3 else f"k{i}", i, [[float((t * i) % 5), 1.0] for t in range(n)], list(range(n))) for i, n in enumerate([4, 600, 1, 3, 0])]
+    data = spark.createDataFrame(rows, "a string, b int, x array<array<double>>, t array<int>").coalesce(1)
+    params = {"start": [0.6, 0.4], "trans": [[0.9, 0.1], [0.2, 0.8]], "means": [[1.0, 1.0], [3.0, 1.0]], "covars": [[1.0, 1.0], [2.0, 1.0]]}
+    out = hmm.infer(data, ["a", "b"], params)
+    assert "MapInArrow" in out._jdf.queryExecution().toString()
+    assert [(r.a, r.b, r.t) for r in out.collect()] == [(a, b, t) for a, b, _, t in rows]
+    p = {k: np.asarray(v) for k, v in params.items()}
+    for r, (_, _, x, _) in zip(out.collect(), rows):
+        if not x:
+            assert r.filtered == r.smoothed == r.viterbi == [] and r.log_likelihood == 0
+            continue
+        values, lengths = kernels.pad([x])
+        b = kernels.log_emissions(values, p["means"], p["covars"])
+        alpha, beta = kernels.forward(b, p["start"], p["trans"]), kernels.backward(b, p["trans"], lengths)
+        np.testing.assert_allclose(r.filtered, kernels.normalized(alpha)[0], atol=1e-12)
+        np.testing.assert_allclose(r.smoothed, kernels.normalized(alpha + beta)[0], atol=1e-12)
+        assert r.viterbi == kernels.viterbi(b, p["start"], p["trans"], lengths)[0].tolist()
