@@ -144,3 +144,13 @@ def test_decision_log_is_aligned_by_key(spark):
     empty = [(*rows[0][:3], None, None, None), *rows[1:]]
     with pytest.raises(Exception, match="needs an action or weights"):
         bt.align_decisions(weeks, spark.createDataFrame(empty, kind), keys).collect()
+
+
+def test_leaving_for_cash_turns_over_exactly_once(spark):
+    """Normalised weights stay as they are, so that a cost equal to the cash return leaves exactly nothing, and no win."""
+    mix = [46 / 60, 12 / 60, 2 / 60, 0.0]
+    rows = [("p", "train", dt.date(2000, 1, 7) + dt.timedelta(weeks=t), -0.05, -0.05, -0.05, 0.001, *mix) for t in range(2)]
+    last = pol.run_policies(spark.createDataFrame(rows, SCHEMA), [pol.stop_loss("p", "mix_", 0.02, 4)]).orderBy("week_end").collect()[1]
+    assert last.action_name == "stopped" and last.turnover == 1.0 and last.net_return == 0.0
+    odd = np.array([[2.0, 1.0, 1.0, 0.0], mix])
+    assert pol.normalized_weights(odd).tolist() == [[0.5, 0.25, 0.25, 0.0], mix]

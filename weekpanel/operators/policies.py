@@ -66,7 +66,7 @@ class StatefulPolicy:
 
 
 def normalized_weights(weights: np.ndarray) -> np.ndarray:
-    """Zero cash added to three weights; negative, missing or vanishing weights fail the job."""
+    """Zero cash added to three weights, divided by their sum; negative, missing or vanishing weights fail the job."""
     if weights.ndim != 2 or weights.shape[1] not in (3, 4):
         raise ValueError("weights must have three or four entries")
     if weights.shape[1] == 3:
@@ -76,7 +76,8 @@ def normalized_weights(weights: np.ndarray) -> np.ndarray:
         raise ValueError("weights must be non-negative")
     if not (total > 0).all():
         raise ValueError("weights must sum to a positive number")
-    return weights / total[:, None]
+    # weights that sum to one within rounding stay as they are: dividing again moves last digits, and with them the sign of a net return of zero
+    return np.where(np.abs(total - 1.0)[:, None] <= NEAR_ZERO, weights, weights / total[:, None])
 
 
 def weights_of(prefix: str) -> Callable[[Observation], np.ndarray]:
