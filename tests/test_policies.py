@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -154,3 +155,12 @@ def test_leaving_for_cash_turns_over_exactly_once(spark):
     assert last.action_name == "stopped" and last.turnover == 1.0 and last.net_return == 0.0
     odd = np.array([[2.0, 1.0, 1.0, 0.0], mix])
     assert pol.normalized_weights(odd).tolist() == [[0.5, 0.25, 0.25, 0.0], mix]
+
+
+def test_groups_of_runs_stay_small(spark):
+    """A group is what a worker holds at once, several times over: 120,000 weeks are three groups at least."""
+    numbers = ", ".join(f"0.25D AS {c}" for c in (*pol.RETURNS, "mix_spy", "mix_tlt", "mix_gld", "mix_cash"))
+    weeks = spark.range(120_000).selectExpr("CAST(id AS string) AS panel", "'train' AS split", "date '2000-01-07' AS week_end", *numbers.split(", "))
+    out = pol.run_policies(weeks, [pol.stop_loss("p", "mix_", 0.02, 4)])
+    groups = int(re.search(r"pmod\(xxhash64\([^)]*\), (?:cast\()?(\d+)", out._jdf.queryExecution().analyzed().toString())[1])
+    assert groups >= 3

@@ -27,8 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ASSETS = ("spy", "tlt", "gld", "cash")
 RETURNS = ("return_spy", "return_tlt", "return_gld", "cash_return")
-#: Weeks that one group of runs holds on average.
-RUN_ROWS = 200_000
+#: Weeks that one group of runs holds on average: about 100 MB in a worker, copies for sorting and the history included.
+RUN_ROWS = 50_000
 
 
 @dataclass
