@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,30 @@ def test_joins(spark):
     regimes = spark.createDataFrame([(2, 0)], "week_end int, regime_filtered int")
     with pytest.raises(Exception, match="missing regime"):
         joins.assemble_regime_state(base, regimes, spark.createDataFrame([(1, 0.1)], "week_end int, n double")).collect()
+
+
+def test_chosen_texts_are_cleaned_once(spark):
+    fields = ("title", "description", "summary", "publisher")
+    titles = ["", "Gold rises", "Gold rises - Src1", "ÄÖ", "gold  RISES Src1"]
+    rest = ["", "  ", "gold rises!", "Gold rises " + "x" * 200, "." * 300 + "gold rises", "." * 300 + "gold rises" + "y", "Text : src1 - SRC1", "ä ö", None]
+    rows = [(t, d, s, p) for t in titles for d in rest for s in rest for p in ("Src1", "", None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{f} string" for f in fields))
+    out = nw.choose_texts(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < 60
+    blank, joints = re.compile("[ \t\n\x0b\f\r ]+"), ("[ \t\n\x0b\f\r]*[-:–—][ \t\n\x0b\f\r]*$", "[ \t\n\x0b\f\r]+$")
+    clean = lambda v: blank.sub(" ", v or "").strip(" ")
+    norm = lambda v: re.sub("[^a-z0-9]+", " ", v.lower()).strip(" ")
+
+    def strip(v, p):
+        t, p = clean(v), clean(p)
+        for joint in joints:
+            head = t[: len(t) - len(p)]
+            if p and len(t) > len(p) and t[len(head):].lower() == p.lower() and re.search(joint, head):
+                t = re.sub(joint, "", head).strip(" ")
+        return t
+
+    for r in out.collect():
+        t, d, s = (strip(v, r.publisher) for v in (r.title, r.description, r.summary))
+        want = s if s and norm(s) != norm(t) else d if d and norm(d) != norm(t) else t or d or s
+        assert r.finbert_text == want, r

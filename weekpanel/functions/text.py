@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from html.entities import html5
 
@@ -94,7 +94,23 @@ def normalize(*parts: Column | str) -> Column:
 
 
 def plain_normalize(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.lower(plain_clean(c)), "[^a-z0-9]+", " "))
+    # white space needs no step of its own: it is among what becomes one space
+    return F.trim(F.regexp_replace(F.lower(text(c)), "[^a-z0-9]+", " "))
+
+
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` computed once, and only where the whole is needed."""
+    return F.transform(F.array(c), lambda v: use(v))[0]
+
+
+def differs(c: Column, title: Column) -> Column:
+    """Whether normalised texts differ. The normalised beginning of a text is the beginning of the normalised text, so one
+    longer than the whole title decides."""
+    def decided(t: Column) -> Column:
+        start = F.substring(c, F.lit(1), F.length(title) + 100)
+        return F.when(F.length(plain_normalize(start)) > F.length(t), True).otherwise(plain_normalize(c) != t)
+
+    return bound(plain_normalize(title), decided)
 
 
 def total(flags: Sequence[Column]) -> Column:
@@ -153,12 +169,13 @@ def strip_publisher(c: Column | str, publisher: Column | str) -> Column:
     p = plain_clean(publisher)
 
     def drop(t: Column, joint: str) -> Column:
-        head = F.substring(t, F.lit(1), F.length(t) - F.length(p))
-        tail = F.substring(t, F.length(t) - F.length(p) + 1, F.length(p))
-        ends = (p != "") & (F.length(t) > F.length(p)) & (F.lower(tail) == F.lower(p)) & head.rlike(joint)
-        return F.when(ends, F.trim(F.regexp_replace(head, joint, ""))).otherwise(t)
+        def without(head: Column) -> Column:
+            return F.when(head.rlike(joint), F.trim(F.regexp_replace(head, joint, ""))).otherwise(t)
+
+        ends = (p != "") & (F.length(t) > F.length(p)) & (F.lower(F.right(t, F.length(p))) == F.lower(p))
+        return F.when(ends, bound(F.substring(t, F.lit(1), F.length(t) - F.length(p)), without)).otherwise(t)
 
-    return drop(drop(plain_clean(c), "\\s*[-:\\u2013\\u2014]\\s*$"), "\\s+$")
+    return bound(plain_clean(c), lambda t: bound(drop(t, "\\s*[-:\\u2013\\u2014]\\s*$"), lambda u: drop(u, "\\s+$")))
 
 
 def choose_text(title: Column, description: Column, summary: Column) -> Column:
@@ -266,7 +283,7 @@ def class_scores(scores: Column, source_text: Column) -> dict[str, Column]:
 
     Blank text keeps a null label and score and zero class values.
     """
-    blank = plain_clean(source_text) == ""
+    blank = ~F.rlike(text(source_text), F.lit("[^\\s\\u00A0]"))
     value = lambda k: F.when(blank, F.lit(0.0)).otherwise(F.coalesce(F.element_at(scores, F.lit(k)), F.lit(0.0)))
     pos, neu, neg = value("positive"), value("neutral"), value("negative")
     best = F.array_max(F.map_values(scores))

@@ -137,20 +137,25 @@ def best_articles(candidates: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def choose_texts(articles: DataFrame) -> DataFrame:
-    """The text to score: publisher suffixes removed, repeats of the title skipped."""
-    stripped = articles.withColumns({f"_{c}": tx.strip_publisher(c, "publisher") for c in ("title", "description", "summary")})
-    chosen = tx.choose_text(F.col("_title"), F.col("_description"), F.col("_summary"))
-    return stripped.withColumn("finbert_text", chosen).drop("_title", "_description", "_summary")
+    """The text to score: publisher suffixes removed, repeats of the title skipped. A long text that is not needed is not
+    cleaned, and none is cleaned twice."""
+    own = lambda c: tx.strip_publisher(c, "_publisher")
+    plain = articles.withColumn("_publisher", tx.plain_clean("publisher")).withColumn("_title", own("title"))
+    title = F.col("_title")
+    rest = lambda d, s: F.when((d != "") & tx.differs(d, title), d).when(title != "", title).when(d != "", d).otherwise(s)
+    chosen = tx.bound(own("summary"), lambda s: F.when((s != "") & tx.differs(s, title), s).otherwise(tx.bound(own("description"), lambda d: rest(d, s))))
+    return plain.withColumn("finbert_text", chosen).drop("_publisher", "_title")
 
 
 def lexicon_scores(source: Column) -> Column:
     """Default scorer: lexicon hits as class probabilities."""
-    lowered = F.lower(source)
-    pos, neg = tx.keyword_hits(lowered, tx.POSITIVE_KEYWORDS), tx.keyword_hits(lowered, tx.NEGATIVE_KEYWORDS)
-    n = (pos + neg + 1).cast("double")
-    return F.map_from_arrays(
-        F.array(F.lit("positive"), F.lit("neutral"), F.lit("negative")), F.array(pos / n, F.lit(1.0) / n, neg / n)
-    )
+    hits = tx.bound(F.lower(source), lambda t: F.array(tx.keyword_hits(t, tx.POSITIVE_KEYWORDS), tx.keyword_hits(t, tx.NEGATIVE_KEYWORDS)))
+
+    def shares(h: Column) -> Column:
+        n = (h[0] + h[1] + 1).cast("double")
+        return F.array(h[0] / n, F.lit(1.0) / n, h[1] / n)
+
+    return F.map_from_arrays(F.array(F.lit("positive"), F.lit("neutral"), F.lit("negative")), tx.bound(hits, shares))
 
 
 def score_texts(articles: DataFrame, scores: Column | None = None) -> DataFrame:
