@@ -76,3 +76,16 @@ def test_missing_tables_and_odd_parts(spark, tmp_path):
         store.read(spark, f"file://{tmp_path}/none")
     with pytest.raises(ValueError, match="plain"):
         store.publish(frame(spark, [(1, "a/b", "t", "s")]), f"file://{tmp_path}/odd", F.col("asset"))
+
+
+def test_the_stored_state_is_computed_once(spark, monkeypatch):
+    from weekpanel.plans import storage
+
+    slow = spark.range(10).groupBy((F.col("id") % 5).alias("week_end")).agg(F.max("id").alias("news_a"))
+    names = ("regime_filtered", "regime_viterbi", "filtered_prob_regime_0", "filtered_prob_regime_1")
+    monkeypatch.setattr(storage.model, "model_state_regimes", lambda *_: slow.withColumns({c: F.lit(0) for c in names}))
+    written = []
+    monkeypatch.setattr(storage.sinks, "write_pipeline", lambda *tables: written.extend(tables[:3]) or (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        storage.stored_state(spark, "")
+    assert len(written) == 3 and all("Aggregate" not in t._jdf.queryExecution().optimizedPlan().toString() for t in written)

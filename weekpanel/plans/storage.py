@@ -11,7 +11,7 @@ from weekpanel.operators import invariants, joins
 from weekpanel.plans import backtest, model
 from weekpanel.plans.market import rounded
 from weekpanel.plans.news import articles
-from weekpanel.session import checkpoint_dir
+from weekpanel.session import checkpoint_dir, cut_lineage
 from weekpanel.sources import given, readers, sinks, store
 
 
@@ -44,7 +44,7 @@ def stored_actions(spark: SparkSession, d: str) -> DataFrame:
 
 def stored_state(spark: SparkSession, d: str) -> DataFrame:
     """News features, regimes and merged state written as one pipeline output; the state read back."""
-    state = model.model_state_regimes(spark, d)
+    state = cut_lineage(model.model_state_regimes(spark, d))  # calendar-sized, written three times, computed once
     news = state.select("week_end", *[c for c in state.columns if c.startswith("news_")])
     regimes = state.select("week_end", "regime_filtered", "regime_viterbi", "filtered_prob_regime_0", "filtered_prob_regime_1")
     paths = sinks.write_pipeline(news, regimes, state, folder(spark))
