@@ -76,3 +76,10 @@ def test_no_task_holds_a_whole_sequence(spark):
     chunks = hmm_scan.cut(rows, ["a", "b"], "t", ["x1", "x2"], F.floor(F.col("t") / 30))
     sizes = [len(r.x) for r in chunks.collect()]
     assert max(sizes) <= 10 and len(sizes) == 40 and sorted(r.idx for r in chunks.collect()) == list(range(40))
+
+
+def test_scan_goes_from_arrow_to_arrow(spark):
+    """No step of the scan turns members or values into Python objects."""
+    out = hmm_scan.infer_long(spark.createDataFrame(rows_of(3, [60, 20]), KIND), ["a", "b"], "t", ["x1", "x2"], MODELS["diag"], F.floor(F.col("t") / 9), 2)
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
