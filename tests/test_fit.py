@@ -126,3 +126,60 @@ def test_persistence_filter_before_the_greedy_search(spark):
     assert st.persistent_features(df, ["k"], ["noise", "walk", "flip"], "t") == ["walk", "flip"]
     chosen, _ = hmm.greedy_bic(df, ["k"], "t", ["walk", "flip"], [["none", "flip"]], 2, 2, 3, iterations=4)
     assert chosen[0] == "flip" and "noise" not in chosen
+
+
+def test_data_in_one_partition_take_a_job_per_many_passes(spark, monkeypatch):
+    """60 passes over one sequence: three jobs, none of which sums over tasks, with the results of plain EM."""
+    data = sequences(spark, n=1, length=60, parts=1)
+    models = [hmm.Candidate("a", 2, 2), hmm.Candidate("b", 3, 3, "full", 21, 12.0), hmm.Candidate("c", 2, 1, columns=(1,))]
+    starts = clustering.kmeans(data, [hmm.setting_of(c) for c in models])
+    jobs, passes = [], hmm._passes
+    monkeypatch.setattr(hmm, "_passes", lambda *a: jobs.append(a[3]) or passes(*a))
+    monkeypatch.setattr(hmm, "_summed_statistics", None)
+    monkeypatch.setattr(clustering, "LOCAL_ROUNDS", 2)
+    for f in hmm.fit(data, models, iterations=59, tolerance=-np.inf):
+        history, params = plain_em(arrays(data), f.candidate, hmm.initial_params(f.candidate, starts[hmm.setting_of(f.candidate)]), 59)
+        assert not f.error and not f.converged and f.n_rows == 60 and f.history == pytest.approx(history, rel=1e-8)
+        for key in ("means", "covars", "trans", "start"):
+            np.testing.assert_allclose(f.params[key], params[key], rtol=1e-5, atol=1e-7)
+    assert jobs == [25, 25, 10]
+
+
+def test_many_passes_per_job_equal_one_pass_per_job(spark, monkeypatch):
+    """Converged, failed and unfinished models alike, and however many passes a job makes."""
+    data = sequences(spark, n=1, length=60, parts=1)
+    start = hmm.initial_params
+    broken = lambda c, m: start(c, m) | ({"covars": -np.ones((2, 2, 2))} if c.name == "bad" else {})
+    monkeypatch.setattr(hmm, "initial_params", broken)
+    models = [hmm.Candidate("bad", 2, 2, "full"), *[hmm.Candidate(f"m{k}{s}", k, 2, "diag", s) for k in (2, 3) for s in (7, 21)]]
+    found = []
+    for passes in (1, 4, 25):
+        monkeypatch.setattr(hmm, "PASSES", passes)
+        found.append([(f.candidate.name, f.history, f.n_rows, f.converged, f.error, [f.params[k].tolist() for k in kernels.PARAMS]) for f in hmm.fit(data, models, 30)])
+    assert found[0] == found[1] == found[2] and found[0][0][4] and {f[3] for f in found[0]} == {True, False}
+
+
+def test_the_grid_is_fitted_anew_when_the_tables_of_a_folder_change(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from weekpanel.plans import regimes
+
+    for name, values in (("GRID_STATES", (2,)), ("GRID_COMPONENTS", (2,)), ("GRID_COVARIANCES", ("diag",)), ("GRID_SEEDS", (7,))):
+        monkeypatch.setattr(regimes, name, values)
+    weeks = spark.range(120).selectExpr("'core' AS panel", "date_add(date '1998-01-02', cast(7 * id AS int)) AS week_end", "cast(id * 7 % 5 AS double) AS pc1", "cast(id div 9 % 2 AS double) AS pc2")
+    changed = weeks.withColumn("pc1", F.col("pc1") * 2)
+    monkeypatch.setattr(regimes, "prepared", lambda base: base)
+    runs = []
+    for table in (weeks, weeks.repartition(5), changed):
+        monkeypatch.setattr(regimes, "state", lambda *_: table)
+        runs.append(regimes.fitted_grid(spark, "a folder"))
+    assert runs[0] is runs[1] and runs[2][0].agg(F.sum("pc1")).first() == changed.agg(F.sum("pc1")).first()
+    (before,), (after,) = runs[0][3].values(), runs[2][3].values()
+    assert not np.allclose(before.params["means"][:, 0], after.params["means"][:, 0])
+
+
+def test_content_tells_places_of_nulls(spark):
+    from weekpanel.plans import regimes
+
+    rows = [spark.createDataFrame([r], "a double, b double") for r in ((1.0, None), (None, 1.0), (1.0, 1.0))]
+    assert len({regimes.content(r) for r in rows}) == 3

@@ -24,15 +24,14 @@ def upto(day: str):
     return F.col("week_end") <= F.lit(day).cast("date")
 
 
-def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The materialised state, and its components (scaled and fitted on the training weeks only)."""
-    base = cut_lineage(state(spark, d))
+def prepared(base: DataFrame) -> DataFrame:
+    """Components of the state (scaled and fitted on the training weeks only)."""
     names = feat.market_feature_names()
     whole = base.select("panel", "week_end", *names).dropna("any")
     scaled = cut_lineage(st.standardize(whole, names, upto(TRAIN_END)))
     parts = reduction.fit_components(scaled, names, upto(TRAIN_END), max(GRID_COMPONENTS))
     scores = reduction.project(scaled, parts, max(GRID_COMPONENTS))
-    return base, cut_lineage(scores.select("panel", "week_end", *[f"pc{i + 1}" for i in range(max(GRID_COMPONENTS))]))
+    return cut_lineage(scores.select("panel", "week_end", *[f"pc{i + 1}" for i in range(max(GRID_COMPONENTS))]))
 
 
 def sequences_of(scores: DataFrame, rows) -> DataFrame:
@@ -42,20 +41,29 @@ def sequences_of(scores: DataFrame, rows) -> DataFrame:
 _grids: dict[tuple[str, str], tuple] = {}
 
 
+def content(df: DataFrame) -> tuple:
+    """Rows and two sums of their hashes: the same for the same rows in any order."""
+    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    return tuple(df.agg(F.count("*"), *[F.sum(F.xxhash64(F.lit(salt), row).cast("decimal(38,0)")) for salt in (0, 1)]).first())
+
+
 def fitted_grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
     """(state, component scores, results with the best seed per configuration, fits by name).
 
-    The grid is fitted once per application and data folder: all tables lie in the checkpoint folder, parameters with them.
+    Every call reads the given tables. The grid is fitted once per application, data folder and content of the state: all
+    tables lie in the checkpoint folder, parameters with them, and are used again while the state is the same.
     """
     place = (spark.sparkContext.applicationId, d)
-    if place not in _grids:
-        base, scores = prepared(spark, d)
+    base = cut_lineage(state(spark, d))
+    found = content(base)
+    if place not in _grids or _grids[place][0] != found:
+        scores = prepared(base)
         grid = hmm.grid(GRID_STATES, GRID_COMPONENTS, GRID_COVARIANCES, GRID_SEEDS)
         fitted = hmm.fit(sequences_of(scores, upto(TRAIN_END)), grid)
         validation = hmm.score(sequences_of(scores, ~upto(TRAIN_END) & upto(DEV_END)), fitted)
         results = cut_lineage(hmm.ranked_seeds(hmm.results_table(spark, fitted, validation), grid))
-        _grids[place] = base, scores, results, {f.candidate.name: f for f in fitted}
-    return _grids[place]
+        _grids[place] = found, (base, scores, results, {f.candidate.name: f for f in fitted})
+    return _grids[place][1]
 
 
 def judged(base: DataFrame, scores: DataFrame, results: DataFrame, fits: dict) -> DataFrame:
